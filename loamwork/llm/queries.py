@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import simhash
+from loamwork.llm import flac, simhash, suffix
 from loamwork.llm.common import read_table
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 over all documents, strings of 200 bytes."""
+    out = suffix.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a FLAC stream of 8-bit samples, decoded again; digests and features of both."""
+    media = flac.encode_column(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = flac.decode_column(media, keep=("doc_id", "n_bytes"))
+    return out.select(
+        "doc_id", "n_bytes", F.length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pcm, -32)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.format_string("samples=%d;crossings=%d;energy=%d", "n_samples", "crossings", "energy").alias("feature"),
+    )
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id over all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -17,7 +35,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op5_suffix_array_dedup, op8_flac_media, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

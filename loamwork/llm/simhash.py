@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import connected_components, partitions, stage, text_slices
+from loamwork.llm.common import connected_components, map_arrow, partitions, stage, text_slices
 
 SEED = 42
 #: Rows of one bucket that one task compares; larger buckets are cut into blocks of this size and
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id"
             fps = [majority(shingle_hashes(words_of(t), shingle_words)) for t in part.column("text").to_pylist()]
             yield pa.record_batch([part.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def _bits(fp: str, low: int, width: int):
@@ -129,7 +129,7 @@ def bucket_edges(rows: DataFrame, values: list[str], close_of, block: int = BLOC
             yield from _emit(held.reset_index(drop=True), [0, len(held)], values, close_of)
 
     spread = dealt.repartition(partitions(rows.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return spread.mapInArrow(run, "u long, v long").distinct()
+    return map_arrow(spread, run, "u long, v long").distinct()
 
 
 def _emit(pdf: pd.DataFrame, cuts: list[int], values: list[str], close_of) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([part.column("doc_id"), pa.array(exact, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(wide[:, i]) for i in range(lanes))], names=["doc_id", "exact", "keys", *names])
 
     schema = "doc_id long, exact binary, keys array<long>, " + ", ".join(f"{n} long" for n in names)
-    prints = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "wide")
+    prints = stage(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema), "wide")
     nodes = prints.groupBy("exact").agg(F.min("doc_id").alias("id"))
     heads = prints.where("doc_id IS NOT NULL").join(nodes.select("exact", F.col("id").alias("doc_id")).where("doc_id IS NOT NULL"), ["exact", "doc_id"], "left_semi")
     rows = heads.dropDuplicates(["doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), *names)
