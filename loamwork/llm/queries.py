@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import flac, simhash, suffix
-from loamwork.llm.common import read_table
+from loamwork.llm import flac, repair, simhash, suffix
+from loamwork.llm.common import read_table, table_path
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from Re-Pair shards; end id 2."""
+    path = table_path(spark, "token-shards")
+    repair.write_tokens(read_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return repair.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +48,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_suffix_array_dedup, op8_flac_media, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_repair_token_ids, op5_suffix_array_dedup, op8_flac_media, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
