@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,17 @@ GRAM = 3
 #: Characters of benchmark text that are sent to the executors at once; more go in further passes.
 BLOCK_CHARS = 8 << 20
 _WORD = re.compile(r"\w+")
+_OTHER = re.compile(r"[^\x00-\x7f\w]")
+_SPACED = bytes(i if chr(i).isalnum() or chr(i) == "_" or i > 127 else 32 for i in range(256))
 _END = -1
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased runs of letters, digits and underscores, as UTF-8."""
+    low = (text or "").lower()
+    if _OTHER.search(low):
+        return [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(low)]
+    return low.encode("utf-8", "surrogatepass").translate(_SPACED).split()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,7 +97,7 @@ class Index:
     """The items of a benchmark block, ready to be looked for."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
@@ -144,27 +151,39 @@ class Index:
                         out[n].add(start)
         return out
 
-    def find(self, ids: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(item_id, words of the item, distance, first word, end) of each item in a text, best first."""
-        found: dict[int, tuple[int, int, int, int]] = {}
-        for n, starts in self.windows(ids).items():
-            edits = int(RATE * n)
-            begin = np.array(sorted(starts))
-            cells = begin[:, None] + np.arange(n)
-            inside = (cells >= 0) & (cells < len(ids))
-            rows = np.where(inside, ids[np.clip(cells, 0, len(ids) - 1)], 0)
-            tried: set[tuple[int, int]] = set()
-            for start, keys in zip(begin.tolist(), embed_keys(rows).tolist(), strict=True):
-                met = {i for r, key in enumerate(keys) for i in self.keys[n][r].get(key, ())}
-                for i in met:
-                    a, b = max(0, start - edits), min(len(ids), start + n + edits)
-                    if (i, a) in tried:
-                        continue
-                    tried.add((i, a))
-                    distance, x, y = closest(self.items[i][1], ids[a:b])
-                    if distance <= edits and (i not in found or (distance, a + x) < found[i][1:3]):
-                        found[i] = (n, distance, a + x, a + y)
-        return [(self.items[i][0], *found[i]) for i in sorted(found)]
+    def find(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int, int]]]:
+        """For each text (item_id, words of the item, distance, first word, end) of each item in it."""
+        found: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
+        by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for t, ids in enumerate(texts):
+            for n, starts in self.windows(ids).items():
+                by_size[n] += [(t, start) for start in sorted(starts)]
+        for n, windows in by_size.items():
+            for at in range(0, len(windows), 2048):
+                self._check(n, windows[at : at + 2048], texts, found)
+        return [[(self.items[i][0], *hits[i]) for i in sorted(hits)] for hits in found]
+
+    def _check(self, n: int, windows: list[tuple[int, int]], texts: list[np.ndarray], found: list[dict]) -> None:
+        edits, rows = int(RATE * n), np.zeros((len(windows), n), np.int64)
+        for row, (t, start) in zip(rows, windows, strict=True):
+            a, b = max(0, start), min(len(texts[t]), start + n)
+            row[a - start : b - start] = texts[t][a:b]
+        tried: set[tuple[int, int, int]] = set()
+        for (t, start), keys in zip(windows, embed_keys(rows).tolist(), strict=True):
+            ids = texts[t]
+            met = {i for r, key in enumerate(keys) for i in self.keys[n][r].get(key, ())}
+            for i in met:
+                a, b = max(0, start - edits), min(len(ids), start + n + edits)
+                if (t, i, a) in tried:
+                    continue
+                tried.add((t, i, a))
+                here = set(ids[a:b].tolist())
+                # an item's word that isn't in the stretch costs an edit
+                if sum(w not in here for w in self.items[i][1].tolist()) > edits:
+                    continue
+                distance, x, y = closest(self.items[i][1], ids[a:b])
+                if distance <= edits and (i not in found[t] or (distance, a + x) < found[t][i][1:3]):
+                    found[t][i] = (n, distance, a + x, a + y)
 
 
 def _grams(ids: np.ndarray, q: int, base: np.int64) -> np.ndarray:
@@ -185,9 +204,9 @@ def index_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterat
         yield Index([(r["item_id"], r["text"]) for r in mine.collect()])
 
 
-def _ids(index: Index, words: list[str]) -> np.ndarray:
-    get = index.vocabulary.get
-    return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+def _ids(index: Index, texts: list[str | None]) -> list[np.ndarray]:
+    get, none = index.vocabulary.get, repeat(0)
+    return [np.fromiter(map(get, words, none), np.int64, len(words)) for words in map(words_of, texts)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -204,9 +223,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for part in text_slices(batches):
-                rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    rows += [(doc_id, *hit) for hit in index.find(_ids(index, words_of(text)))]
+                hits = index.find(_ids(index, part.column("text").to_pylist()))
+                rows = [(doc_id, *hit) for doc_id, mine in zip(part.column("doc_id").to_pylist(), hits, strict=True) for hit in mine]
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "item_words", "distance", "start", "end"])
@@ -224,7 +242,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for part in text_slices(batches):
-                clean = [not index.find(_ids(index, words_of(text))) for text in part.column("text").to_pylist()]
+                clean = [not mine for mine in index.find(_ids(index, part.column("text").to_pylist()))]
                 yield part.filter(pa.array(clean))
 
         docs = map_arrow(docs, run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import flac, repair, simhash, suffix
+from loamwork.llm import decontaminate, flac, repair, simhash, suffix
 from loamwork.llm.common import read_table, table_path
 
 
@@ -40,6 +40,12 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id and the distance of each benchmark item found in a document."""
+    out = decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "item_words", "distance", F.round("similarity", 6).alias("similarity"), F.col("start").alias("first_word"), F.col("end").alias("end_word"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id over all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,7 +54,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_repair_token_ids, op5_suffix_array_dedup, op8_flac_media, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_repair_token_ids, op5_suffix_array_dedup, op8_flac_media, op9_cgk_decontamination, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
