@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import decontaminate, flac, repair, simhash, suffix
-from loamwork.llm.common import read_table, table_path
+from loamwork.llm import decontaminate, flac, mixing, repair, simhash, suffix, urls
+from loamwork.llm.common import read_table, stage, table_path
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +22,13 @@ def op2_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken over all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    sized = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", mixing.word_count(F.col("text")).alias("size")), "sizes")
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 over all documents, strings of 200 bytes."""
     out = suffix.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
@@ -29,6 +36,11 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
+    return urls.judge_urls(read_table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a FLAC stream of 8-bit samples, decoded again; digests and features of both."""
     media = flac.encode_column(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -54,8 +66,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_repair_token_ids, op5_suffix_array_dedup, op8_flac_media, op9_cgk_decontamination, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_repair_token_ids, op3_mix_sources, op5_suffix_array_dedup, op7_url_filter, op8_flac_media, op9_cgk_decontamination, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mix_sources": mixing.ORACLE, "op7_url_filter": urls.ORACLE}
