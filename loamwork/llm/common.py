@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -73,6 +74,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WORD = re.compile(r"\w+")
+_OTHER = re.compile(r"[^\x00-\x7f\w]")
+_SPACED = bytes(i if chr(i).isalnum() or chr(i) == "_" or i > 127 else 32 for i in range(256))
+
+
+def word_tokens(text: str | None) -> list[bytes]:
+    """Lower-cased runs of letters, digits and underscores, as UTF-8."""
+    low = (text or "").lower()
+    if _OTHER.search(low):
+        return [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(low)]
+    return low.encode("utf-8", "surrogatepass").translate(_SPACED).split()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``rows`` labelled documents outside the held-out fold.
+
+    The fold is crc32(doc_id as text) mod ``folds``; ``held`` is never learned from. The rows with
+    the smallest hash of doc_id are taken, so the sample is the same in every run. A document with
+    several labels has the highest.
+    """
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = known.where(fold != held).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # at most ``rows`` ids, so this broadcast is bounded
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,6 @@ that meet an item under any of them are checked exactly.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import map_arrow, text_slices
+from loamwork.llm.common import map_arrow, text_slices, word_tokens
 
 #: Edits allowed a word of the item.
 RATE = 0.2
@@ -31,20 +30,9 @@ REPEATS, SAMPLED = 48, 2
 GRAM = 3
 #: Characters of benchmark text that are sent to the executors at once; more go in further passes.
 BLOCK_CHARS = 8 << 20
-_WORD = re.compile(r"\w+")
-_OTHER = re.compile(r"[^\x00-\x7f\w]")
-_SPACED = bytes(i if chr(i).isalnum() or chr(i) == "_" or i > 127 else 32 for i in range(256))
 _END = -1
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased runs of letters, digits and underscores, as UTF-8."""
-    low = (text or "").lower()
-    if _OTHER.search(low):
-        return [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(low)]
-    return low.encode("utf-8", "surrogatepass").translate(_SPACED).split()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -100,7 +88,7 @@ class Index:
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in word_tokens(text)]
             if ids:
                 self.items.append((item_id, np.array(ids, np.int64)))
         base = np.int64(len(self.vocabulary) + 1)
@@ -206,7 +194,7 @@ def index_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterat
 
 def _ids(index: Index, texts: list[str | None]) -> list[np.ndarray]:
     get, none = index.vocabulary.get, repeat(0)
-    return [np.fromiter(map(get, words, none), np.int64, len(words)) for words in map(words_of, texts)]
+    return [np.fromiter(map(get, words, none), np.int64, len(words)) for words in map(word_tokens, texts)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

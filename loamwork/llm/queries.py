@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import decontaminate, flac, mixing, repair, simhash, suffix, urls
+from loamwork.llm import decontaminate, flac, mixing, repair, simhash, suffix, toxicity, urls
 from loamwork.llm.common import read_table, stage, table_path
 
 
@@ -29,6 +29,17 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _held_out(folds: int, held: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held
+
+
+def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return out.select("doc_id", _held_out(toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 over all documents, strings of 200 bytes."""
     out = suffix.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
@@ -66,7 +77,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_repair_token_ids, op3_mix_sources, op5_suffix_array_dedup, op7_url_filter, op8_flac_media, op9_cgk_decontamination, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_repair_token_ids, op3_mix_sources, op4_counterfactual_toxicity, op5_suffix_array_dedup, op7_url_filter, op8_flac_media, op9_cgk_decontamination, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
