@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm import decontaminate, flac, mixing, repair, simhash, suffix, toxicity, urls
+from loamwork.llm import decontaminate, flac, mixing, pii, quality, repair, simhash, suffix, toxicity, urls
 from loamwork.llm.common import read_table, stage, table_path
 
 
@@ -15,6 +15,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with pseudonyms, n_values and their kinds and places, for every document."""
+    out = pii.pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), "pii")
+
+
 def op2_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from Re-Pair shards; end id 2."""
     path = table_path(spark, "token-shards")
@@ -47,6 +53,13 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, and the share of good text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+    return out.select("doc_id", _held_out(quality.FOLDS, quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"), "good_share")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     return urls.judge_urls(read_table(spark, sf_dir, "pages"), urls.rule_table(spark))
@@ -77,7 +90,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_repair_token_ids, op3_mix_sources, op4_counterfactual_toxicity, op5_suffix_array_dedup, op7_url_filter, op8_flac_media, op9_cgk_decontamination, op10_simhash_near_dedup)}
+    found = (
+        op1_feistel_pseudonyms, op2_repair_token_ids, op3_mix_sources, op4_counterfactual_toxicity, op5_suffix_array_dedup,
+        op6_crf_quality, op7_url_filter, op8_flac_media, op9_cgk_decontamination, op10_simhash_near_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
