@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from loamwork.llm.common import connected_components, map_arrow, partitions, stage, text_slices
 
 SEED = 42
-#: Rows of one bucket that one task compares; larger buckets are cut into blocks of this size and
-#: every pair of blocks is compared, so no link is lost.
+#: Rows of one bucket that are compared at once; larger buckets are cut into blocks of this size.
 BLOCK = 1024
 _SPAN = 1 << 16
 
@@ -102,47 +101,107 @@ def forest(size: int, close) -> list[tuple[int, int]]:
     return edges
 
 
-def bucket_edges(rows: DataFrame, values: list[str], close_of, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between rows of equal ``key``: (key, id, *values) -> a spanning forest a bucket.
+def linked_components(rows: DataFrame, values: list[str], close_of, block: int = BLOCK) -> DataFrame:
+    """(node, component) of the links between rows (key, id, *values) of equal key.
 
-    A bucket of more than ``block`` rows is cut by a hash of the id; each pair of blocks is a group
-    of its own, so work is spread and all pairs are still compared. Only forests leave a group.
+    A bucket is cut into blocks by a hash of the id. First each block by itself yields a spanning
+    forest of its links, whose components are found over all buckets. Then, in buckets of several
+    blocks, rows outside a bucket's largest component are compared with all rows of the bucket, in
+    tasks of two blocks. Rows of one component need no further comparison, so no link between
+    components is missed, and a large group of close rows isn't compared pair by pair.
     """
-    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sized = rows.join(hot.where("n > 1"), "key")
-    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    cut = sized.withColumn("parts", parts).withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "id", *values)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cut = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / F.lit(block)).cast("int")).drop("n")
+    cut = cut.withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
+    cut = stage(cut.select("key", "b", "parts", "id", *values), "buckets")
+    n = partitions(rows.sparkSession)
+    dealt = cut.select("key", "b", "id", *values).repartition(n, "key", "b").sortWithinPartitions("key", "b")
+    first = connected_components(map_arrow(dealt, _by_group(("key", "b"), _forest_edges(values, close_of)), "u long, v long").distinct())
+    crowded = cut.where("parts > 1")
+    if crowded.isEmpty():
+        return first
+    first = stage(first, "first")
+    known = crowded.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    largest = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    open_keys = largest.where("most < all").withColumn("probe_parts", F.ceil((F.col("all") - F.col("most")) / F.lit(block)).cast("int")).select("key", "top", "probe_parts")
+    known = stage(known.join(open_keys, "key"), "open")
+    columns = ["key", "id", "c", *values]
+    targets = known.select(*columns, "b", F.explode(F.sequence(F.lit(0), F.col("probe_parts") - 1)).alias("p"), F.lit(0).alias("probe"))
+    probes = known.where("c <> top").withColumn("p", F.pmod(F.xxhash64("id"), F.col("probe_parts")).cast("int"))
+    probes = probes.select(*columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), "p", F.lit(1).alias("probe"))
+    both = targets.unionByName(probes).repartition(n, "key", "b", "p").sortWithinPartitions("key", "b", "p")
+    more = map_arrow(both, _by_group(("key", "b", "p"), _probe_edges(values, close_of)), "u long, v long").distinct()
+    return connected_components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+
+def _by_group(keys: tuple[str, ...], edges_of):
+    """A function of sorted batches that hands each group of equal ``keys`` to ``edges_of``."""
+
+    def emit(pdf: pd.DataFrame, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        us, vs = [], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1:
+                u, v = edges_of(pdf, a, b)
+                us += u
+                vs += v
+        if us:
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
             pdf = batch.to_pandas()
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            same = pdf[["key", "p", "q"]].to_numpy()
-            cuts = np.flatnonzero((same[1:] != same[:-1]).any(axis=1)) + 1
-            last = int(cuts[-1]) if len(cuts) else 0
-            yield from _emit(pdf, [0, *cuts.tolist()], values, close_of)
-            held = pdf.iloc[last:]
-        if held is not None and len(held):
-            yield from _emit(held.reset_index(drop=True), [0, len(held)], values, close_of)
-
-    spread = dealt.repartition(partitions(rows.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return map_arrow(spread, run, "u long, v long").distinct()
-
-
-def _emit(pdf: pd.DataFrame, cuts: list[int], values: list[str], close_of) -> Iterator[pa.RecordBatch]:
-    ids, keys, cols = pdf["id"].to_numpy(), pdf["key"].to_numpy(), [pdf[v].to_numpy().view(np.uint64) for v in values]
-    us, vs = [], []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b - a > 1:
-            close = close_of(int(keys[a]), [c[a:b] for c in cols])
-            for i, j in forest(b - a, close):
-                us.append(ids[a + i])
-                vs.append(ids[a + j])
-    if us:
-        yield pa.record_batch([pa.array(np.array(us, np.int64)), pa.array(np.array(vs, np.int64))], names=["u", "v"])
+            same = pdf[list(keys)].to_numpy()
+            if held and (held[-1][list(keys)].to_numpy()[-1] != same[0]).any():
+                whole = pd.concat(held, ignore_index=True)
+                yield from emit(whole, [0, len(whole)])
+                held = []
+            cuts = (np.flatnonzero((same[1:] != same[:-1]).any(axis=1)) + 1).tolist()
+            if cuts and held:
+                whole = pd.concat([*held, pdf.iloc[: cuts[0]]], ignore_index=True)
+                yield from emit(whole, [0, len(whole)])
+                held = []
+                yield from emit(pdf, cuts)
+            elif cuts:
+                yield from emit(pdf, [0, *cuts])
+            held.append(pdf.iloc[cuts[-1] :] if cuts else pdf)
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield from emit(whole, [0, len(whole)])
+
+    return run
+
+
+def _forest_edges(values: list[str], close_of):
+    def edges(pdf: pd.DataFrame, a: int, b: int) -> tuple[list[int], list[int]]:
+        part = pdf.iloc[a:b]
+        ids = part["id"].to_numpy()
+        close = close_of(int(part["key"].iloc[0]), [part[v].to_numpy().view(np.uint64) for v in values])
+        found = forest(b - a, close)
+        return [int(ids[i]) for i, _ in found], [int(ids[j]) for _, j in found]
+
+    return edges
+
+
+def _probe_edges(values: list[str], close_of):
+    """Edges from each probe of a group to one row of every other component that it is close to."""
+
+    def edges(pdf: pd.DataFrame, a: int, b: int) -> tuple[list[int], list[int]]:
+        part = pdf.iloc[a:b]
+        probe = part["probe"].to_numpy() == 1
+        targets = np.flatnonzero(~probe)
+        ids, components = part["id"].to_numpy(), part["c"].to_numpy()
+        close = close_of(int(part["key"].iloc[0]), [part[v].to_numpy().view(np.uint64) for v in values])
+        us, vs = [], []
+        for i in np.flatnonzero(probe).tolist():
+            hit = targets[close(i, targets)]
+            hit = hit[components[hit] != components[i]]
+            _, one = np.unique(components[hit], return_index=True)
+            us += [int(ids[i])] * len(one)
+            vs += ids[hit[one]].tolist()
+        return us, vs
+
+    return edges
 
 
 def _close_op10(key: int, cols: list[np.ndarray]):
@@ -160,7 +219,7 @@ def hamming_components(fps: DataFrame) -> DataFrame:
     fps = stage(fps, "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
     rows = nodes.select(F.explode(ring_keys()).alias("key"), "id", "fp")
-    found = connected_components(bucket_edges(rows, ["fp"], _close_op10))
+    found = linked_components(rows, ["fp"], _close_op10)
     roots = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -168,8 +227,8 @@ def hamming_components(fps: DataFrame) -> DataFrame:
 #: Wide fingerprints of the near-dedup stage: five-word shingles, 256 bits, links at an estimated
 #: similarity of 0.8 (48 bits leave room for the estimate's error).
 STAGE_WORDS, STAGE_BITS, STAGE_LINK = 5, 256, 48
-#: Bands of the index over the word fingerprint: 24 keys of 20 bits.
-BANDS, BAND_BITS = 24, 20
+#: Bands of the index over the word fingerprint: 32 keys of 24 bits.
+BANDS, BAND_BITS = 32, 24
 
 
 def wide_majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
@@ -193,12 +252,18 @@ def _close_stage(key: int, cols: list[np.ndarray]):
     lanes = np.stack(cols)
 
     def close(i: int, others: np.ndarray) -> np.ndarray:
-        counts = np.bitwise_count(lanes[:, others] ^ lanes[:, i : i + 1]).astype(np.int64)
-        chain = np.zeros(len(others), bool)
+        # a start of a chain has at most its share in the first lane; only those rows go on
+        near = np.zeros(len(others), bool)
         for start in range(len(lanes)):
-            sums = np.cumsum(np.roll(counts, -start, axis=0), axis=0)
-            chain |= (sums * len(lanes) <= STAGE_LINK * np.arange(1, len(lanes) + 1)[:, None]).all(axis=0)
-        return chain & (counts.sum(axis=0) <= STAGE_LINK)
+            total, on = np.zeros(len(others), np.int64), np.flatnonzero(~near)
+            for step in range(len(lanes)):
+                lane = lanes[(start + step) % len(lanes)]
+                total[on] += np.bitwise_count(lane[others[on]] ^ lane[i])
+                on = on[total[on] * len(lanes) <= STAGE_LINK * (step + 1)]
+                if not len(on):
+                    break
+            near[on] = True
+        return near
 
     return close
 
@@ -208,7 +273,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 
     Equal word sequences are one node. The others get two fingerprints: one of 256 bits over
     five-word shingles, whose Hamming distance estimates the similarity and decides links, and one
-    over distinct words, which an edit moves far less and whose 20-bit bands find the candidates.
+    over distinct words, which an edit moves far less and whose 24-bit bands find the candidates.
     Links need the pigeonring chain and then the full Hamming check. Empty and null texts are one
     node. Groups are the components; group_id is the smallest doc_id.
     """
@@ -232,7 +297,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     nodes = prints.groupBy("exact").agg(F.min("doc_id").alias("id"))
     heads = prints.where("doc_id IS NOT NULL").join(nodes.select("exact", F.col("id").alias("doc_id")).where("doc_id IS NOT NULL"), ["exact", "doc_id"], "left_semi")
     rows = heads.dropDuplicates(["doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), *names)
-    found = connected_components(bucket_edges(rows, names, _close_stage))
+    found = linked_components(rows, names, _close_stage)
     roots = nodes.join(found, nodes["id"] == found["node"], "left").select("exact", F.coalesce("component", "id").alias("group_id"))
     return prints.select("doc_id", "exact").join(roots, "exact", "left").select("doc_id", "group_id")
 
