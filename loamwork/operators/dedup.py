@@ -20,6 +20,11 @@ def pair_codes(text: str | None) -> np.ndarray:
     return np.unique(codes[:-1] << 21 | codes[1:])
 
 
+def _plain(columns: dict) -> pd.DataFrame:
+    """Columns of Python objects where they aren't numbers: Arrow-backed strings may come in chunks."""
+    return pd.DataFrame({k: v if isinstance(v, np.ndarray) and v.dtype.kind in "iuf" else pd.Series(list(v), dtype=object) for k, v in columns.items()})
+
+
 def similar_pairs(rows: DataFrame, group: str, key: str, text: str, numerator: int = 4, denominator: int = 5) -> DataFrame:
     """(group, a, b, n_a, n_b, shared) with a < b: pairs of a group with Jaccard above numerator / denominator.
 
@@ -57,7 +62,7 @@ def similar_pairs(rows: DataFrame, group: str, key: str, text: str, numerator: i
         shared_of = shared[i, j]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         keys = pdf["key"].to_numpy()
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * len(a), "a": keys[a], "b": keys[b], "n_a": sizes[a], "n_b": sizes[b], "shared": shared_of})
+        return _plain({"grp": [pdf["grp"].iloc[0]] * len(a), "a": keys[a], "b": keys[b], "n_a": sizes[a], "n_b": sizes[b], "shared": shared_of})
 
     kinds = dict(rows.dtypes)
     out = dealt.groupBy("grp", "p", "q").applyInPandas(compare, f"grp {kinds[group]}, a {kinds[key]}, b {kinds[key]}, n_a long, n_b long, shared long")
@@ -73,6 +78,7 @@ def greedy_losers(pairs: DataFrame, ranks: DataFrame, group: str) -> DataFrame:
     """
     left = ranks.select(group, F.col("key").alias("a"), F.col("quality").alias("qa"), F.col("doc").alias("da"), F.col("seq").alias("sa"))
     right = ranks.select(group, F.col("key").alias("b"), F.col("quality").alias("qb"), F.col("doc").alias("db"), F.col("seq").alias("sb"))
+    ship(pairs.sparkSession)
     full = pairs.select(group, "a", "b").join(left, [group, "a"]).join(right, [group, "b"])
     first = F.col("sa") < F.col("sb")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
@@ -91,7 +97,7 @@ def greedy_losers(pairs: DataFrame, ranks: DataFrame, group: str) -> DataFrame:
                 continue
             second = r.qa > r.qb if r.qa != r.qb else r.da <= r.db
             gone.add(r.b if second else r.a)
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * len(gone), "loser": list(gone)})
+        return _plain({"grp": [pdf["grp"].iloc[0]] * len(gone), "loser": list(gone)})
 
     kinds = dict(pairs.dtypes)
     return ordered.groupBy("grp").applyInPandas(run, f"grp {kinds[group]}, loser {kinds['a']}").withColumnRenamed("grp", group)

@@ -21,7 +21,7 @@ def merge_exact(entities: DataFrame) -> DataFrame:
     """
     named = entities.withColumn("name", normalize_name(F.col("name"))).where("name <> ''")
     first = F.min_by(F.struct("source", "confidence"), "seq")
-    pairs = F.sort_array(F.collect_list(F.struct("seq", "attributes")))
+    pairs = F.array_sort(F.collect_list(F.struct("seq", "attributes")), lambda x, y: F.when(x["seq"] < y["seq"], -1).when(x["seq"] > y["seq"], 1).otherwise(0))
     merged = F.aggregate(
         pairs, F.create_map().cast("map<string,string>"),
         lambda seen, p: F.map_concat(seen, F.map_filter(F.coalesce(p["attributes"], F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(seen, k))),
@@ -89,7 +89,7 @@ def merge_fuzzy(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
         out = pd.DataFrame(live)
         out["old"] = None
         extra = pd.DataFrame([{"type": pdf["type"].iloc[0], "engineering_type": pdf["engineering_type"].iloc[0], "seq": -1 - n, "name": new, "aliases": [], "source": "", "confidence": 0.0, "old": old} for n, (old, new) in enumerate(moved)])
-        return pd.concat([out, extra], ignore_index=True)[["type", "engineering_type", "seq", "name", "aliases", "source", "confidence", "old"]]
+        return pd.concat([out, extra], ignore_index=True).astype({c: object for c in ("type", "engineering_type", "name", "aliases", "source", "old") if c in out})[["type", "engineering_type", "seq", "name", "aliases", "source", "confidence", "old"]]
 
     walked = near.groupBy(*keys).applyInPandas(run, _FIELDS + ", old string")
     kept = walked.where("old IS NULL").drop("old").join(entities.select("seq", "attributes"), "seq")
@@ -132,9 +132,9 @@ def resolve_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def number_relations(relations: DataFrame, order: str = "first_seq") -> DataFrame:
-    """``id`` rel_NNNN in order of first appearance: ranks of range partitions plus their offsets."""
+    """``id`` rel_NNNN in order of first appearance, then of the ends: ranks in ranges of 100,000 plus offsets."""
     spread = relations.withColumn("_bucket", F.floor(F.col(order) / 100_000))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(order, "source", "target", "relation_type"))
     counts = spread.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))

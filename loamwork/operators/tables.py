@@ -38,7 +38,7 @@ def table_rows(docs: DataFrame, text: str = "content", keep: tuple[str, ...] = (
     data = lines.where("inside AND NOT separator AND last_separator IS NOT NULL AND (last_other IS NULL OR last_separator > last_other)")
     cells = F.transform(F.split("raw", r"\|", -1), T.strip)
     cells = F.when(F.get(cells, 0) == "", F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))).otherwise(cells)
-    cells = F.when(F.element_at(cells, -1) == "", F.slice(cells, 1, F.size(cells) - 1)).otherwise(cells)
+    cells = F.when(F.try_element_at(cells, F.lit(-1)) == "", F.slice(cells, 1, F.size(cells) - 1)).otherwise(cells)
     return data.select(*keep, "line", cells.alias("cells")).where(F.size("cells") > 0)
 
 

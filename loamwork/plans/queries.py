@@ -48,7 +48,7 @@ def regex_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SQL_CLEAN}, checks AS (
   SELECT lang, length(text) = 0 OR length(cleaned) / length(text) >= 0.5 AS length_ok,
     NOT regexp_matches(cleaned, '(?m)^[ \\t\\n\\r\\f\\v]*(Here is the cleaned)') AS opening_ok,
-    len(list_filter(string_split(cleaned, chr(10)), l -> length(l) - length(replace(l, '|', '')) = 1)) = 0 AS structure_ok
+    len(list_filter(string_split(cleaned, chr(10)), lambda l: length(l) - length(replace(l, '|', '')) = 1)) = 0 AS structure_ok
   FROM clean)
 SELECT lang, count(*) AS documents, count(*) FILTER (length_ok) AS length_ok, count(*) FILTER (opening_ok) AS opening_ok,
   count(*) FILTER (structure_ok) AS structure_ok, count(*) FILTER (length_ok AND opening_ok AND structure_ok) AS all_ok
@@ -334,7 +334,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- near duplicates
 
-_SQL_BIGRAMS = r"""b AS (SELECT doc_id, source, list_distinct(list_transform(range(1, greatest(length(text), 1)), i -> substring(text, i, 2))) AS s FROM documents)"""
+_SQL_BIGRAMS = r"""b AS (SELECT doc_id, source, list_distinct(list_transform(range(1, greatest(length(text), 1)), lambda i: substring(text, i, 2))) AS s FROM documents)"""
 _SQL_PAIRS = _SQL_BIGRAMS + """, n AS (SELECT doc_id, source, s, len(s) AS n FROM b), p AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, x.n AS n_a, y.n AS n_b, len(list_intersect(x.s, y.s)) AS shared FROM n x JOIN n y ON x.source = y.source AND x.doc_id < y.doc_id AND 5 * least(x.n, y.n) > 4 * greatest(x.n, y.n)),
 pairs AS (SELECT source, a, b, n_a, n_b, shared FROM p WHERE 5 * shared > 4 * (n_a + n_b - shared))"""
 
@@ -370,12 +370,12 @@ def hazard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH lines AS (SELECT doc_id, CAST(unnest(range(len(p))) AS INT) AS i, trim(unnest(p), ' ' || chr(9) || chr(13)) AS raw FROM (SELECT doc_id, string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10)) AS p FROM documents)),
-rows AS (SELECT doc_id, CAST(3 * i + 2 AS INT) AS line, replace(raw, '|', '/') AS raw FROM lines)
+rows AS (SELECT doc_id, CAST(4 * i + 2 AS INT) AS line, replace(raw, '|', '/') AS raw FROM lines)
 SELECT doc_id, line, trim(raw) AS first_cell FROM rows WHERE trim(raw) <> '' AND NOT regexp_matches(raw, '^[ \-:]+$')""")
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line as a table of its own: header, separator, row."""
     lines = F.transform(F.split(T.strip(F.col("text")), "\n", -1), lambda line: F.concat(F.lit("| head |\n|---|\n| "), F.translate(T.strip(line), "|", "/"), F.lit(" |")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("content"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("content"))
     return tables.table_rows(docs).select("doc_id", "line", F.get("cells", F.lit(0)).alias("first_cell")).where("first_cell <> ''")
 
 
@@ -442,7 +442,7 @@ def relation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.dedup_relations(_line_relations(spark, sf_dir)).select("source", "target", "relation_type", "confidence", "evidence", "seq", "first_seq")
 
 
-@query(f"WITH {_SQL_RELATIONS} SELECT printf('rel_%04d', row_number() OVER (ORDER BY first_seq)) AS id, source, target, relation_type FROM best")
+@query(f"WITH {_SQL_RELATIONS} SELECT printf('rel_%04d', row_number() OVER (ORDER BY first_seq, source, target, relation_type)) AS id, source, target, relation_type FROM best")
 def relation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.number_relations(entities.dedup_relations(_line_relations(spark, sf_dir))).select("id", "source", "target", "relation_type")
 
@@ -471,7 +471,7 @@ edge AS (SELECT b.first_seq AS seq, x.name AS src, y.name AS tgt, CASE WHEN evid
   CASE relation_type WHEN 'requires_equipment' THEN '需要设备,工序设备' WHEN 'produces_hazard' THEN '产生危险源,工序危险' WHEN 'mitigated_by' THEN '安全措施,控制措施,风险缓解' ELSE '质量控制,质量要点,质量检查' END AS keywords, confidence AS weight
   FROM best b JOIN ent x ON x.id = b.source JOIN ent y ON y.id = b.target),
 single AS (SELECT least(src, tgt) AS lo, greatest(src, tgt) AS hi, arg_max(keywords, seq) AS keywords FROM edge GROUP BY ALL),
-both AS (SELECT lo AS src, hi AS tgt, keywords FROM single UNION ALL SELECT hi, lo, keywords FROM single WHERE lo <> hi)"""
+twoway AS (SELECT lo AS src, hi AS tgt, keywords FROM single UNION ALL SELECT hi, lo, keywords FROM single WHERE lo <> hi)"""
 
 
 @query(f"WITH {_SQL_GRAPH} SELECT seq, src, tgt, description, keywords, weight FROM edge")
@@ -480,15 +480,15 @@ def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(rel, ent)[0].select("seq", "src", "tgt", "description", "keywords", "weight")
 
 
-@query(f"WITH {_SQL_GRAPH} SELECT src AS name, tgt AS neighbor FROM both WHERE contains(keywords, '质量') AND starts_with(src, 'part ')")
+@query(f"WITH {_SQL_GRAPH} SELECT src AS name, tgt AS neighbor FROM twoway WHERE contains(keywords, '质量') AND starts_with(src, 'part ')")
 def kg_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ent, rel = _graph_tables(spark, sf_dir)
     links = graph.undirected(graph.edges(rel, ent)[0])
     return graph.neighbors(links, ent.where(F.startswith("name", F.lit("part "))).select("name"), "质量").select("name", "neighbor")
 
 
-@query(f"""WITH {_SQL_GRAPH}, link AS (SELECT src AS name, tgt, CASE WHEN contains(keywords, '设备') THEN 'equipment' WHEN contains(keywords, '危险') THEN 'hazard' WHEN contains(keywords, '质量') THEN 'quality' END AS bucket FROM both WHERE starts_with(src, 'part ')),
-m AS (SELECT src, count(DISTINCT tgt) AS n, min(tgt) AS first FROM both WHERE contains(keywords, '措施') OR contains(keywords, '缓解') GROUP BY src)
+@query(f"""WITH {_SQL_GRAPH}, link AS (SELECT src AS name, tgt, CASE WHEN contains(keywords, '设备') THEN 'equipment' WHEN contains(keywords, '危险') THEN 'hazard' WHEN contains(keywords, '质量') THEN 'quality' END AS bucket FROM twoway WHERE starts_with(src, 'part ')),
+m AS (SELECT src, count(DISTINCT tgt) AS n, min(tgt) AS first FROM twoway WHERE contains(keywords, '措施') OR contains(keywords, '缓解') GROUP BY src)
 SELECT e.name, coalesce(string_agg(DISTINCT CASE WHEN bucket = 'equipment' THEN tgt END, ',' ORDER BY CASE WHEN bucket = 'equipment' THEN tgt END), '') AS equipment,
   coalesce(string_agg(DISTINCT CASE WHEN bucket = 'hazard' THEN tgt END, ',' ORDER BY CASE WHEN bucket = 'hazard' THEN tgt END), '') AS hazards,
   coalesce(string_agg(DISTINCT CASE WHEN bucket = 'quality' THEN tgt END, ',' ORDER BY CASE WHEN bucket = 'quality' THEN tgt END), '') AS quality,
