@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions.text import normalize_name
 from loamwork.plans import rules
+from loamwork.workers import ship
 
 _FIELDS = "type string, engineering_type string, seq long, name string, aliases array<string>, source string, confidence double"
 
@@ -53,6 +54,7 @@ def merge_fuzzy(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     The walk is by seq and depends on its own removals, so a group is one task; only names within
     two edits of another reach it, the others pass.
     """
+    ship(entities.sparkSession)
     keys = ("type", "engineering_type")
     pairs = fuzzy_pairs(entities, keys)
     touched = pairs.select(*keys, F.explode(F.array("a", "b")).alias("name")).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions.text import strip
 from loamwork.plans import rules
+from loamwork.workers import ship
 
 FRAGMENT = (
     "id STRING, source_doc INT, chapter STRING, chapter_id STRING, section STRING, engineering_type STRING, quality_rating INT, density STRING, "
@@ -27,7 +28,7 @@ EVAL_ITEM = "query_id STRING, query STRING, positive_id STRING, positive_chapter
 
 def read_documents(spark: SparkSession, template: str, ids: list[int]) -> DataFrame:
     """(doc_id, text) of whole files at ``template`` with ``{doc_id}``; missing ones are skipped."""
-    reader = spark.read.option("wholetext", True).option("ignoreMissingFiles", True)
+    reader = spark.read.option("ignoreMissingFiles", True)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     paths = []
     for i in ids:
@@ -38,7 +39,7 @@ def read_documents(spark: SparkSession, template: str, ids: list[int]) -> DataFr
         return spark.createDataFrame([], "doc_id INT, text STRING")
     head, tail = template.split("{doc_id}")
     pattern = rf"{_quoted(head)}(\d+){_quoted(tail)}$"
-    text = reader.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    text = reader.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     return text.select(F.regexp_extract("path", pattern, 1).cast("int").alias("doc_id"), F.col("value").alias("text"))
 
 
@@ -55,7 +56,7 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFr
 
 def read_markdown_folder(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("README.md",)) -> DataFrame:
     """(name, stem, text) of the Markdown files of a folder, without blank ones and ``skip``."""
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    text = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     rows = text.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("text"))
     return rows.where(~F.col("name").isin(*skip) & (strip(F.col("text")) != "")).withColumn("stem", F.regexp_replace("name", r"\.md$", ""))
 
@@ -81,7 +82,7 @@ def read_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
     if path is None:
         rows = [(c[0], i, c[1], tier, n, w) for i, c in enumerate(rules.CHAPTERS) for at, tier in ((2, "exact"), (3, "variant"), (4, "regex")) for n, w in enumerate(c[at])]
         return spark.createDataFrame(rows, "chapter_id STRING, ord INT, standard_name STRING, tier STRING, n INT, keyword STRING")
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     rows = []
     for i, (chapter, data) in enumerate(json.loads(text)["chapters"].items()):
         for rule in data["rules"]:
@@ -116,6 +117,7 @@ def first_markdown(archive: bytes | None) -> str | None:
 
 def unpack_markdown(files: DataFrame, content: str = "content") -> DataFrame:
     """``text`` of each ZIP in ``content``."""
+    ship(files.sparkSession)
     unpack = F.pandas_udf(lambda s: s.map(first_markdown), "string")
     return files.withColumn("text", unpack(F.col(content)))
 
@@ -123,6 +125,8 @@ def unpack_markdown(files: DataFrame, content: str = "content") -> DataFrame:
 def convert_files(files: DataFrame, convert: Callable[[], Callable[[bytes], str]]) -> DataFrame:
     """(path, text, error) by an outside converter that each task makes once; a failure is a row's error."""
 
+    ship(files.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = convert()
         for pdf in batches:
