@@ -5,15 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamwork.workers import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
@@ -58,15 +58,7 @@ def drop_stage(df: DataFrame) -> None:
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers can import this package, wherever the session was started."""
-    context = df.sparkSession.sparkContext
-    if getattr(context, "_loamwork_shipped", None) is None:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="loamwork-")) / "loamwork.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for path in sorted(package.rglob("*.py")):
-                out.write(path, path.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        context._loamwork_shipped = str(archive)
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
