@@ -94,7 +94,7 @@ def test_document_content(spark):
 
 @pytest.mark.parametrize(
     ("text", "size", "want"),
-    [("", 10, [""]), ("aaaa\n\nbbbb\n\ncc", 9, ["aaaa", "bbbb", "cc"]), ("a\n\nb", 10, ["a\n\nb"]), ("aaaaaa\n\n# h", 10, ["aaaaaa", "# h"])],
+    [("", 10, [""]), ("aaaa\n\nbbbb\n\ncc", 9, ["aaaa", "bbbb\n\ncc"]), ("a\n\nb", 10, ["a\n\nb"]), ("aaaaaa\n\n# h", 10, ["aaaaaa", "# h"])],
 )
 def test_chunks(spark, text, size, want):
     assert value(spark, lambda c: chunk_paragraphs(c, size), text) == want
