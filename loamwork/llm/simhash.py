@@ -217,7 +217,8 @@ def hamming_components(fps: DataFrame) -> DataFrame:
     keeps a null component_id.
     """
     fps = stage(fps, "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
+    # a table of its own, so that the last join can split a fingerprint that many rows have
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "nodes")
     rows = nodes.select(F.explode(ring_keys()).alias("key"), "id", "fp")
     found = linked_components(rows, ["fp"], _close_op10)
     roots = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
@@ -294,7 +295,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, exact binary, keys array<long>, " + ", ".join(f"{n} long" for n in names)
     prints = stage(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema), "wide")
-    nodes = prints.groupBy("exact").agg(F.min("doc_id").alias("id"))
+    nodes = stage(prints.groupBy("exact").agg(F.min("doc_id").alias("id")), "nodes")
     heads = prints.where("doc_id IS NOT NULL").join(nodes.select("exact", F.col("id").alias("doc_id")).where("doc_id IS NOT NULL"), ["exact", "doc_id"], "left_semi")
     rows = heads.dropDuplicates(["doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), *names)
     found = linked_components(rows, names, _close_stage)
