@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import map_arrow, partitions, stage, text_slices
+from loamwork.llm.common import drop_stage, map_arrow, partitions, stage, text_slices
 
 #: Distinct runs of one gram that are compared in one task; beyond it each string is counted by
 #: its 128-bit hash instead, which needs no group in one place.
@@ -302,8 +302,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, group: int = GROUP) -> Da
     n = partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     runs = map_arrow(docs, _runs(length, gram), "h long, hs long, doc_id long, th int, lo int, span int")
-    again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # a table of its own, so that the join sees plain exchanges and can split a gram that is everywhere
+    again = stage(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
     runs = stage(runs.join(again, "h"), "runs")
+    drop_stage(again)
 
     equal = runs.groupBy("h", "hs").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "lo", "span")).alias("head"))
     equal = stage(equal, "equal")
@@ -318,7 +320,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, group: int = GROUP) -> Da
     cut = map_arrow(docs.join(asked, keyed, "inner").select(docs["doc_id"], docs["th"], "text", "runs"), _cut(length), bytes_schema)
     cut = stage(cut, "cut")
 
-    mine = map_arrow(cut.where(F.col("m") <= group).repartition(n, "h"), _compare(length, gram), "doc_id long, th int, a int, b int")
+    # small parts, so that few of the larger groups meet in one task's memory
+    mine = map_arrow(cut.where(F.col("m") <= group).repartition(4 * n, "h"), _compare(length, gram), "doc_id long, th int, a int, b int")
     strings = map_arrow(cut.where(F.col("m") > group), _strings(length), "s1 long, s2 long, n long, doc_id long, th int, a int")
     counted = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
     crowded = strings.join(counted, ["s1", "s2"]).select("doc_id", "th", "a", (F.col("a") + length).alias("b"))
