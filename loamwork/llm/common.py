@@ -117,20 +117,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected ``edges`` (u, v).
 
     Alternates large-star and small-star steps until the edges no longer change. Both steps are a
-    group-min and an equi-join, so no adjacency list is ever gathered in a task, and every round is
-    written to the shared folder, which cuts lineage and survives lost executors.
+    group-min and an equi-join, so no adjacency list is ever gathered in a task. The minima are a
+    table of their own, so that the join can split a node that a large part of the edges has. Every
+    step is written to the shared folder, which cuts lineage and survives lost executors.
     """
     edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _fingerprint(now)
     while mark[0]:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        drop_stage(low)
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        drop_stage(low)
         seen = _fingerprint(after)
         drop_stage(large)
         drop_stage(now)
