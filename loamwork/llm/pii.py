@@ -109,7 +109,7 @@ class Pseudonymizer:
 
     def value(self, kind: str, text: str, back: bool = False) -> str | None:
         """The image of one value, or None where it fails the check of its kind."""
-        if len(self.known) > 200_000:
+        if len(self.known) > 50_000:
             self.known.clear()
         if (kind, text, back) not in self.known:
             self.known[kind, text, back] = getattr(self, f"_{kind}")(text, back)

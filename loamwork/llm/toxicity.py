@@ -83,7 +83,7 @@ class Model:
         for word in words:
             mine = known.get(word)
             if mine is None:
-                if len(known) > 500_000:
+                if len(known) > 100_000:
                     known.clear()
                 mine = known[word] = tuple(f for f in word_features(word) if f in self.levels)
             if mine:
