@@ -34,7 +34,7 @@ LEAST = 8
 _MAGIC = b"LRP1"
 _HEAD, _ID = struct.Struct("<4sIIIIIQ"), struct.Struct("<I")
 #: Words of a generation; a worker remembers two.
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 150_000
 #: Marks that no pattern of the pre-tokenizer joins to a letter or digit before them.
 _MARKS = ".,;:!?"
 
