@@ -228,8 +228,9 @@ def hamming_components(fps: DataFrame) -> DataFrame:
 #: Wide fingerprints of the near-dedup stage: five-word shingles, 256 bits, links at an estimated
 #: similarity of 0.8 (48 bits leave room for the estimate's error).
 STAGE_WORDS, STAGE_BITS, STAGE_LINK = 5, 256, 48
-#: Bands of the index over the word fingerprint: 32 keys of 24 bits.
-BANDS, BAND_BITS = 32, 24
+#: Documents of the sample that shows which shingles are common, in how many of them one has to be,
+#: and how many are sent to the executors at most.
+COMMON_DOCS, COMMON_MIN, COMMON_MOST = 8192, 4, 1 << 17
 
 
 def wide_majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
@@ -243,10 +244,33 @@ def wide_majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
-def _band_keys(wide: np.ndarray) -> list[int]:
-    bits = int.from_bytes(wide.astype(">u8").tobytes(), "big")
-    mask = (1 << BAND_BITS) - 1
-    return [band << BAND_BITS | (bits >> (BAND_BITS * band)) & mask for band in range(BANDS)]
+def prefix_keys(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles (sorted, unique) of which any set of similarity 0.8 or more shares one.
+
+    Prefix filter: a set of n shares ceil(0.8 n) elements with such a set, so in an order that all
+    sets keep the first n - ceil(0.8 n) + 1 of both meet. The order is by hash, with ``common``
+    (sorted) shingles last; which those are changes the number of candidates, never a result.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    late = np.isin(shingles, common, assume_unique=True) if len(common) else np.zeros(n, bool)
+    return shingles[np.argsort(late, kind="stable")[: n - -(-4 * n // 5) + 1]]
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that recur in a sample of the documents, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            for text in part.column("text").to_pylist():
+                yield pa.record_batch([pa.array(np.unique(shingle_hashes(words_of(text), STAGE_WORDS)).view(np.int64))], names=["shingle"])
+
+    share = max(1, -(-docs.count() // COMMON_DOCS))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(F.col("text").cast("string").alias("text"))
+    counts = map_arrow(sample, run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_MIN)
+    rows = counts.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).collect()
+    return np.sort(np.array([r["shingle"] for r in rows], np.int64).view(np.uint64))
 
 
 def _close_stage(key: int, cols: list[np.ndarray]):
@@ -272,14 +296,14 @@ def _close_stage(key: int, cols: list[np.ndarray]):
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id): documents whose five-word shingles have similarity 0.8 or more, in groups.
 
-    Equal word sequences are one node. The others get two fingerprints: one of 256 bits over
-    five-word shingles, whose Hamming distance estimates the similarity and decides links, and one
-    over distinct words, which an edit moves far less and whose 24-bit bands find the candidates.
-    Links need the pigeonring chain and then the full Hamming check. Empty and null texts are one
+    Equal word sequences are one node. Pairs of similarity 0.8 or more all meet under a key of the
+    prefix filter. A fingerprint of 256 bits over the shingles, whose Hamming distance estimates the
+    similarity, decides links. Links need the pigeonring chain and then the full Hamming check. Empty and null texts are one
     node. Groups are the components; group_id is the smallest doc_id.
     """
     lanes = STAGE_BITS // 64
     names = [f"w{i}" for i in range(lanes)]
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -287,9 +311,9 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
             for text in part.column("text").to_pylist():
                 words = words_of(text)
                 exact.append(xxhash.xxh128_digest(b" ".join(words), SEED))
-                shingle.append(wide_majority(np.unique(shingle_hashes(words, STAGE_WORDS)), lanes))
-                single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set(words)), np.uint64)
-                keys.append(_band_keys(wide_majority(single, -(-BANDS * BAND_BITS // 64))))
+                shingles = np.unique(shingle_hashes(words, STAGE_WORDS))
+                shingle.append(wide_majority(shingles, lanes))
+                keys.append(prefix_keys(shingles, common.value).view(np.int64))
             wide = np.array(shingle, np.uint64).view(np.int64)
             yield pa.record_batch([part.column("doc_id"), pa.array(exact, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(wide[:, i]) for i in range(lanes))], names=["doc_id", "exact", "keys", *names])
 

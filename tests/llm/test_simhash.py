@@ -84,3 +84,32 @@ def test_near_dedup_finds_pairs_of_high_similarity(spark, small):
     ids = sorted(sets)
     close = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert close and all(groups[a] == groups[b] for a, b in close)
+
+
+def block_edited(rng, kind, words):
+    """A text and its copy with a paragraph appended, cut off or replaced, of similarity 0.8 to 0.85."""
+    text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    n = words - 4
+    if kind == "appended":
+        return text, text + [f"v{rng.randrange(10**6)}" for _ in range(int(n * 0.235))]
+    if kind == "truncated":
+        return text, text[: 4 + -(-n * 81 // 100)]
+    size = int(n / 9) - 5
+    at = rng.randrange(words - size)
+    return text, text[:at] + [f"v{rng.randrange(10**6)}" for _ in range(size)] + text[at + size :]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_block_edits_always_get_a_candidate():
+    rng = random.Random(8)
+    for i in range(450):
+        pair = block_edited(rng, ("appended", "truncated", "replaced")[i % 3], rng.choice([60, 200, 400]))
+        assert 0.8 <= jaccard(*pair)
+        a, b = (np.unique(S.shingle_hashes([w.encode() for w in words], 5)) for words in pair)
+        shared = np.intersect1d(a, b)
+        for common in (np.zeros(0, np.uint64), shared[::2], shared):
+            assert len(np.intersect1d(S.prefix_keys(a, common), S.prefix_keys(b, common)))
