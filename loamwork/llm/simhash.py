@@ -225,23 +225,19 @@ def hamming_components(fps: DataFrame) -> DataFrame:
     return fps.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints of the near-dedup stage: five-word shingles, 256 bits, links at an estimated
-#: similarity of 0.8 (48 bits leave room for the estimate's error).
-STAGE_WORDS, STAGE_BITS, STAGE_LINK = 5, 256, 48
+#: Near-dedup stage: five-word shingles; parity bits in 64-bit lanes that prune candidates.
+STAGE_WORDS, LANES = 5, 4
+#: Lanes of the wider parities that prune pairs before their whole sets are joined.
+WIDE = 64
 #: Documents of the sample that shows which shingles are common, in how many of them one has to be,
 #: and how many are sent to the executors at most.
 COMMON_DOCS, COMMON_MIN, COMMON_MOST = 8192, 4, 1 << 17
 
 
-def wide_majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    """``lanes`` independent 64-bit fingerprints of the same hashes, by remixing them."""
-    out = np.zeros(lanes, np.uint64)
-    for lane in range(lanes):
-        mixed = hashes ^ np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & 0xFFFFFFFFFFFFFFFF)
-        mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        out[lane] = majority(mixed ^ (mixed >> np.uint64(33)))
-    return out
+def parity(shingles: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """Bits that tell whether an even or odd number of shingles falls to each; a shingle flips one."""
+    odd = np.bincount((shingles % np.uint64(64 * lanes)).astype(np.int64), minlength=64 * lanes) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def prefix_keys(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -274,55 +270,124 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _close_stage(key: int, cols: list[np.ndarray]):
-    lanes = np.stack(cols)
+    sizes, lanes = cols[0].astype(np.int64), cols[1:]
 
     def close(i: int, others: np.ndarray) -> np.ndarray:
-        # a start of a chain has at most its share in the first lane; only those rows go on
-        near = np.zeros(len(others), bool)
-        for start in range(len(lanes)):
-            total, on = np.zeros(len(others), np.int64), np.flatnonzero(~near)
-            for step in range(len(lanes)):
-                lane = lanes[(start + step) % len(lanes)]
-                total[on] += np.bitwise_count(lane[others[on]] ^ lane[i])
-                on = on[total[on] * len(lanes) <= STAGE_LINK * (step + 1)]
-                if not len(on):
-                    break
-            near[on] = True
-        return near
+        # similarity 0.8 leaves a ninth of both sizes to differ, and parities differ in no more bits
+        both = sizes[others] + sizes[i]
+        near = np.flatnonzero(9 * np.abs(sizes[others] - sizes[i]) <= both)
+        differ = sum(np.bitwise_count(lane[others[near]] ^ lane[i]).astype(np.int64) for lane in lanes)
+        hit = np.zeros(len(others), bool)
+        hit[near[9 * differ <= both[near]]] = True
+        return hit
 
     return close
 
 
+def _open_pairs(values: list[str]):
+    """All pairs of a probe of a group and a row of another component that it may be close to."""
+
+    def edges(pdf: pd.DataFrame, a: int, b: int) -> tuple[list[int], list[int]]:
+        part = pdf.iloc[a:b]
+        probe = part["probe"].to_numpy() == 1
+        targets = np.flatnonzero(~probe)
+        ids, components = part["id"].to_numpy(), part["c"].to_numpy()
+        close = _close_stage(int(part["key"].iloc[0]), [part[v].to_numpy().view(np.uint64) for v in values])
+        us, vs = [], []
+        for i in np.flatnonzero(probe).tolist():
+            hit = targets[components[targets] != components[i]]
+            hit = hit[close(i, hit)]
+            us += np.minimum(ids[hit], ids[i]).tolist()
+            vs += np.maximum(ids[hit], ids[i]).tolist()
+        return us, vs
+
+    return edges
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs (u, v) of ids whose shingle sets have similarity 0.8 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            words = [words_of(t) for t in part.column("text").to_pylist()]
+            exact = [xxhash.xxh128_digest(b" ".join(w), SEED) for w in words]
+            sets = [np.unique(shingle_hashes(w, STAGE_WORDS)).view(np.int64) for w in words]
+            wide = [parity(s.view(np.uint64), WIDE).view(np.int64) for s in sets]
+            yield pa.record_batch([part.column("id"), pa.array(exact, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["id", "exact", "s", "w"])
+
+    pairs = stage(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    sets = map_arrow(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), run, "id long, exact binary, s array<long>, w array<long>")
+    sets = stage(sets.join(heads.select("id", "exact"), ["id", "exact"], "left_semi").select("id", F.size("s").alias("n"), "s", "w"), "sets")
+    differ = F.aggregate(F.zip_with("wu", "wv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+    for name in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("w").alias(f"w{name}")), name)
+    pairs = stage(pairs.where(9 * differ <= F.col("nu") + F.col("nv")).select("u", "v").distinct(), "near")
+    one, other = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
+    shared = F.size(F.array_intersect("su", "sv"))
+    return pairs.join(one, "u").join(other, "v").where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v").distinct()
+
+
+def _stage_components(rows: DataFrame, values: list[str], confirmed) -> DataFrame:
+    """(node, component) of the pairs of rows (key, id, *values) of equal key that ``confirmed`` keeps.
+
+    A spanning forest of the possible links of each block of a bucket comes first, so that a large
+    group isn't confirmed pair by pair. Then every possible pair between different components is.
+    """
+    n = partitions(rows.sparkSession)
+    cut = rows.withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
+    dealt = cut.select("key", "b", "id", *values).repartition(n, "key", "b").sortWithinPartitions("key", "b")
+    first = stage(confirmed(map_arrow(dealt, _by_group(("key", "b"), _forest_edges(values, _close_stage)), "u long, v long")), "first")
+    roots = stage(connected_components(first), "roots")
+    known = cut.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    counts = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    open_keys = counts.where("most < all").withColumn("probe_parts", F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK)).cast("int")).select("key", "top", "probe_parts")
+    known = stage(known.join(open_keys, "key"), "open")
+    columns = ["key", "id", "c", *values]
+    targets = known.select(*columns, "b", F.explode(F.sequence(F.lit(0), F.col("probe_parts") - 1)).alias("p"), F.lit(0).alias("probe"))
+    probes = known.where("c <> top").withColumn("p", F.pmod(F.xxhash64("id"), F.col("probe_parts")).cast("int"))
+    probes = probes.select(*columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), "p", F.lit(1).alias("probe"))
+    both = targets.unionByName(probes).repartition(n, "key", "b", "p").sortWithinPartitions("key", "b", "p")
+    more = confirmed(map_arrow(both, _by_group(("key", "b", "p"), _open_pairs(values)), "u long, v long"))
+    return connected_components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id): documents whose five-word shingles have similarity 0.8 or more, in groups.
 
     Equal word sequences are one node. Pairs of similarity 0.8 or more all meet under a key of the
-    prefix filter. A fingerprint of 256 bits over the shingles, whose Hamming distance estimates the
-    similarity, decides links. Links need the pigeonring chain and then the full Hamming check. Empty and null texts are one
-    node. Groups are the components; group_id is the smallest doc_id.
+    prefix filter; sizes and parity bits prune without loss, and the exact similarity of the shingle
+    sets confirms each link. Empty and null texts are one node. Groups are the components; group_id
+    is the smallest doc_id.
     """
-    lanes = STAGE_BITS // 64
-    names = [f"w{i}" for i in range(lanes)]
+    values = ["size", *(f"w{i}" for i in range(LANES))]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            exact, shingle, keys = [], [], []
+            exact, sizes, bits, keys = [], [], [], []
             for text in part.column("text").to_pylist():
                 words = words_of(text)
                 exact.append(xxhash.xxh128_digest(b" ".join(words), SEED))
                 shingles = np.unique(shingle_hashes(words, STAGE_WORDS))
-                shingle.append(wide_majority(shingles, lanes))
+                sizes.append(len(shingles))
+                bits.append(parity(shingles))
                 keys.append(prefix_keys(shingles, common.value).view(np.int64))
-            wide = np.array(shingle, np.uint64).view(np.int64)
-            yield pa.record_batch([part.column("doc_id"), pa.array(exact, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(wide[:, i]) for i in range(lanes))], names=["doc_id", "exact", "keys", *names])
+            wide = np.array(bits, np.uint64).view(np.int64)
+            yield pa.record_batch([part.column("doc_id"), pa.array(exact, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), *(pa.array(wide[:, i]) for i in range(LANES))], names=["doc_id", "exact", "keys", *values])
 
-    schema = "doc_id long, exact binary, keys array<long>, " + ", ".join(f"{n} long" for n in names)
-    prints = stage(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema), "wide")
+    schema = "doc_id long, exact binary, keys array<long>, " + ", ".join(f"{v} long" for v in values)
+    prints = stage(map_arrow(docs, run, schema), "prints")
     nodes = stage(prints.groupBy("exact").agg(F.min("doc_id").alias("id")), "nodes")
+    # the texts of a repeated doc_id stay apart here, under one id
     heads = prints.where("doc_id IS NOT NULL").join(nodes.select("exact", F.col("id").alias("doc_id")).where("doc_id IS NOT NULL"), ["exact", "doc_id"], "left_semi")
-    rows = heads.dropDuplicates(["doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), *names)
-    found = linked_components(rows, names, _close_stage)
+    heads = heads.withColumnRenamed("doc_id", "id")
+    keys = heads.select(F.explode("keys").alias("key"), "id").distinct()
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = keys.join(sizes, "key").select("key", "id", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
+    rows = stage(met.join(heads.select("id", *values).distinct(), "id"), "buckets")
+    found = _stage_components(rows, values, lambda pairs: _confirmed(pairs, docs, heads))
     roots = nodes.join(found, nodes["id"] == found["node"], "left").select("exact", F.coalesce("component", "id").alias("group_id"))
     return prints.select("doc_id", "exact").join(roots, "exact", "left").select("doc_id", "group_id")
 

@@ -113,3 +113,24 @@ def test_block_edits_always_get_a_candidate():
         shared = np.intersect1d(a, b)
         for common in (np.zeros(0, np.uint64), shared[::2], shared):
             assert len(np.intersect1d(S.prefix_keys(a, common), S.prefix_keys(b, common)))
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_groups_are_those_of_the_exact_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng, texts = random.Random(9), []
+    for i in range(60):
+        texts += block_edited(rng, ("appended", "truncated", "replaced")[i % 3], rng.choice([60, 200, 400]))
+    for _ in range(60):  # similarity just below 0.8, and chains
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts += [words, words + [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(50, 85))], words[rng.randrange(60) :]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    parent = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((parent[i], parent[j]))
+                parent = [x if p == y else p for p in parent]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["group_id"] for r in S.near_duplicate_groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == parent
