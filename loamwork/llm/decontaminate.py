@@ -3,7 +3,7 @@
 A document is contaminated by an item if some stretch of its words is within 0.2 edits a word of
 the item (words are lower-cased runs of letters, digits and underscores; an edit inserts, deletes
 or replaces a word). A window that is close enough must hold a number of the benchmark's word
-triples (the q-gram lemma), so only windows that do are embedded; no close one is lost there. The
+triples (the q-gram lemma; pairs for items so short that the edits could break all triples), so only windows that do are embedded; no close one is lost there. The
 CGK walk turns a window and the items of its size into long strings whose Hamming distance follows
 the edit distance; sampled positions of it are hashed, over independent repetitions, and windows
 that meet an item under any of them are checked exactly.
@@ -81,6 +81,11 @@ def closest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[j]), int(begin[j]), j
 
 
+def gram_size(n: int) -> int:
+    """Words of the grams of an n-word item: triples, or fewer where the edits could break all of them."""
+    return max(q for q in range(1, min(GRAM, n) + 1) if q == 1 or n - q + 1 - q * int(RATE * n) >= 1)
+
+
 class Index:
     """The items of a benchmark block, ready to be looked for."""
 
@@ -98,7 +103,7 @@ class Index:
         for i, (_, ids) in enumerate(self.items):
             n = len(ids)
             sizes[n].append(i)
-            q = min(GRAM, n)
+            q = gram_size(n)
             for offset, key in enumerate(_grams(ids, q, base).tolist()):
                 self.grams[q][key].add((n, offset))
         self.sorted = {q: np.array(sorted(found), np.int64) for q, found in self.grams.items()}
@@ -133,7 +138,7 @@ class Index:
             for p in at.tolist():
                 for n, offset in self.grams[q][int(keys[p])]:
                     edits, start = int(RATE * n), p - offset
-                    need = max(1, n - q + 1 - q * edits)
+                    need = n - q + 1 - q * edits
                     a, b = max(0, start - edits), min(len(ids), start + n + edits)
                     if sums[b] - sums[a] >= need:
                         out[n].add(start)
@@ -156,15 +161,15 @@ class Index:
         for row, (t, start) in zip(rows, windows, strict=True):
             a, b = max(0, start), min(len(texts[t]), start + n)
             row[a - start : b - start] = texts[t][a:b]
-        tried: set[tuple[int, int, int]] = set()
+        tried: set[tuple[int, int, int, int]] = set()
         for (t, start), keys in zip(windows, embed_keys(rows).tolist(), strict=True):
             ids = texts[t]
             met = {i for r, key in enumerate(keys) for i in self.keys[n][r].get(key, ())}
             for i in met:
                 a, b = max(0, start - edits), min(len(ids), start + n + edits)
-                if (t, i, a) in tried:
+                if (t, i, a, b) in tried:
                     continue
-                tried.add((t, i, a))
+                tried.add((t, i, a, b))
                 here = set(ids[a:b].tolist())
                 # an item's word that isn't in the stretch costs an edit
                 if sum(w not in here for w in self.items[i][1].tolist()) > edits:

@@ -195,3 +195,14 @@ def test_pseudonyms_on_tables(spark, small):
     for r in got:
         assert restored.replace(r["text"], back=True)[0] == texts[r["doc_id"]]
         assert all(texts[r["doc_id"]][p["start"] : p["end"]] not in r["text"] for p in r["pii"] if p["kind"] in ("card", "phone"))
+
+
+def test_leaks_of_short_items_and_repeated_triples(monkeypatch):
+    find = lambda index, text: [hit[:2] for hit in index.find(D._ids(index, [text]))[0]]
+    short = D.Index([(1, "alpha beta gamma delta epsilon")])
+    assert find(short, "x y alpha beta other delta epsilon z") == [(1, 5)]
+    words = [f"w{i}" for i in range(40)]
+    words[20:23] = words[2:5]
+    # every window meets every item of its size, so that the order of the checks alone decides
+    monkeypatch.setattr(D, "embed_keys", lambda rows, seed=0: np.zeros((len(rows), D.REPEATS), np.uint64))
+    assert find(D.Index([(2, " ".join(words))]), " ".join(words + [f"v{i}" for i in range(30)])) == [(2, 40)]
