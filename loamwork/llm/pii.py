@@ -98,13 +98,17 @@ class Pseudonymizer:
         if text is None or not _ANY.search(text):
             return text, []
         out, at, spans = [], 0, []
-        for m in _VALUE.finditer(text):
-            kind = m.lastgroup
-            new = self.value(kind, m[0], back)
+        here = 0
+        while m := _VALUE.search(text, here):
+            kind, start, here = m.lastgroup, m.start(), m.end()
+            if kind == "card":
+                start, here, new = self._first_card(text, start, here, back)
+            else:
+                new = self.value(kind, m[0], back)
             if new is not None:
-                out += (text[at : m.start()], new)
-                at = m.end()
-                spans.append((kind, m.start(), m.end()))
+                out += (text[at:start], new)
+                at = here
+                spans.append((kind, start, here))
         return "".join((*out, text[at:])), spans
 
     def value(self, kind: str, text: str, back: bool = False) -> str | None:
@@ -119,14 +123,49 @@ class Pseudonymizer:
         n = len(digits)
         return str(self.feistel.permute(f"{tweak}{n}", 10**n, int(digits), back, fits)).zfill(n)
 
-    def _card(self, text: str, back: bool) -> str | None:
+    def _card(self, text: str, back: bool, also: Callable[[str], bool] | None = None) -> str | None:
         digits = _digits(text)
-        if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
+        if not self._is_card(digits):
             return None
         n = len(digits) - 1
-        body = self._number("card", digits[:-1], back, lambda x: len(set((s := str(x).zfill(n)) + str(luhn_digit(s)))) > 1)
+
+        def fits(x: int) -> bool:
+            s = str(x).zfill(n)
+            s += str(luhn_digit(s))
+            return len(set(s)) > 1 and (also is None or also(s))
+
+        body = self._number("card", digits[:-1], back, fits)
         return _fill(text, body + str(luhn_digit(body)), _digit)
 
+    def _first_card(self, text: str, start: int, end: int, back: bool) -> tuple[int, int, str | None]:
+        """(start, end, image) of the card that ends first among those that begin in the match.
+
+        A reading begins and ends at a space or a border of the run of digits. Readings that are
+        tried before the card fail, and with its image they have to fail too, or it wouldn't be
+        found again when it is restored. They end with the card at the latest, so what follows
+        doesn't matter.
+        """
+        run = _RUN.match(text, start)
+        marks = [i for i in range(start, min(run.end(), end + 40)) if text[i] == " "]
+        begins, ends = [start, *(i + 1 for i in marks if i < end)], [*marks, run.end()] if _BORDER.match(text, run.end()) else marks
+        tried: list[tuple[int, int]] = []
+        for b in ends:
+            for a in begins:
+                if not 13 <= len(_digits(text[a:b])) <= 19:
+                    continue
+                if self._is_card(_digits(text[a:b])):
+                    before = [(_digits(text[x:a]), len(_digits(text[x:y])), max(0, len(_digits(text[a:x])))) for x, y in tried if y > a]
+                    if not before:
+                        return a, b, self.value("card", text[a:b], back)
+                    fails = lambda digits: not any(self._is_card((lead + digits[skip:])[:n]) for lead, n, skip in before)  # noqa: B023, E731
+                    return a, b, self._card(text[a:b], back, fails)
+                tried.append((a, b))
+        return start, end, None
+
+    @staticmethod
+    def _is_card(digits: str) -> bool:
+        return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == int(digits[-1]) and len(set(digits)) > 1
+
     def _ssn(self, text: str, back: bool) -> str | None:
         def fits(x: int) -> bool:
             s = f"{x:09d}"
@@ -237,6 +276,7 @@ class Pseudonymizer:
 
 
 _ANY = re.compile(r"[0-9@]")
+_RUN, _BORDER = re.compile(r"[0-9]+(?:[ -]?[0-9]+)*", re.ASCII), re.compile(r"(?![\w]|[.-][0-9])", re.ASCII)
 # each pattern begins and ends at a border, so that a part of a longer number is no value
 _VALUE = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"

@@ -206,3 +206,18 @@ def test_leaks_of_short_items_and_repeated_triples(monkeypatch):
     # every window meets every item of its size, so that the order of the checks alone decides
     monkeypatch.setattr(D, "embed_keys", lambda rows, seed=0: np.zeros((len(rows), D.REPEATS), np.uint64))
     assert find(D.Index([(2, " ".join(words))]), " ".join(words + [f"v{i}" for i in range(30)])) == [(2, 40)]
+
+
+def test_cards_beside_other_numbers():
+    p, card = pii.Pseudonymizer(), "4111 1111 1111 1111"
+    for before, after in (("", " 12/27"), ("", " 123"), ("", " 5 times"), ("5 ", ""), ("1234 ", " 99"), ("", " 3782 822463 10005"), ("no. 77 ", " 5500 0000 0000 0004")):
+        for written in (card, card.replace(" ", "")):
+            text = f"{before}{written}{after}."
+            new, spans = p.replace(text)
+            assert ("card", len(before), len(before) + len(written)) in spans and written not in new
+            assert p.replace(new, back=True)[0] == text
+    rng = random.Random(3)
+    for _ in range(500):
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        text = f"{rng.randrange(1000)} {body}{pii.luhn_digit(body)} {rng.randrange(1000)} {rng.randrange(10**4)}"
+        assert p.replace(p.replace(text)[0], back=True)[0] == text
