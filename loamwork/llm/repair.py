@@ -1,17 +1,19 @@
 """Token-ID output: documents as token ids in Re-Pair compressed shards with random access.
 
 A shard holds the ids of consecutive documents as symbols below the vocabulary size and rules. A
-rule stands for a pair of symbols; it is stored with its expansion length, so the symbol that holds
-any id is found by a prefix sum, without expanding what precedes it. Rules never span documents.
+rule stands for a pair of symbols; it is stored with its expansion length, and the ids before every
+1,024th symbol are stored too, so the symbol that holds any id is found by a search and a short
+prefix sum, without expanding what precedes it. Rules never span documents.
 
-Layout, little-endian: magic ``LRP1``; uint32 vocabulary size, documents, rules, symbols, bytes a
+Layout, little-endian: magic ``LRP2``; uint32 vocabulary size, documents, rules, symbols, bytes a
 symbol (2 or 4); uint64 ids; then arrays of rule left and right (uint32), expansion lengths
 (uint64), doc ids (int64), a mask of doc ids that are null (uint8), ids a document (uint64), first
-symbol of a document (uint64), and the symbols.
+symbol of a document (uint64), ids before symbol 0, 1024, 2048, ... (uint64), and the symbols.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -31,12 +33,17 @@ from loamwork.llm.common import map_arrow, partitions, text_slices
 SHARD_IDS = 1 << 20
 #: A pair must occur this often to become a rule.
 LEAST = 8
-_MAGIC = b"LRP1"
+_MAGIC = b"LRP2"
+#: Symbols between two stored offsets.
+_STEP = 1024
 _HEAD, _ID = struct.Struct("<4sIIIIIQ"), struct.Struct("<I")
 #: Words of a generation; a worker remembers two.
-_CACHE_WORDS = 150_000
+_CACHE_WORDS = 100_000
 #: Marks that no pattern of the pre-tokenizer joins to a letter or digit before them.
 _MARKS = ".,;:!?"
+# The normalizer and the pattern of tokenizer files whose words can be encoded one by one.
+_NORMALIZERS = ("NFC", "Replace", "Lowercase")
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 #: How byte-level vocabularies write bytes: visible characters stand for themselves, the others follow from 256 on.
@@ -44,21 +51,33 @@ _HIDDEN = [*range(33), *range(127, 161), 173]
 _BYTE_LEVEL = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
 
 
+def splits_words(path: str) -> bool:
+    """Whether the ids of a text are those of its words: the file composes, lower-cases, drops white
+    space and cuts by the pattern for which ``WordEncoder`` may go word by word."""
+    with open(path, encoding="utf-8") as file:
+        data = json.load(file)
+    normalizer, cutter = data.get("normalizer") or {}, data.get("pre_tokenizer") or {}
+    steps = tuple(n["type"] for n in normalizer.get("normalizers", ()))
+    cuts = [(c["type"], (c.get("pattern") or {}).get("Regex"), c.get("behavior"), c.get("invert")) for c in cutter.get("pretokenizers", ())]
+    return steps == _NORMALIZERS and len(cuts) == 2 and cuts[0] == ("Split", _WORD_PATTERN, "Removed", True) and cuts[1][0] == "ByteLevel"
+
+
 class WordEncoder:
     """Encodes texts with a ``tokenizers`` file, calling the library once for each different word.
 
     ``by_word`` fits files whose pre-tokenizer always cuts at ASCII white space, drops it, and cuts
     before marks after a letter or digit; lower-casing and words of letters alone then give the ids
-    of the whole text, which tests compare. Other files need ``by_word=False``: whole texts.
+    of the whole text, which tests compare. By default it is so for the files that ``splits_words``
+    knows; all others encode whole texts.
     """
 
-    def __init__(self, path: str, by_word: bool = True) -> None:
+    def __init__(self, path: str, by_word: bool | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.by_word = by_word
+        self.by_word = splits_words(path) if by_word is None else by_word
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
@@ -76,9 +95,10 @@ class WordEncoder:
             rows = [np.array([*e.ids, end_id] if tail else e.ids, self.kind) for e in got]
             return (np.concatenate(rows) if rows else np.zeros(0, self.kind)), np.fromiter(map(len, rows), np.int64, len(rows))
         # the normalizer lower-cases, and the pre-tokenizer cuts between an ASCII letter or digit and
-        # these marks; neither may be done where a special token could stand
+        # these marks; neither may be done where a special token could stand, nor with combining
+        # marks, as the normalizer composes before it lower-cases and capitals compose otherwise
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), f"([a-z0-9])([{_MARKS}])", r"\1 \2")
-        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, plain))
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, r"<\||\p{M}"), texts, plain))
         per_text = pc.list_value_length(split).to_numpy().astype(np.int64)
         coded = split.flatten().cast(pa.large_binary()).dictionary_encode()
         place = coded.indices.to_numpy()
@@ -133,10 +153,10 @@ class WordEncoder:
             known[w] = array(code, e.ids).tobytes()
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool | None], WordEncoder] = {}
 
 
-def encoder_of(path: str, by_word: bool = True) -> WordEncoder:
+def encoder_of(path: str, by_word: bool | None = None) -> WordEncoder:
     """The encoder of this worker process; its words serve later tasks too."""
     if (path, by_word) not in _ENCODERS:
         _ENCODERS[path, by_word] = WordEncoder(path, by_word)
@@ -218,10 +238,11 @@ def pack_shard(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray, vo
     # the first symbol of a document follows the last one of the non-empty document before it
     marks = np.concatenate(([0], np.flatnonzero(stops) + 1))
     first = marks[np.cumsum(sizes > 0) - (sizes > 0)]
+    before = np.concatenate(([np.uint64(0)], np.cumsum(lengths[symbols], dtype=np.uint64)))[: len(symbols) : _STEP]
     width = 2 if vocabulary + len(left) <= 1 << 16 else 4
     null = np.array([d is None for d in doc_ids], np.uint8)
     head = _HEAD.pack(_MAGIC, vocabulary, len(sizes), len(left), len(symbols), width, len(ids))
-    arrays = (left.astype("<u4"), right.astype("<u4"), lengths[vocabulary:].astype("<u8"), np.array([d or 0 for d in doc_ids], "<i8"), null, sizes.astype("<u8"), first.astype("<u8"), symbols.astype(f"<u{width}"))
+    arrays = (left.astype("<u4"), right.astype("<u4"), lengths[vocabulary:].astype("<u8"), np.array([d or 0 for d in doc_ids], "<i8"), null, sizes.astype("<u8"), first.astype("<u8"), before.astype("<u8"), symbols.astype(f"<u{width}"))
     return head + b"".join(a.tobytes() for a in arrays)
 
 
@@ -244,11 +265,12 @@ class Shard:
         ids, null = take("<i8", n), take("u1", n)
         self.doc_ids = [None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)]
         self.sizes, self.first = take("<u8", n).astype(np.int64), take("<u8", n).astype(np.int64)
+        self.before = take("<u8", -(-symbols // _STEP))
         self.symbols = take(f"<u{width}", symbols)
         self.pool: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that ``symbols`` stand for."""
+    def all_ids(self) -> np.ndarray:
+        """All ids, each rule expanded once."""
         if self.pool is None:
             texts: list[bytes] = []
             for a, b in zip(self.left.tolist(), self.right.tolist(), strict=True):
@@ -257,13 +279,27 @@ class Shard:
             sizes = np.concatenate((np.ones(self.vocabulary, np.int64), self.lengths.astype(np.int64)))
             self.pool = ids, np.cumsum(sizes) - sizes, sizes
         ids, starts, sizes = self.pool
-        count = sizes[symbols]
+        count = sizes[self.symbols]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
-        return ids[np.repeat(starts[symbols] - (ends - count), count) + np.arange(total)]
+        return ids[np.repeat(starts[self.symbols] - (ends - count), count) + np.arange(total)]
 
-    def all_ids(self) -> np.ndarray:
-        return self._expand(self.symbols)
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.vocabulary
+        out[rule] = self.lengths[symbols[rule].astype(np.int64) - self.vocabulary].astype(np.int64)
+        return out
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of some symbols, rule by rule; other rules of the shard aren't touched."""
+        now = symbols.astype(np.int64)
+        while (rule := now >= self.vocabulary).any():
+            ends = np.cumsum(1 + rule)
+            after = np.empty(int(ends[-1]), np.int64)
+            after[ends - 1 - rule] = np.where(rule, self.left[np.where(rule, now - self.vocabulary, 0)], now)
+            after[ends[rule] - 1] = self.right[now[rule] - self.vocabulary]
+            now = after
+        return now.astype("<u4")
 
     def document(self, i: int) -> np.ndarray:
         """The ids of document ``i`` alone."""
@@ -271,23 +307,31 @@ class Shard:
         return self._expand(self.symbols[int(self.first[i]) : stop] if self.sizes[i] else self.symbols[:0])
 
     def ids(self, start: int, stop: int) -> np.ndarray:
-        """Ids ``start`` to ``stop`` of the shard: only the symbols that hold them are expanded."""
-        sizes = np.concatenate((np.ones(self.vocabulary, np.int64), self.lengths.astype(np.int64)))[self.symbols]
-        ends = np.cumsum(sizes)
-        a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
-        skip = start - (int(ends[a - 1]) if a else 0)
-        return self._expand(self.symbols[a:b])[skip : skip + stop - start]
+        """Ids ``start`` to ``stop`` of the shard: only the symbols that hold them are looked at."""
+        if start >= stop:
+            return np.zeros(0, "<u4")
+        a = (int(np.searchsorted(self.before, start, "right")) - 1) * _STEP
+        b = int(np.searchsorted(self.before, stop, "left")) * _STEP
+        base = start - int(self.before[a // _STEP])
+        symbols = self.symbols[a:b]
+        ends = np.cumsum(self._sizes(symbols))
+        first, last = int(np.searchsorted(ends, base, "right")), int(np.searchsorted(ends, base + stop - start, "left")) + 1
+        skip = base - (int(ends[first - 1]) if first else 0)
+        return self._expand(symbols[first:last])[skip : skip + stop - start]
 
 
 SHARDS = "part int, shard int, before long, n_docs long, n_ids long, payload binary"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, shard_ids: int = SHARD_IDS, by_word: bool = True) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, shard_ids: int = SHARD_IDS, by_word: bool | None = None) -> None:
     """Writes the ids of all documents at ``path``, in ascending order of doc_id.
 
-    Null texts count as empty and null doc_ids come first; rows of equal doc_id are ordered by their
-    text. Documents are dealt by range, so part p precedes part p + 1; a row of the table at
-    ``path`` is a shard, ``before`` counts the ids before it in its part.
+    Null texts count as empty and null doc_ids come first; rows of equal doc_id are ordered by a
+    hash of their text, then by the text, and repeated rows are documents of their own. Columns
+    other than doc_id and text are ignored, whatever their names; an empty table makes no shard.
+    Documents are dealt by ranges of doc_id and that hash, so part p precedes part p + 1 and rows of
+    one or no doc_id are spread; a row of the table at ``path`` is a shard, ``before`` counts the
+    ids before it in its part. A shard ends after the document that fills it, however long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +365,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
             yield flush()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    ranged = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
     map_arrow(ranged, run, SHARDS).write.parquet(path)
 
 
