@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import connected_components, map_arrow, partitions, stage, text_slices
+from loamwork.llm.common import connected_components, drop_stage, map_arrow, partitions, stage, text_slices
 
 SEED = 42
 #: Rows of one bucket that are compared at once; larger buckets are cut into blocks of this size.
@@ -304,28 +304,33 @@ def _open_pairs(values: list[str]):
     return edges
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """The pairs (u, v) of ids whose shingle sets have similarity 0.8 or more."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of node ids whose shingle sets have similarity 0.8 or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            words = [words_of(t) for t in part.column("text").to_pylist()]
-            exact = [xxhash.xxh128_digest(b" ".join(w), SEED) for w in words]
-            sets = [np.unique(shingle_hashes(w, STAGE_WORDS)).view(np.int64) for w in words]
-            wide = [parity(s.view(np.uint64), WIDE).view(np.int64) for s in sets]
-            yield pa.record_batch([part.column("id"), pa.array(exact, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["id", "exact", "s", "w"])
+            sets = [np.unique(shingle_hashes(words_of(t), STAGE_WORDS)) for t in part.column("text").to_pylist()]
+            wide = [parity(s, WIDE).view(np.int64) for s in sets]
+            yield pa.record_batch([part.column("id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["id", "s", "w"])
 
     pairs = stage(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = map_arrow(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), run, "id long, exact binary, s array<long>, w array<long>")
-    sets = stage(sets.join(heads.select("id", "exact"), ["id", "exact"], "left_semi").select("id", F.size("s").alias("n"), "s", "w"), "sets")
+    # a text for each node; of repeated rows one
+    wanted = nodes.join(ids, "id", "left_semi").select("id", "row_key")
+    texts = docs.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"])
+    sets = stage(map_arrow(texts.select("id", "text"), run, "id long, s array<long>, w array<long>").select("id", F.size("s").alias("n"), "s", "w"), "sets")
     differ = F.aggregate(F.zip_with("wu", "wv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+    near = pairs
     for name in ("u", "v"):
-        pairs = pairs.join(sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("w").alias(f"w{name}")), name)
-    pairs = stage(pairs.where(9 * differ <= F.col("nu") + F.col("nv")).select("u", "v").distinct(), "near")
+        near = near.join(sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("w").alias(f"w{name}")), name)
+    near = stage(near.where(9 * differ <= F.col("nu") + F.col("nv")).select("u", "v").distinct(), "near")
+    drop_stage(pairs)
     one, other = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
     shared = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(one, "u").join(other, "v").where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v").distinct()
+    out = stage(near.join(one, "u").join(other, "v").where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v").distinct(), "links")
+    drop_stage(near)
+    drop_stage(sets)
+    return out
 
 
 def _stage_components(rows: DataFrame, values: list[str], confirmed) -> DataFrame:
@@ -337,8 +342,9 @@ def _stage_components(rows: DataFrame, values: list[str], confirmed) -> DataFram
     n = partitions(rows.sparkSession)
     cut = rows.withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
     dealt = cut.select("key", "b", "id", *values).repartition(n, "key", "b").sortWithinPartitions("key", "b")
-    first = stage(confirmed(map_arrow(dealt, _by_group(("key", "b"), _forest_edges(values, _close_stage)), "u long, v long")), "first")
+    first = confirmed(map_arrow(dealt, _by_group(("key", "b"), _forest_edges(values, _close_stage)), "u long, v long"))
     roots = stage(connected_components(first), "roots")
+    drop_stage(first)
     known = cut.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     counts = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
     open_keys = counts.where("most < all").withColumn("probe_parts", F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK)).cast("int")).select("key", "top", "probe_parts")
@@ -349,19 +355,24 @@ def _stage_components(rows: DataFrame, values: list[str], confirmed) -> DataFram
     probes = probes.select(*columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), "p", F.lit(1).alias("probe"))
     both = targets.unionByName(probes).repartition(n, "key", "b", "p").sortWithinPartitions("key", "b", "p")
     more = confirmed(map_arrow(both, _by_group(("key", "b", "p"), _open_pairs(values)), "u long, v long"))
+    drop_stage(known)
     return connected_components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
-def near_duplicate_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id): documents whose five-word shingles have similarity 0.8 or more, in groups.
+def _row_key() -> Column:
+    """Rows with equal doc_id and text, and only they, share a key (128 bits of MD5)."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("none")), F.lit(" "), F.coalesce(text, F.lit("")))))
 
-    Equal word sequences are one node. Pairs of similarity 0.8 or more all meet under a key of the
-    prefix filter; sizes and parity bits prune without loss, and the exact similarity of the shingle
-    sets confirms each link. Empty and null texts are one node. Groups are the components; group_id
-    is the smallest doc_id.
-    """
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, heads): (row_key, doc_id, root) of each row of ``_keyed`` documents, and (root, head) of each
+    group, where head has the smallest doc_id of the group (none comes last) and its row's key."""
     values = ["size", *(f"w{i}" for i in range(LANES))]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,28 +386,48 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
                 bits.append(parity(shingles))
                 keys.append(prefix_keys(shingles, common.value).view(np.int64))
             wide = np.array(bits, np.uint64).view(np.int64)
-            yield pa.record_batch([part.column("doc_id"), pa.array(exact, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), *(pa.array(wide[:, i]) for i in range(LANES))], names=["doc_id", "exact", "keys", *values])
+            yield pa.record_batch([part.column("row_key"), part.column("doc_id"), pa.array(exact, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), *(pa.array(wide[:, i]) for i in range(LANES))], names=["row_key", "doc_id", "exact", "keys", *values])
 
-    schema = "doc_id long, exact binary, keys array<long>, " + ", ".join(f"{v} long" for v in values)
+    schema = "row_key binary, doc_id long, exact binary, keys array<long>, " + ", ".join(f"{v} long" for v in values)
     prints = stage(map_arrow(docs, run, schema), "prints")
-    nodes = stage(prints.groupBy("exact").agg(F.min("doc_id").alias("id")), "nodes")
-    # the texts of a repeated doc_id stay apart here, under one id
-    heads = prints.where("doc_id IS NOT NULL").join(nodes.select("exact", F.col("id").alias("doc_id")).where("doc_id IS NOT NULL"), ["exact", "doc_id"], "left_semi")
-    heads = heads.withColumnRenamed("doc_id", "id")
+    # a node for each word sequence, under a number of its own: texts of one doc_id stay apart
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    nodes = prints.groupBy("exact").agg(first.alias("head")).select("exact", "head", F.col("head.row_key").alias("row_key"))
+    nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    heads = prints.join(nodes.select("row_key", "id"), "row_key").select("id", "keys", *values)
     keys = heads.select(F.explode("keys").alias("key"), "id").distinct()
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keys.join(sizes, "key").select("key", "id", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
     rows = stage(met.join(heads.select("id", *values).distinct(), "id"), "buckets")
-    found = _stage_components(rows, values, lambda pairs: _confirmed(pairs, docs, heads))
-    roots = nodes.join(found, nodes["id"] == found["node"], "left").select("exact", F.coalesce("component", "id").alias("group_id"))
-    return prints.select("doc_id", "exact").join(roots, "exact", "left").select("doc_id", "group_id")
+    found = _stage_components(rows, values, lambda pairs: _confirmed(pairs, docs, nodes.select("id", "row_key")))
+    drop_stage(rows)
+    roots = stage(nodes.join(found, nodes["id"] == found["node"], "left").select("exact", "head", F.coalesce("component", "id").alias("root")), "roots")
+    members = prints.select("row_key", "doc_id", "exact").join(roots.select("exact", "root"), "exact").drop("exact")
+    return members, roots.groupBy("root").agg(F.min("head").alias("head"))
+
+
+def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, group_id): documents whose five-word shingles have similarity 0.8 or more, in groups.
+
+    Equal word sequences are one node. Pairs of similarity 0.8 or more all meet under a key of the
+    prefix filter; sizes and parity bits prune without loss, and the exact similarity of the shingle
+    sets confirms each link. Empty and null texts are one node. Groups are the components; group_id
+    is the smallest doc_id, null where no row of the group has one. Rows of equal doc_id with
+    different texts are documents of their own; each row has its group, so repeated rows repeat.
+    Columns other than doc_id and text are ignored; an empty table has no groups.
+    """
+    rows, heads = _grouped(_keyed(docs))
+    return rows.join(heads.select("root", F.col("head.doc_id").alias("group_id")), "root").select("doc_id", "group_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest doc_id.
+    """``docs``, all columns, with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Rows without doc_id stay. Of repeated rows with the smallest doc_id one stays.
+    Rows without doc_id take part and come last. Of rows with equal doc_id the texts decide: those
+    that aren't near duplicates all stay. Of repeated rows (equal doc_id and text) one stays, which
+    differ in other columns at most. Empty and null texts are equal; an empty table stays empty.
     """
-    keep = near_duplicate_groups(docs).where("doc_id = group_id").select("doc_id").distinct()
-    first = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    _, heads = _grouped(_keyed(docs))
+    # all columns in one, so that no name of theirs can clash
+    named = docs.select(_row_key().alias("row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"))
+    return named.join(heads.select(F.col("head.row_key").alias("row_key")), "row_key").dropDuplicates(["row_key"]).select("kept.*")

@@ -77,6 +77,20 @@ def test_near_dedup(spark):
     assert S.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    x, y = [word() for _ in range(200)], [word() for _ in range(200)]
+    rows = [(1, "x", "a"), (1, "y", "b"), (1, "x", "c"), (2, " ".join(x), "d"), (2, " ".join(y), "e"), (3, " ".join([*x, word()]), "f"), (None, " ".join(y), "g"), (None, "z", "h"), (None, "z", "i"), (None, None, "j"), (4, "Y", "k")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, row_key string, head int")
+    out = S.near_dedup(docs)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect())
+    assert got == sorted([(1, "x"), (1, "y"), (2, " ".join(x)), (2, " ".join(y)), (-1, "z"), (-1, "")])
+    groups = S.near_duplicate_groups(docs).collect()
+    assert len(groups) == len(rows) and sorted(r["group_id"] or -1 for r in groups) == [-1, -1, -1, 1, 1, 1, 1, 2, 2, 2, 2]
+
+
 def test_near_dedup_finds_pairs_of_high_similarity(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     groups = {r["doc_id"]: r["group_id"] for r in S.near_duplicate_groups(docs).collect()}
