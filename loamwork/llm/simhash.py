@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,8 @@ from loamwork.llm.common import connected_components, drop_stage, map_arrow, par
 SEED = 42
 #: Rows of one bucket that are compared at once; larger buckets are cut into blocks of this size.
 BLOCK = 1024
+#: Rows of a bucket of which all pairs are compared at once; a larger one yields a spanning forest.
+SMALL = 8
 _SPAN = 1 << 16
 
 
@@ -77,11 +79,12 @@ def ring_keys(fp: str = "fp"):
     return F.array(*keys)
 
 
-def ring_close(diff: np.ndarray, start: int, budget: int = 3) -> np.ndarray:
+def ring_close(diff: np.ndarray, start: np.ndarray | int, budget: int = 3) -> np.ndarray:
     """Which XORs of 64-bit fingerprints pass the chain from 16-bit segment ``start`` and the full check."""
     near, total = np.ones(len(diff), bool), np.zeros(len(diff), np.int64)
     for step in range(4):
-        total = total + np.bitwise_count((diff >> np.uint64(16 * ((start + step) % 4))) & np.uint64(0xFFFF))
+        shift = np.asarray(16 * ((start + step) % 4)).astype(np.uint64)
+        total = total + np.bitwise_count((diff >> shift) & np.uint64(0xFFFF))
         near &= total <= (step + 1) * budget // 4
     return near
 
@@ -101,14 +104,15 @@ def forest(size: int, close) -> list[tuple[int, int]]:
     return edges
 
 
-def linked_components(rows: DataFrame, values: list[str], close_of, block: int = BLOCK) -> DataFrame:
+def linked_components(rows: DataFrame, values: list[str], near, block: int = BLOCK) -> DataFrame:
     """(node, component) of the links between rows (key, id, *values) of equal key.
 
-    A bucket is cut into blocks by a hash of the id. First each block by itself yields a spanning
-    forest of its links, whose components are found over all buckets. Then, in buckets of several
-    blocks, rows outside a bucket's largest component are compared with all rows of the bucket, in
-    tasks of two blocks. Rows of one component need no further comparison, so no link between
-    components is missed, and a large group of close rows isn't compared pair by pair.
+    ``near(rows, i, j)`` tells which pairs of places in the arrays ``rows`` link. A bucket is cut into
+    blocks by a hash of the id. First each block by itself yields a spanning forest of its links,
+    whose components are found over all buckets. Then, in buckets of several blocks, rows outside a
+    bucket's largest component are compared with all rows of the bucket, in tasks of two blocks.
+    Rows of one component need no further comparison, so no link between components is missed, and
+    a large group of close rows isn't compared pair by pair.
     """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cut = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / F.lit(block)).cast("int")).drop("n")
@@ -116,97 +120,110 @@ def linked_components(rows: DataFrame, values: list[str], close_of, block: int =
     cut = stage(cut.select("key", "b", "parts", "id", *values), "buckets")
     n = partitions(rows.sparkSession)
     dealt = cut.select("key", "b", "id", *values).repartition(n, "key", "b").sortWithinPartitions("key", "b")
-    first = connected_components(map_arrow(dealt, _by_group(("key", "b"), _forest_edges(values, close_of)), "u long, v long").distinct())
+    first = connected_components(map_arrow(dealt, _by_group(("key", "b"), _block_links(near)), "u long, v long").distinct())
     crowded = cut.where("parts > 1")
     if crowded.isEmpty():
+        drop_stage(cut)
         return first
     first = stage(first, "first")
-    known = crowded.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    both = _probes(crowded, first, values, n)
+    more = stage(map_arrow(both, _by_group(("key", "b", "p"), _probe_links(near)), "u long, v long").distinct(), "more")
+    drop_stage(cut)
+    out = connected_components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    drop_stage(more)
+    return out
+
+
+def _probes(cut: DataFrame, components: DataFrame, values: list[str], n: int) -> DataFrame:
+    """Rows of buckets of several components, dealt so that those outside a bucket's largest component
+    (``probe`` 1, component ``c``) meet all its rows: tasks of a block (``b``) and a block of probes (``p``)."""
+    known = cut.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     largest = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    open_keys = largest.where("most < all").withColumn("probe_parts", F.ceil((F.col("all") - F.col("most")) / F.lit(block)).cast("int")).select("key", "top", "probe_parts")
+    open_keys = largest.where("most < all").withColumn("probe_parts", F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK)).cast("int")).select("key", "top", "probe_parts")
     known = stage(known.join(open_keys, "key"), "open")
     columns = ["key", "id", "c", *values]
     targets = known.select(*columns, "b", F.explode(F.sequence(F.lit(0), F.col("probe_parts") - 1)).alias("p"), F.lit(0).alias("probe"))
     probes = known.where("c <> top").withColumn("p", F.pmod(F.xxhash64("id"), F.col("probe_parts")).cast("int"))
     probes = probes.select(*columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), "p", F.lit(1).alias("probe"))
-    both = targets.unionByName(probes).repartition(n, "key", "b", "p").sortWithinPartitions("key", "b", "p")
-    more = map_arrow(both, _by_group(("key", "b", "p"), _probe_edges(values, close_of)), "u long, v long").distinct()
-    return connected_components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    return targets.unionByName(probes).repartition(n, "key", "b", "p").sortWithinPartitions("key", "b", "p")
 
 
-def _by_group(keys: tuple[str, ...], edges_of):
-    """A function of sorted batches that hands each group of equal ``keys`` to ``edges_of``."""
-
-    def emit(pdf: pd.DataFrame, cuts: list[int]) -> Iterator[pa.RecordBatch]:
-        us, vs = [], []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b - a > 1:
-                u, v = edges_of(pdf, a, b)
-                us += u
-                vs += v
-        if us:
-            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+def _by_group(keys: tuple[str, ...], links_of):
+    """A function of sorted batches that hands whole groups of equal ``keys`` to ``links_of(rows, cuts)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            pdf = batch.to_pandas()
-            same = pdf[list(keys)].to_numpy()
-            if held and (held[-1][list(keys)].to_numpy()[-1] != same[0]).any():
-                whole = pd.concat(held, ignore_index=True)
-                yield from emit(whole, [0, len(whole)])
-                held = []
-            cuts = (np.flatnonzero((same[1:] != same[:-1]).any(axis=1)) + 1).tolist()
-            if cuts and held:
-                whole = pd.concat([*held, pdf.iloc[: cuts[0]]], ignore_index=True)
-                yield from emit(whole, [0, len(whole)])
-                held = []
-                yield from emit(pdf, cuts)
-            elif cuts:
-                yield from emit(pdf, [0, *cuts])
-            held.append(pdf.iloc[cuts[-1] :] if cuts else pdf)
-        if held:
-            whole = pd.concat(held, ignore_index=True)
-            yield from emit(whole, [0, len(whole)])
+        held: dict[str, np.ndarray] | None = None
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+                held = rows if held is None else {c: np.concatenate((held[c], rows[c])) for c in rows}
+            if held is None or not len(held["id"]):
+                continue
+            change = np.zeros(len(held["id"]) - 1, bool)
+            for c in keys:
+                change |= held[c][1:] != held[c][:-1]
+            cuts = np.concatenate(([0], np.flatnonzero(change) + 1, [len(held["id"])]))
+            # the last group may go on in the next batch
+            whole = cuts if batch is None else cuts[:-1]
+            if len(whole) > 1:
+                u, v = links_of(held, whole)
+                if len(u):
+                    yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+                held = {c: x[whole[-1] :] for c, x in held.items()}
 
     return run
 
 
-def _forest_edges(values: list[str], close_of):
-    def edges(pdf: pd.DataFrame, a: int, b: int) -> tuple[list[int], list[int]]:
-        part = pdf.iloc[a:b]
-        ids = part["id"].to_numpy()
-        close = close_of(int(part["key"].iloc[0]), [part[v].to_numpy().view(np.uint64) for v in values])
-        found = forest(b - a, close)
-        return [int(ids[i]) for i, _ in found], [int(ids[j]) for _, j in found]
+def _block_links(near):
+    """Links of each group: all in small groups, a spanning forest in larger ones."""
 
-    return edges
+    def links(rows: dict[str, np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = rows["id"], np.diff(cuts)
+        end = np.repeat(np.where(sizes <= SMALL, cuts[1:], 0), sizes)
+        place, us, vs = np.arange(len(end)), [], []
+        for step in range(1, SMALL):
+            i = np.flatnonzero(place + step < end)
+            i = i[near(rows, i, i + step)]
+            us.append(ids[i])
+            vs.append(ids[i + step])
+        for g in np.flatnonzero(sizes > SMALL).tolist():
+            a = int(cuts[g])
+            found = forest(int(sizes[g]), lambda i, others, a=a: near(rows, np.full(len(others), a + i), a + others))
+            if found:
+                i, j = np.array(found).T
+                us.append(ids[a + i])
+                vs.append(ids[a + j])
+        return np.concatenate(us), np.concatenate(vs)
 
+    return links
 
-def _probe_edges(values: list[str], close_of):
-    """Edges from each probe of a group to one row of every other component that it is close to."""
-
-    def edges(pdf: pd.DataFrame, a: int, b: int) -> tuple[list[int], list[int]]:
-        part = pdf.iloc[a:b]
-        probe = part["probe"].to_numpy() == 1
-        targets = np.flatnonzero(~probe)
-        ids, components = part["id"].to_numpy(), part["c"].to_numpy()
-        close = close_of(int(part["key"].iloc[0]), [part[v].to_numpy().view(np.uint64) for v in values])
-        us, vs = [], []
-        for i in np.flatnonzero(probe).tolist():
-            hit = targets[close(i, targets)]
-            hit = hit[components[hit] != components[i]]
-            _, one = np.unique(components[hit], return_index=True)
-            us += [int(ids[i])] * len(one)
-            vs += ids[hit[one]].tolist()
-        return us, vs
 
-    return edges
+def _probe_links(near, every: bool = False):
+    """Links from each probe of a group to rows of other components: ``every`` one, or one a component."""
 
+    def links(rows: dict[str, np.ndarray], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, components, probe, us, vs = rows["id"], rows["c"], rows["probe"] == 1, [ids_none()], [ids_none()]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            targets = a + np.flatnonzero(~probe[a:b])
+            for i in (a + np.flatnonzero(probe[a:b])).tolist():
+                hit = targets[components[targets] != components[i]]
+                hit = hit[near(rows, np.full(len(hit), i), hit)]
+                if not every:
+                    hit = hit[np.unique(components[hit], return_index=True)[1]]
+                us.append(np.full(len(hit), ids[i]))
+                vs.append(ids[hit])
+        return np.concatenate(us), np.concatenate(vs)
 
-def _close_op10(key: int, cols: list[np.ndarray]):
-    start, fp = (key >> 24) // 2, cols[0]
-    return lambda i, others: ring_close(fp[others] ^ fp[i], start)
+    return links
+
+
+def ids_none() -> np.ndarray:
+    return np.zeros(0, np.int64)
+
+
+def _near_op10(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    fp = rows["fp"].view(np.uint64)
+    return ring_close(fp[i] ^ fp[j], (rows["key"][i] >> 24) // 2)
 
 
 def hamming_components(fps: DataFrame) -> DataFrame:
@@ -220,7 +237,7 @@ def hamming_components(fps: DataFrame) -> DataFrame:
     # a table of its own, so that the last join can split a fingerprint that many rows have
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "nodes")
     rows = nodes.select(F.explode(ring_keys()).alias("key"), "id", "fp")
-    found = linked_components(rows, ["fp"], _close_op10)
+    found = linked_components(rows, ["fp"], _near_op10)
     roots = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -269,39 +286,14 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["shingle"] for r in rows], np.int64).view(np.uint64))
 
 
-def _close_stage(key: int, cols: list[np.ndarray]):
-    sizes, lanes = cols[0].astype(np.int64), cols[1:]
-
-    def close(i: int, others: np.ndarray) -> np.ndarray:
-        # similarity 0.8 leaves a ninth of both sizes to differ, and parities differ in no more bits
-        both = sizes[others] + sizes[i]
-        near = np.flatnonzero(9 * np.abs(sizes[others] - sizes[i]) <= both)
-        differ = sum(np.bitwise_count(lane[others[near]] ^ lane[i]).astype(np.int64) for lane in lanes)
-        hit = np.zeros(len(others), bool)
-        hit[near[9 * differ <= both[near]]] = True
-        return hit
-
-    return close
-
-
-def _open_pairs(values: list[str]):
-    """All pairs of a probe of a group and a row of another component that it may be close to."""
-
-    def edges(pdf: pd.DataFrame, a: int, b: int) -> tuple[list[int], list[int]]:
-        part = pdf.iloc[a:b]
-        probe = part["probe"].to_numpy() == 1
-        targets = np.flatnonzero(~probe)
-        ids, components = part["id"].to_numpy(), part["c"].to_numpy()
-        close = _close_stage(int(part["key"].iloc[0]), [part[v].to_numpy().view(np.uint64) for v in values])
-        us, vs = [], []
-        for i in np.flatnonzero(probe).tolist():
-            hit = targets[components[targets] != components[i]]
-            hit = hit[close(i, hit)]
-            us += np.minimum(ids[hit], ids[i]).tolist()
-            vs += np.maximum(ids[hit], ids[i]).tolist()
-        return us, vs
-
-    return edges
+def _near_stage(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Similarity 0.8 leaves a ninth of both sizes to differ, and parities differ in no more bits."""
+    one, other = rows["size"][i], rows["size"][j]
+    near = 9 * np.abs(one - other) <= one + other
+    i, j = i[near], j[near]
+    differ = sum(np.bitwise_count((rows[f"w{x}"][i] ^ rows[f"w{x}"][j]).view(np.uint64)).astype(np.int64) for x in range(LANES))
+    near[near] = 9 * differ <= (one + other)[near]
+    return near
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -334,28 +326,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
 
 
 def _stage_components(rows: DataFrame, values: list[str], confirmed) -> DataFrame:
-    """(node, component) of the pairs of rows (key, id, *values) of equal key that ``confirmed`` keeps.
+    """(node, component) of the pairs of rows (key, id, parts, *values) of equal key that ``confirmed`` keeps.
 
-    A spanning forest of the possible links of each block of a bucket comes first, so that a large
-    group isn't confirmed pair by pair. Then every possible pair between different components is.
+    All possible links of small buckets come first, and a spanning forest of those of each block of
+    larger ones, so that a large group isn't confirmed pair by pair. Then, in the larger ones, every
+    possible pair between different components is.
     """
     n = partitions(rows.sparkSession)
     cut = rows.withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
     dealt = cut.select("key", "b", "id", *values).repartition(n, "key", "b").sortWithinPartitions("key", "b")
-    first = confirmed(map_arrow(dealt, _by_group(("key", "b"), _forest_edges(values, _close_stage)), "u long, v long"))
+    first = confirmed(map_arrow(dealt, _by_group(("key", "b"), _block_links(_near_stage)), "u long, v long"))
     roots = stage(connected_components(first), "roots")
     drop_stage(first)
-    known = cut.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    counts = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    open_keys = counts.where("most < all").withColumn("probe_parts", F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK)).cast("int")).select("key", "top", "probe_parts")
-    known = stage(known.join(open_keys, "key"), "open")
-    columns = ["key", "id", "c", *values]
-    targets = known.select(*columns, "b", F.explode(F.sequence(F.lit(0), F.col("probe_parts") - 1)).alias("p"), F.lit(0).alias("probe"))
-    probes = known.where("c <> top").withColumn("p", F.pmod(F.xxhash64("id"), F.col("probe_parts")).cast("int"))
-    probes = probes.select(*columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), "p", F.lit(1).alias("probe"))
-    both = targets.unionByName(probes).repartition(n, "key", "b", "p").sortWithinPartitions("key", "b", "p")
-    more = confirmed(map_arrow(both, _by_group(("key", "b", "p"), _open_pairs(values)), "u long, v long"))
-    drop_stage(known)
+    both = _probes(cut.where(F.col("n") > SMALL).drop("n"), roots, values, n)
+    more = confirmed(map_arrow(both, _by_group(("key", "b", "p"), _probe_links(_near_stage, every=True)), "u long, v long"))
     return connected_components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
@@ -389,16 +373,16 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.record_batch([part.column("row_key"), part.column("doc_id"), pa.array(exact, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), *(pa.array(wide[:, i]) for i in range(LANES))], names=["row_key", "doc_id", "exact", "keys", *values])
 
     schema = "row_key binary, doc_id long, exact binary, keys array<long>, " + ", ".join(f"{v} long" for v in values)
-    prints = stage(map_arrow(docs, run, schema), "prints")
+    prints = stage(map_arrow(docs, run, schema).withColumn("number", F.monotonically_increasing_id()), "prints")
     # a node for each word sequence, under a number of its own: texts of one doc_id stay apart
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    nodes = prints.groupBy("exact").agg(first.alias("head")).select("exact", "head", F.col("head.row_key").alias("row_key"))
-    nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    heads = prints.join(nodes.select("row_key", "id"), "row_key").select("id", "keys", *values)
-    keys = heads.select(F.explode("keys").alias("key"), "id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "number"))
+    nodes = prints.groupBy("exact").agg(first.alias("head")).select("exact", "head", F.col("head.row_key").alias("row_key"), F.col("head.number").alias("id"))
+    nodes = stage(nodes, "nodes")
+    heads = prints.withColumnRenamed("number", "id").join(nodes.select("id"), "id", "left_semi")
+    keys = heads.select(F.explode("keys").alias("key"), "id")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keys.join(sizes, "key").select("key", "id", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
-    rows = stage(met.join(heads.select("id", *values).distinct(), "id"), "buckets")
+    met = keys.join(sizes, "key").select("key", "id", "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
+    rows = stage(met.join(heads.select("id", *values), "id"), "buckets")
     found = _stage_components(rows, values, lambda pairs: _confirmed(pairs, docs, nodes.select("id", "row_key")))
     drop_stage(rows)
     roots = stage(nodes.join(found, nodes["id"] == found["node"], "left").select("exact", "head", F.coalesce("component", "id").alias("root")), "roots")

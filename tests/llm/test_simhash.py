@@ -50,6 +50,7 @@ def test_components_against_brute_force(spark, monkeypatch, block):
             fps.append(x)
     fps += [rng.getrandbits(64) for _ in range(60)] + [0, 0]
     whole = S.linked_components
+    monkeypatch.setattr(S, "SMALL", min(block, 8))
     monkeypatch.setattr(S, "linked_components", lambda r, v, c: whole(r, v, c, block))
     rows = [(i, int(np.array(x, np.uint64).view(np.int64))) for i, x in enumerate(fps)]
     got = {r["doc_id"]: r["component_id"] for r in S.hamming_components(spark.createDataFrame(rows, "doc_id long, fp long")).collect()}
@@ -132,6 +133,7 @@ def test_block_edits_always_get_a_candidate():
 @pytest.mark.parametrize("block", [1024, 3])
 def test_groups_are_those_of_the_exact_similarity(spark, monkeypatch, block):
     monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "SMALL", min(block, 8))
     rng, texts = random.Random(9), []
     for i in range(60):
         texts += block_edited(rng, ("appended", "truncated", "replaced")[i % 3], rng.choice([60, 200, 400]))
