@@ -51,9 +51,39 @@ def drop_stage(df: DataFrame) -> None:
     """Deletes a table that ``stage`` wrote, once nothing reads it any more."""
     path = getattr(df, "_loamwork_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        delete_path(df.sparkSession, path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target, system = _hadoop(spark, path)
+    system.delete(target, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file of the driver's in the shared folder, put in place in one step."""
+    target, system = _hadoop(spark, path)
+    part, _ = _hadoop(spark, f"{path}.part")
+    out = system.create(part, True)
+    out.write(data)
+    out.close()
+    system.delete(target, False)
+    system.rename(part, target)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    target, system = _hadoop(spark, path)
+    if not system.exists(target):
+        return None
+    source = system.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+    finally:
+        source.close()
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:

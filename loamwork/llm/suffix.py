@@ -1,31 +1,40 @@
-"""Suffix-array dedup: removal of long repeated byte strings with a logarithmic family of suffix arrays.
+"""Suffix-array dedup: removal of long repeated byte strings with a logarithmic family of stored suffix arrays.
 
 Every string of ``length`` bytes holds an anchor that depends on its content alone: the smallest
 hashed gram inside it. Neighbouring strings that share an anchor form a run. Equal strings have
 equal anchors at equal offsets, so all occurrences of a string lie in runs with one anchor gram,
-and only runs whose gram occurs again need their bytes compared. Those are dealt by gram. In each
-part they arrive in batches; a batch gets a suffix array of its anchors (and one of the reversed
-text before them), is merge-scanned against the levels so far, and joins them; levels of similar
-size merge, so that their number stays logarithmic.
+and only runs whose gram occurs again need their bytes compared.
+
+A family keeps levels in a folder: tables of the runs of earlier batches, a sparse suffix array in
+order of the anchor grams. A new batch gets such an array of its own. Runs of the batch and of the
+levels that share a gram are dealt by gram; in a task the batch's suffixes (the text from the
+anchor on) and the levels' are sorted each, merged, and scanned for common prefixes to both sides of
+the anchor. Then the batch becomes a level, and levels of similar size are merged, so that their
+number stays logarithmic. A gram with too many different runs for one task is split by further
+anchors of its strings.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import drop_stage, map_arrow, partitions, stage, text_slices
+from loamwork.llm.common import delete_path, drop_stage, map_arrow, partitions, read_bytes, stage, table_path, text_slices, write_bytes
 
-#: Distinct runs of one gram that are compared in one task; beyond it each string is counted by
-#: its 128-bit hash instead, which needs no group in one place.
-GROUP = 16384
+#: Different runs of one gram that are compared in one task; beyond it the gram is split by further
+#: anchors, ``SPLITS`` times at most, and then by the strings themselves.
+GROUP, SPLITS = 16384, 3
+#: Bytes of a text whose anchors are found at once.
+SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_2 = 0xC2B2AE3D27D4EB4F | 1
-_M64 = (1 << 64) - 1
+_RUN = "h long, x1 long, x2 long, row long, at long"
 
 
 class _Powers:
@@ -72,17 +81,19 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
+def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int, salt: int = 0):
     """Runs of the strings of ``length`` bytes in the documents that end at ``ends`` in ``data``.
 
-    Returns (document, first start, last start, anchor, gram hash, run hash) arrays; positions are
-    in ``data``.
+    Returns (document, first start, last start, anchor, gram hash) arrays; positions are in
+    ``data``. Another ``salt`` gives other anchors.
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     sums, up = prefix_sums(data)
     grams = span_hash(sums, up, slice(0, len(data) - gram + 1), slice(gram, len(data) + 1))
+    if salt:
+        grams = (grams ^ np.uint64(salt * _BASE & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xC2B2AE3D27D4EB4F)
     bits = np.uint64(32)  # not by the size of data: anchors depend on content alone
     place = np.arange(len(grams), dtype=np.uint64)
     low = window_minimum((grams >> bits << bits) | place, length - gram + 1)
@@ -92,95 +103,127 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
     valid = np.arange(len(anchor)) + length <= ends[doc]
     at = np.flatnonzero(valid)
     if not len(at):
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     a, d = anchor[at], doc[at]
     new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]))))
     last = np.concatenate((new[1:], [len(at)])) - 1
     lo, hi, a, d = at[new], at[last], a[new], d[new]
-    whole = span_hash(sums, up, lo, hi + length)
-    return d, lo, hi, a, grams[a], whole
+    return d, lo, hi, a, grams[a]
+
+
+def _packed(lo: np.ndarray, anchor: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """First start, anchor's and last start's offsets from it (below ``length``, so 15 bits do) in one number."""
+    return lo << 32 | (anchor - lo) << 16 | (hi - lo)
+
+
+def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 32, (at >> 16) & 0xFFFF, at & 0xFFFF
+
+
+def _digests(data: bytes, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3-128 of each span as two numbers."""
+    out = b"".join(xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(lo.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
+def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(text, offset, bytes) of short texts together and of parts of long ones, a segment at a time.
+
+    Parts overlap, so that each string begins in one of them.
+    """
+    rows, offsets, datas, held = [], [], [], 0
+    for i, text in enumerate(texts):
+        for begin in range(0, max(1, len(text) - length + 1), SEGMENT):
+            piece = text[begin : begin + SEGMENT + length - 1]
+            if held and held + len(piece) > SEGMENT:
+                yield rows, offsets, datas
+                rows, offsets, datas, held = [], [], [], 0
+            rows.append(i)
+            offsets.append(begin)
+            datas.append(piece)
+            held += len(piece)
+    if rows:
+        yield rows, offsets, datas
 
 
 def _runs(length: int, gram: int):
+    """The runs of texts (row, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, budget=1 << 20):
+        for part in text_slices(batches):
+            numbers = part.column("row").to_numpy()
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+            for rows, offsets, datas in _pieces(texts, length):
+                whole = b"".join(datas)
+                ends = np.cumsum(np.fromiter(map(len, datas), np.int64, len(datas)))
+                d, lo, hi, a, h = anchored_runs(np.frombuffer(whole, np.uint8), ends, length, gram)
+                x = _digests(whole, lo, hi + length)
+                # from places in the joined bytes to places in the text
+                back = (np.concatenate(([0], ends[:-1])) - np.array(offsets, np.int64))[d]
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(numbers[np.array(rows, np.int64)[d]]), pa.array(_packed(lo - back, a - back, hi - back))], names=["h", "x1", "x2", "row", "at"])
+
+    return run
+
+
+def _split(length: int, gram: int, salt: int):
+    """Runs (h, row, at, bytes) cut by another anchor of their strings; a gram of ``length`` cuts them into single strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "bytes", SEGMENT):
+            texts = part.column("bytes").to_pylist()
+            whole = b"".join(texts)
             ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-            d, lo, hi, a, h, whole = anchored_runs(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
-            start = np.concatenate(([0], ends[:-1]))[d]
-            rows = pa.array(d)
-            # a is within length of lo and hi, so both offsets fit in 15 bits for lengths below 32,768
-            yield pa.record_batch(
-                [pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), part.column("doc_id").take(rows), part.column("th").take(rows), pa.array((lo - start).astype(np.int32)), pa.array(((a - lo) << 16 | (hi - lo)).astype(np.int32))],
-                names=["h", "hs", "doc_id", "th", "lo", "span"],
-            )
+            d, lo, hi, a, g = anchored_runs(np.frombuffer(whole, np.uint8), ends, length, gram, salt)
+            x = _digests(whole, lo, hi + length)
+            first, offset, _ = _unpacked(part.column("at").to_numpy())
+            begin = np.concatenate(([0], ends[:-1]))
+            back = (begin - first)[d]
+            # equal strings have both anchors, at one distance
+            apart = (a - (begin + offset)[d]).view(np.uint64)
+            h = (part.column("h").to_numpy().view(np.uint64)[d] ^ apart * np.uint64(_BASE)) * np.uint64(0xD6E8FEB86659FD93) + g
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(x[:, 0]), pa.array(x[:, 1]), part.column("row").take(pa.array(d)), pa.array(_packed(lo - back, a - back, hi - back))], names=["h", "x1", "x2", "row", "at"])
 
     return run
 
 
-class LogFamily:
-    """Levels of runs sorted by the text from their anchor; ``add`` marks what a batch repeats.
+def scan(left: list[bytes], right: list[bytes], k: list[tuple[int, int]], old: list[bool], length: int, reach: int) -> np.ndarray:
+    """Marks (run, k) of the strings of runs that another run has too.
 
-    A run is (left text, right text, first and last k): its strings start k bytes before the anchor.
-    Two runs share the string at k if their left texts agree on k bytes and their right texts on
-    length - k. In the two suffix arrays of a scan those are intervals of common prefixes, so per k
-    a run is named by its pair of intervals, and equal names are equal strings.
+    A run is (left text backwards, right text, first and last k): its strings start k bytes before
+    the anchor. The runs of a batch and the ``old`` ones are sorted by their right text each, then
+    merged. Two runs share the string at k if their left texts agree on k bytes and their right
+    texts on length - k. In the two suffix arrays those are intervals of common prefixes, so per k a
+    run is named by its pair of intervals, and equal names are equal strings.
     """
-
-    def __init__(self, length: int, gram: int) -> None:
-        self.length, self.reach = length, length - gram
-        self.left: list[bytes] = []
-        self.right: list[bytes] = []
-        self.gram: list[int] = []
-        self.k: list[tuple[int, int]] = []
-        self.marks = np.zeros((0, self.reach + 1), bool)
-        self.levels: list[list[int]] = []
-
-    def add(self, left: list[bytes], right: list[bytes], gram: list[int], k: list[tuple[int, int]]) -> None:
-        base = len(self.left)
-        self.left += left
-        self.right += right
-        self.gram += gram
-        self.k += k
-        self.marks = np.concatenate((self.marks, np.zeros((len(left), self.reach + 1), bool)))
-        batch = sorted(range(base, len(self.left)), key=self.right.__getitem__)
-        self._scan(batch)
-        here = {self.gram[i] for i in batch}
-        for level in self.levels:
-            shared = [i for i in level if self.gram[i] in here]
-            if shared:
-                there = {self.gram[i] for i in shared}
-                self._scan(sorted([*shared, *(i for i in batch if self.gram[i] in there)], key=self.right.__getitem__))
-        self.levels.append(batch)
-        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            top = self.levels.pop()
-            self.levels[-1] = sorted(self.levels[-1] + top, key=self.right.__getitem__)
-
-    def _scan(self, order: list[int]) -> None:
-        """Marks each string of the runs in ``order`` (sorted by right text) that another one has too."""
-        n = len(order)
-        if n < 2:
-            return
-        right = common_prefixes([self.right[i] for i in order], self.length)
-        back = sorted(range(n), key=lambda x: self.left[order[x]])
-        left = common_prefixes([self.left[order[x]] for x in back], self.reach)
-        where = np.empty(n, np.int64)
-        where[back] = np.arange(n)
-        bounds = np.array([self.k[i] for i in order], np.int64)
-        ids = np.array(order)
-        for k in range(self.reach + 1):
-            on = np.flatnonzero((bounds[:, 0] <= k) & (k <= bounds[:, 1]))
-            if len(on) < 2:
-                continue
-            names = np.cumsum(right < self.length - k)[on] * np.int64(n + 1) + np.cumsum(left < k)[where[on]]
-            _, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
-            self.marks[ids[on[counts[inverse] > 1]], k] = True
+    n = len(left)
+    marks = np.zeros((n, reach + 1), bool)
+    if n < 2:
+        return marks
+    order = [i for kind in (False, True) for i in sorted((i for i in range(n) if old[i] is kind), key=right.__getitem__)]
+    order.sort(key=right.__getitem__)  # two sorted runs: a merge
+    to_right = common_prefixes([right[i] for i in order], length)
+    back = sorted(range(n), key=lambda x: left[order[x]])
+    to_left = common_prefixes([left[order[x]] for x in back], reach)
+    where = np.empty(n, np.int64)
+    where[back] = np.arange(n)
+    bounds, ids = np.array([k[i] for i in order], np.int64), np.array(order)
+    for step in range(reach + 1):
+        on = np.flatnonzero((bounds[:, 0] <= step) & (step <= bounds[:, 1]))
+        if len(on) < 2:
+            continue
+        names = np.cumsum(to_right < length - step)[on] * np.int64(n + 1) + np.cumsum(to_left < step)[where[on]]
+        _, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
+        marks[ids[on[counts[inverse] > 1]], step] = True
+    return marks
 
 
 def common_prefixes(texts: list[bytes], width: int) -> np.ndarray:
     """Length of the common prefix of each text with the one before it (the first: -1), up to ``width``."""
     sizes = np.minimum(np.fromiter(map(len, texts), np.int64, len(texts)), width)
     out = np.full(len(texts), -1, np.int64)
+    if not width:
+        out[1:] = 0
+        return out
     for i in range(1, len(texts), 4096):
         part = texts[i - 1 : i + 4096]
         cells = np.frombuffer(b"".join(t[:width].ljust(width, b"\0") for t in part), np.uint8).reshape(len(part), width)
@@ -191,50 +234,54 @@ def common_prefixes(texts: list[bytes], width: int) -> np.ndarray:
 
 
 def _cut(length: int):
-    """Joins documents with their runs: the bytes of each run, to be dealt by gram."""
+    """Joins texts with their runs: the bytes of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            rows, cols = [], {k: [] for k in ("h", "m", "n", "lo", "span", "bytes")}
+            rows, cols = [], {c: [] for c in ("h", "m", "old", "at", "bytes")}
             for i, (text, runs) in enumerate(zip(part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True)):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for r in runs:
                     rows.append(i)
-                    for k in ("h", "m", "n", "lo", "span"):
-                        cols[k].append(r[k])
-                    cols["bytes"].append(data[r["lo"] : r["lo"] + (r["span"] & 0xFFFF) + length])
-            at = pa.array(rows, pa.int64())
-            yield pa.record_batch(
-                [pa.array(cols["h"], pa.int64()), pa.array(cols["m"], pa.int64()), pa.array(cols["n"], pa.int64()), part.column("doc_id").take(at), part.column("th").take(at), pa.array(cols["lo"], pa.int32()), pa.array(cols["span"], pa.int32()), pa.array(cols["bytes"], pa.binary())],
-                names=["h", "m", "n", "doc_id", "th", "lo", "span", "bytes"],
-            )
+                    for c in ("h", "m", "old", "at"):
+                        cols[c].append(r[c])
+                    cols["bytes"].append(data[r["at"] >> 32 : (r["at"] >> 32) + (r["at"] & 0xFFFF) + length])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+            yield pa.record_batch([part.column("row").take(pa.array(rows, pa.int64())), *(pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True))], names=["row", *cols])
 
     return run
 
 
-def _compare(length: int, gram: int):
+def _compare(length: int):
+    """Spans (row, a, b) of the strings that runs of a gram share; the parts hold whole grams, in their order."""
+
+    def spans(rows: dict[str, list]) -> pa.RecordBatch | None:
+        first, offset, steps = _unpacked(np.array(rows["at"], np.int64))
+        o, texts = offset.tolist(), rows["bytes"]
+        marks = scan([t[:x][::-1] for t, x in zip(texts, o, strict=True)], [t[x : x + length] for t, x in zip(texts, o, strict=True)],
+                     [(x - y, x) for x, y in zip(o, steps.tolist(), strict=True)], rows["old"], length, int(offset.max()))
+        row, begin, end = mark_spans(marks)
+        if not len(row):
+            return None
+        at = (first + offset)[row]
+        return pa.record_batch([pa.array(np.array(rows["row"], np.int64)[row]), pa.array((at - end).astype(np.int32)), pa.array((at - begin + length).astype(np.int32))], names=["row", "a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, docs, tags, anchors = LogFamily(length, gram), [], [], []
+        held: dict[str, list] = {}
         for batch in batches:
-            lo, span = (batch.column(c).to_numpy() for c in ("lo", "span"))
-            offset, steps = (span >> 16).tolist(), (span & 0xFFFF).tolist()
-            texts = batch.column("bytes").to_pylist()
-            docs += batch.column("doc_id").to_pylist()
-            tags += batch.column("th").to_pylist()
-            anchors += (lo + (span >> 16)).tolist()
-            family.add(
-                [t[:o][::-1] for t, o in zip(texts, offset, strict=True)],
-                [t[o : o + length] for t, o in zip(texts, offset, strict=True)],
-                batch.column("h").to_pylist(),
-                [(max(0, o - s), o) for o, s in zip(offset, steps, strict=True)],
-            )
-        row, begin, end = mark_spans(family.marks)
-        if len(row):
-            at = np.array(anchors, np.int64)[row]
-            yield pa.record_batch(
-                [pa.array([docs[i] for i in row], pa.int64()), pa.array([tags[i] for i in row], pa.int32()), pa.array((at - end).astype(np.int32)), pa.array((at - begin + length).astype(np.int32))],
-                names=["doc_id", "th", "a", "b"],
-            )
+            grams = batch.column("h").to_numpy()
+            cuts = [0, *(np.flatnonzero(grams[1:] != grams[:-1]) + 1).tolist(), len(grams)] if len(grams) else [0]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                # grams are gathered up to some thousand runs, since a scan of few costs as much
+                if held and held["h"][-1] != grams[a] and len(held["h"]) >= 4096:
+                    if (out := spans(held)) is not None:
+                        yield out
+                    held = {}
+                piece = batch.slice(a, b - a)
+                for c in ("h", "row", "at", "old", "bytes"):
+                    held.setdefault(c, []).extend(piece.column(c).to_pylist())
+        if held and (out := spans(held)) is not None:
+            yield out
 
     return run
 
@@ -246,28 +293,6 @@ def mark_spans(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, begin, np.nonzero(edge == -1)[1] - 1
 
 
-def _strings(length: int):
-    """Each string of a run by its 128-bit hash, for grams with too many distinct runs for one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "bytes", 1 << 20):
-            texts = part.column("bytes").to_pylist()
-            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            steps = (part.column("span").to_numpy() & 0xFFFF).astype(np.int64) + 1
-            row = np.repeat(np.arange(len(texts)), steps)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)
-            start = np.concatenate(([0], ends[:-1]))[row] + step
-            hashes = [span_hash(*prefix_sums(data, base), start, start + length).view(np.int64) for base in (_BASE, _BASE_2)]
-            rows = pa.array(row)
-            yield pa.record_batch(
-                [pa.array(hashes[0]), pa.array(hashes[1]), part.column("n").take(rows), part.column("doc_id").take(rows), part.column("th").take(rows), pa.array((part.column("lo").to_numpy()[row] + step).astype(np.int32))],
-                names=["s1", "s2", "n", "doc_id", "th", "a"],
-            )
-
-    return run
-
-
 def _apply():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -290,43 +315,137 @@ def _apply():
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, group: int = GROUP) -> DataFrame:
+class SuffixFamily:
+    """Documents and their levels in a folder that all executors share; ``add`` takes further batches.
+
+    Each row is a document of its own, under a number that is given once and stored, so repeated
+    rows repeat all their strings and rows of equal or no doc_id are told apart. Null text is empty;
+    only doc_id and text are kept. A family that was written before is opened by its folder.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, length: int = 200, group: int = GROUP) -> None:
+        self.spark, self.path, self.group = spark, path, group
+        known = read_bytes(spark, f"{path}/family.json")
+        self.state = json.loads(known) if known else {"length": length, "batches": [], "levels": [], "marks": []}
+        self.length = self.state["length"]
+        self.gram = max(8, min(48, self.length // 4))
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        path = f"{self.path}/{name}-{len(self.state['batches']):06d}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return path
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def texts(self) -> DataFrame:
+        return self._read(self.state["batches"], "row long, doc_id long, text string")
+
+    def add(self, docs: DataFrame, last: bool = False) -> None:
+        """Finds what ``docs`` repeat, among themselves and of earlier batches. The ``last`` batch makes no level."""
+        n, number = partitions(self.spark), len(self.state["batches"])
+        numbered = docs.select((F.monotonically_increasing_id() + F.lit(number << 53)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        new = self._write(numbered, "texts")
+        texts = self._read([new], "row long, doc_id long, text string").select("row", "text")
+        own = map_arrow(texts, _runs(self.length, self.gram), _RUN)
+        if not last:
+            # in order of the grams: the batch's sparse suffix array
+            level = self._write(own.repartition(n, "h").sortWithinPartitions("h"), "level")
+            own = self._read([level], _RUN)
+        self.state["batches"].append(new)
+        levels = self._read([path for path, _ in self.state["levels"]], _RUN)
+        grams = own.select("h", F.lit(1).alias("new")).unionByName(levels.select("h", F.lit(0).alias("new")))
+        # a table of its own, so that the join sees plain exchanges and can split a gram that is everywhere
+        again = stage(grams.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new")).where("n > 1 AND new = 1").select("h"), "again")
+        runs = stage(own.withColumn("old", F.lit(False)).unionByName(levels.withColumn("old", F.lit(True))).join(again, "h"), "runs")
+        drop_stage(again)
+        self.state["marks"].append(self._write(self._marks(runs), "marks"))
+        if not last:
+            self.state["levels"].append([level, own.count()])
+            self._merge(n)
+        write_bytes(self.spark, f"{self.path}/family.json", json.dumps(self.state).encode())
+
+    def _merge(self, n: int) -> None:
+        """Merges the newest levels while the one before is at most twice as large."""
+        levels = self.state["levels"]
+        while len(levels) > 1 and levels[-2][1] <= 2 * levels[-1][1]:
+            both = self._read([levels[-2][0], levels[-1][0]], _RUN)
+            merged = self._write(both.repartition(n, "h").sortWithinPartitions("h"), f"merged-{len(levels):03d}")
+            (older, a), (newer, b) = levels[-2:]
+            levels[-2:] = [[merged, a + b]]
+            write_bytes(self.spark, f"{self.path}/family.json", json.dumps(self.state).encode())
+            delete_path(self.spark, older)
+            delete_path(self.spark, newer)
+
+    def _marks(self, runs: DataFrame) -> DataFrame:
+        """(row, a, b): the strings of ``runs``, a staged table, that occur in another run too, as spans of bytes."""
+        n, length, out, used = partitions(self.spark), self.length, [], []
+        texts = self.texts().select("row", "text")
+        for depth in range(SPLITS + 2):
+            # equal runs are one: all their strings recur, and one of them stands for all below
+            equal = stage(runs.groupBy("h", "x1", "x2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("head"), F.min("old").alias("old")), "equal")
+            whole = runs.join(equal.where("n > 1").select("h", "x1", "x2"), ["h", "x1", "x2"])
+            out.append(whole.select("row", _start("at").alias("a"), _end("at", length).alias("b")))
+            used += [runs, equal]
+            if depth > SPLITS:
+                break
+            several = equal.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+            heads = equal.join(several, "h").select("h", "m", "old", "head.row", "head.at")
+            asked = heads.groupBy("row").agg(F.collect_list(F.struct("h", "m", "old", "at")).alias("runs"))
+            cut = stage(map_arrow(texts.join(asked, "row"), _cut(length), "row long, h long, m long, old boolean, at long, bytes binary"), "cut")
+            used.append(cut)
+            # small parts, so that few of the larger groups meet in one task's memory
+            dealt = cut.where(F.col("m") <= self.group).repartition(4 * n, "h").sortWithinPartitions("h")
+            out.append(map_arrow(dealt, _compare(length), "row long, a int, b int"))
+            crowded = cut.where(F.col("m") > self.group)
+            if crowded.isEmpty():
+                break
+            gram = self.gram if depth < SPLITS else length
+            parts = map_arrow(crowded.select("h", "row", "at", "bytes"), _split(length, gram, depth + 1), _RUN)
+            parts = stage(parts.withColumn("old", F.lit(False)), "parts")
+            used.append(parts)
+            again = parts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+            runs = stage(parts.join(again, "h"), "runs")
+        marks = stage(reduce(DataFrame.unionByName, out), "marks")
+        for table in used:
+            drop_stage(table)
+        return marks
+
+    def cleaned(self) -> DataFrame:
+        """(doc_id, n_bytes, spans, kept) of all documents: the bytes that no string covers which starts anywhere else too."""
+        found = self._read(self.state["marks"], "row long, a int, b int")
+        found = found.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("found"))
+        joined = self.texts().join(found, "row", "left").select("doc_id", "text", "found")
+        return map_arrow(joined, _apply(), "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+
+    def drop_levels(self) -> None:
+        """Deletes the levels, after which no batch can be added."""
+        for path, _ in self.state["levels"]:
+            delete_path(self.spark, path)
+        self.state["levels"] = []
+
+
+def _start(at: str) -> Column:
+    return F.shiftright(at, 32).cast("int")
+
+
+def _end(at: str, length: int) -> Column:
+    return (F.shiftright(at, 32) + F.col(at).bitwiseAND(F.lit(0xFFFF)) + F.lit(length)).cast("int")
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, group: int = GROUP, batches: int = 3) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): each document without the bytes of its repeated strings.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else in the input, the
-    same document included. Null text is empty. Every row is a document of its own, so a repeated
-    row repeats all its strings; rows with equal doc_id and different texts are told apart by a hash
-    of the text. ``kept`` is binary, since a removed string may end within a character.
+    same document included. The documents are dealt to ``batches`` by a hash, which a family takes
+    one after the other; the result doesn't depend on their number. Null text is empty. Every row is
+    a document of its own, so a repeated row repeats all its strings, and rows with equal or no
+    doc_id are told apart. Other columns are ignored, whatever their names. ``kept`` is binary,
+    since a removed string may end within a character.
     """
-    gram = max(8, min(48, length // 4))
-    n = partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-    runs = map_arrow(docs, _runs(length, gram), "h long, hs long, doc_id long, th int, lo int, span int")
-    # a table of its own, so that the join sees plain exchanges and can split a gram that is everywhere
-    again = stage(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
-    runs = stage(runs.join(again, "h"), "runs")
-    drop_stage(again)
-
-    equal = runs.groupBy("h", "hs").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "lo", "span")).alias("head"))
-    equal = stage(equal, "equal")
-    whole = runs.join(equal.where("n > 1").select("h", "hs"), ["h", "hs"])
-    whole = whole.select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("span").bitwiseAND(F.lit(0xFFFF)) + F.lit(length)).alias("b"))
-
-    several = equal.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    heads = equal.join(several, "h").select("h", "m", "n", "head.*")
-    asked = heads.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "m", "n", "lo", "span")).alias("runs"))
-    keyed = [docs["doc_id"].eqNullSafe(asked["doc_id"]), docs["th"] == asked["th"]]
-    bytes_schema = "h long, m long, n long, doc_id long, th int, lo int, span int, bytes binary"
-    cut = map_arrow(docs.join(asked, keyed, "inner").select(docs["doc_id"], docs["th"], "text", "runs"), _cut(length), bytes_schema)
-    cut = stage(cut, "cut")
-
-    # small parts, so that few of the larger groups meet in one task's memory
-    mine = map_arrow(cut.where(F.col("m") <= group).repartition(4 * n, "h"), _compare(length, gram), "doc_id long, th int, a int, b int")
-    strings = map_arrow(cut.where(F.col("m") > group), _strings(length), "s1 long, s2 long, n long, doc_id long, th int, a int")
-    counted = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
-    crowded = strings.join(counted, ["s1", "s2"]).select("doc_id", "th", "a", (F.col("a") + length).alias("b"))
-
-    found = whole.unionByName(mine).unionByName(crowded).distinct()
-    found = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    joined = docs.join(found, [docs["doc_id"].eqNullSafe(found["doc_id"]), docs["th"] == found["th"]], "left")
-    return map_arrow(joined.select(docs["doc_id"], "text", "found"), _apply(), "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    family = SuffixFamily(docs.sparkSession, table_path(docs.sparkSession, "suffix-family"), length, group)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    for b in range(batches):
+        family.add(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)) == b), last=b + 1 == batches)
+    family.drop_levels()
+    return family.cleaned()
