@@ -12,6 +12,8 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from datetime import date
+from ipaddress import IPv6Address
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ from loamwork.llm.common import map_arrow, text_slices
 #: For tests and demonstrations; a real run passes its own secret key.
 DEMO_KEY = b"demonstration key, not secret"
 ROUNDS = 10
+#: Characters of a long value that are permuted at once.
+BLOCK = 128
 _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -31,33 +35,57 @@ class Feistel:
     def __init__(self, key: bytes) -> None:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
-    def _round(self, tweak: str, n: int, i: int, value: int) -> int:
-        data = f"{tweak}|{n}|{i}|{value}".encode()
-        return int.from_bytes(hashlib.blake2b(data, digest_size=24, key=self.key).digest(), "big")
+    def _round(self, tweak: bytes, i: int, value: int, size: int) -> int:
+        """A keyed number of ``size`` bytes."""
+        data = tweak + i.to_bytes(1, "big") + value.to_bytes((value.bit_length() + 7) // 8, "big")
+        if size <= 64:
+            return int.from_bytes(hashlib.blake2b(data, digest_size=size, key=self.key).digest(), "big")
+        return int.from_bytes(hashlib.shake_256(self.key + data).digest(size), "big")
 
-    def _once(self, tweak: str, n: int, x: int, back: bool) -> int:
-        a = 1
-        while a * a < n:
-            a <<= 1
+    def _once(self, tweak: bytes, n: int, x: int, back: bool) -> int:
+        a = 1 << ((n - 1).bit_length() + 1) // 2
         b = -(-n // a)
+        size = a.bit_length() // 8 + 12  # 88 bits more than a half, so that its remainders are even
         left, right = divmod(x, b)
         for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
             sign = -1 if back else 1
             if i % 2:
-                right = (right + sign * self._round(tweak, n, i, left)) % b
+                right = (right + sign * self._round(tweak, i, left, size)) % b
             else:
-                left = (left + sign * self._round(tweak, n, i, right)) % a
+                left = (left + sign * self._round(tweak, i, right, size)) % a
         return left * b + right
 
     def permute(self, tweak: str, n: int, x: int, back: bool = False, fits: Callable[[int], bool] | None = None) -> int:
         """Image of ``x`` in range(n); with ``fits``, within the values that fit, of which x is one."""
         if n < 2:
             return x
-        x = self._once(tweak, n, x, back)
+        limit = n.to_bytes((n.bit_length() + 7) // 8, "big")
+        name = tweak.encode("utf-8", "surrogatepass")
+        name = len(name).to_bytes(8, "big") + name + len(limit).to_bytes(8, "big") + limit
+        x = self._once(name, n, x, back)
         while x >= n or fits is not None and not fits(x):
-            x = self._once(tweak, n, x, back)
+            x = self._once(name, n, x, back)
         return x
 
+    def permute_chars(self, tweak: str, chars: str, alphabet: str, back: bool = False) -> str:
+        """Image of characters of ``alphabet``, as many. Long ones go in blocks, each under the images before it."""
+        size, place, out = len(alphabet), {c: i for i, c in enumerate(alphabet)}, ""
+        chain = hashlib.blake2b(digest_size=16)
+        for begin in range(0, len(chars), BLOCK):
+            block, x = chars[begin : begin + BLOCK], 0
+            for c in block:
+                x = x * size + place[c]
+            # the first block's name holds the length alone, a later one's also what the images before it were
+            name = f"{tweak}{len(chars)}" + (f" after {chain.hexdigest()}" if begin else "")
+            x, new = self.permute(name, size ** len(block), x, back), []
+            for _ in block:
+                x, c = divmod(x, size)
+                new.append(alphabet[c])
+            image = "".join(reversed(new))
+            chain.update((block if back else image).encode())
+            out += image
+        return out
+
 
 def luhn_digit(digits: str) -> int:
     """The check digit that makes ``digits`` followed by it valid."""
@@ -199,51 +227,27 @@ class Pseudonymizer:
         if digits:
             body = _fill(body, self._number(f"iban{country}{shape}", digits, back), _digit)
         if letters:
-            x = 0
-            for c in letters:
-                x = x * 26 + ord(c) - 65
-            x, new = self.feistel.permute(f"ibanletters{country}{shape}", 26 ** len(letters), x, back), ""
-            for _ in letters:
-                x, c = divmod(x, 26)
-                new = chr(65 + c) + new
-            body = _fill(body, new, str.isalpha)
+            body = _fill(body, self.feistel.permute_chars(f"ibanletters{country}{shape}", letters, ascii_uppercase, back), str.isalpha)
         check = 98 - iban_remainder(f"{country}00{body}")
         return _fill(text, f"{country}{check:02d}{body}", str.isalnum)
 
     def _isodate(self, text: str, back: bool) -> str | None:
-        y, m, d = text[:4], text[5:7], text[8:]
-        day = self._day(int(y), int(m), int(d))
+        day = self._day(int(text[:4]), int(text[5:7]), int(text[8:]))
         if day is None:
             return None
-        new = self._other_day("date", day, back, None)
+        new = self._other_day(day, back)
         return f"{new.year:04d}{text[4]}{new.month:02d}{text[7]}{new.day:02d}"
 
     def _daydate(self, text: str, back: bool) -> str | None:
         mark = re.search(r"[./-]", text)[0]
         first, second, y = text.split(mark)
+        # dates with slashes are read month first where they can be
         month_first = mark == "/" and 1 <= int(first) <= 12 and self._day(int(y), int(first), int(second)) is not None
         m, d = (first, second) if month_first else (second, first)
         day = self._day(int(y), int(m), int(d))
         if day is None:
             return None
-        # dates with slashes are read month first where they can be, so others keep a day above 12
-        late = mark == "/" and not month_first
-        padded = len(first) == 2 and len(second) == 2
-        fits = (lambda x: date.fromordinal(_FIRST + x).day > 12) if late else None
-        tweak = "latedate" if late else "date"
-        if not padded:
-            # single digits stay single: only values that are written with the same lengths
-            lengths = (len(first), len(second)) if (str(int(first)), str(int(second))) == (first, second) else None
-            if lengths is None:
-                return None
-            late_fits = fits
-
-            def fits(x: int) -> bool:
-                other = date.fromordinal(_FIRST + x)
-                pair = (other.month, other.day) if month_first else (other.day, other.month)
-                return tuple(len(str(v)) for v in pair) == lengths and (late_fits is None or late_fits(x))
-
-        new = self._other_day(tweak, day, back, fits)
+        new = self._other_day(day, back)
         pair = (new.month, new.day) if month_first else (new.day, new.month)
         return mark.join((str(pair[0]).zfill(len(first)), str(pair[1]).zfill(len(second)), str(new.year)))
 
@@ -255,25 +259,48 @@ class Pseudonymizer:
             return None
         return x - _FIRST if _FIRST <= x <= _LAST else None
 
-    def _other_day(self, tweak: str, day: int, back: bool, fits: Callable[[int], bool] | None) -> date:
-        return date.fromordinal(_FIRST + self.feistel.permute(tweak, _LAST - _FIRST + 1, day, back, fits))
+    def _other_day(self, day: int, back: bool) -> date:
+        """One permutation for all ways of writing, so that equal dates stay linked. It keeps whether the
+        month and the day have one digit and whether the day is above 12, so an image has the lengths
+        of its date and is read in the same order."""
+        kind = lambda x: (x.month > 9, (x.day > 9) + (x.day > 12))
+        own = kind(date.fromordinal(_FIRST + day))
+        return date.fromordinal(_FIRST + self.feistel.permute("date", _LAST - _FIRST + 1, day, back, lambda x: kind(date.fromordinal(_FIRST + x)) == own))
 
     def _email(self, text: str, back: bool) -> str | None:
         local, domain = text.split("@")
         out = local
-        for name, size, zero, test in (("lower", 26, 97, lambda c: "a" <= c <= "z"), ("upper", 26, 65, lambda c: "A" <= c <= "Z"), ("digit", 10, 48, _digit)):
-            chars = [c for c in local if test(c)]
+        for name, alphabet in (("lower", ascii_lowercase), ("upper", ascii_uppercase), ("digit", "0123456789")):
+            chars = "".join(c for c in local if c in alphabet)
             if chars:
-                x = 0
-                for c in chars:
-                    x = x * size + ord(c) - zero
-                x, new = self.feistel.permute(f"email{name}{len(chars)}", size ** len(chars), x, back), ""
-                for _ in chars:
-                    x, c = divmod(x, size)
-                    new = chr(zero + c) + new
-                out = _fill(out, new, test)
+                out = _fill(out, self.feistel.permute_chars(f"email{name}", chars, alphabet, back), lambda c, alphabet=alphabet: c in alphabet)
         return f"{out}@{domain}"
 
+    def _ipv6(self, text: str, back: bool) -> str | None:
+        try:
+            IPv6Address(text)
+        except ValueError:
+            return None
+        hexes, upper = text.replace(":", ""), text.upper() == text != text.lower()
+        if not hexes or not upper and text.lower() != text:
+            return None
+        alphabet = "0123456789ABCDEF" if upper else "0123456789abcdef"
+        shape = "".join(c if c == ":" else "0" for c in text) + ("upper" if upper else "")
+        n = len(hexes)
+        # capitals are told by a letter, so an image of capitals has one
+        fits = (lambda x: not f"{x:x}".isdigit()) if upper else None
+        x = self.feistel.permute(f"ipv6{shape}", 16**n, int(hexes, 16), back, fits)
+        return _fill(text, "".join(alphabet[x >> 4 * i & 15] for i in reversed(range(n))), lambda c: c != ":")
+
+    def _abroad(self, text: str, back: bool) -> str | None:
+        """A number with a country code: the code as written apart, or two digits, stays."""
+        number = _digits(text)
+        if not 8 <= len(number) <= 15:
+            return None
+        code = len(_digits(re.split(r"[ .()-]", text[1:], maxsplit=1)[0]))
+        keep = code if code <= 3 else 2
+        return _fill(text, number[:keep] + self._number(f"abroad{number[:keep]}", number[keep:], back), _digit)
+
 
 _ANY = re.compile(r"[0-9@]")
 _RUN, _BORDER = re.compile(r"[0-9]+(?:[ -]?[0-9]+)*", re.ASCII), re.compile(r"(?![\w]|[.-][0-9])", re.ASCII)
@@ -286,7 +313,9 @@ _VALUE = re.compile(
     r"|(?P<daydate>(?<![\w./-])[0-9]{1,2}([./-])[0-9]{1,2}\7[0-9]{4}(?![\w]|[./-][0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9]))"
-    r"|(?P<phone>(?<![\w])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![\w]|-[0-9]))",
+    r"|(?P<phone>(?<![\w])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![\w]|-[0-9]))"
+    r"|(?P<abroad>(?<![\w+])\+[1-9](?:[ .-]?\(?[0-9]\)?){7,14}(?![\w]|[ .-][0-9]))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:.]))",
     re.ASCII,
 )
 
@@ -295,9 +324,12 @@ def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
     """``docs`` with ``text`` pseudonymised, and ``pii``: (kind, start, end) of each value in the input.
 
     Kinds: Luhn-valid card numbers, checked IBANs, US social security numbers in assigned ranges,
-    IPv4 addresses, ten-digit phone numbers, calendar dates from 1900 to 2099, and the local part of
-    e-mail addresses. What fails its check stays. Null and empty texts stay, with no values; other
-    columns pass through, but one named ``pii`` is replaced.
+    IPv4 and IPv6 addresses, ten-digit phone numbers with separators, numbers of 8 to 15 digits after
+    a plus sign, calendar dates from 1900 to 2099, and the local part of e-mail addresses. Equal
+    values have equal images, dates in any way of writing. What fails its check stays, as do mail
+    domains and digits without separators that no check confirms. Null and empty texts stay, with no
+    values; values may be of any length; repeated rows have equal results; other columns pass
+    through, whatever their names, but one named ``pii`` is replaced. An empty table stays empty.
     """
     docs = docs.drop("pii")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
