@@ -3,15 +3,18 @@
 A document is contaminated by an item if some stretch of its words is within 0.2 edits a word of
 the item (words are lower-cased runs of letters, digits and underscores; an edit inserts, deletes
 or replaces a word). A window that is close enough must hold a number of the benchmark's word
-triples (the q-gram lemma; pairs for items so short that the edits could break all triples), so only windows that do are embedded; no close one is lost there. The
-CGK walk turns a window and the items of its size into long strings whose Hamming distance follows
-the edit distance; sampled positions of it are hashed, over independent repetitions, and windows
-that meet an item under any of them are checked exactly.
+triples (the q-gram lemma; pairs or single words for items so short that the edits could break all
+triples), so only windows that do are embedded; no close one is lost there. The CGK walk turns a
+window and the items of its size into long strings whose Hamming distance follows the edit
+distance; sampled positions of it are hashed, over independent repetitions, and windows that meet
+an item under any of them are checked exactly.
+
+The index of a block of items is a few sorted arrays, so that it is small in each worker: about
+1,200 bytes an item and 25 bytes a gram, besides the words.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,6 +34,8 @@ GRAM = 3
 #: Characters of benchmark text that are sent to the executors at once; more go in further passes.
 BLOCK_CHARS = 8 << 20
 _END = -1
+#: Places of grams that are looked at together.
+_PLACES = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -95,88 +100,103 @@ class Index:
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in word_tokens(text)]
             if ids:
-                self.items.append((item_id, np.array(ids, np.int64)))
-        base = np.int64(len(self.vocabulary) + 1)
-        self.base = base
-        self.grams: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
-        sizes: dict[int, list[int]] = defaultdict(list)
-        for i, (_, ids) in enumerate(self.items):
-            n = len(ids)
-            sizes[n].append(i)
-            q = gram_size(n)
-            for offset, key in enumerate(_grams(ids, q, base).tolist()):
-                self.grams[q][key].add((n, offset))
-        self.sorted = {q: np.array(sorted(found), np.int64) for q, found in self.grams.items()}
-        self.grams = {q: dict(found) for q, found in self.grams.items()}
-        self.keys: dict[int, list[dict[int, list[int]]]] = {}
-        for n, members in sizes.items():
+                self.items.append((item_id, np.array(ids, np.int32)))
+        self.base = np.int64(len(self.vocabulary) + 1)
+        sizes = np.fromiter((len(ids) for _, ids in self.items), np.int64, len(self.items))
+        # by gram size the sorted grams, where the places of each begin, and its different places:
+        # the words of the item and the gram's offset in it
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        by_gram = np.fromiter(map(gram_size, sizes.tolist()), np.int64, len(sizes))
+        for q in np.unique(by_gram).tolist():
+            members = np.flatnonzero(by_gram == q)
+            keys = np.concatenate([_grams(self.items[i][1], q, self.base) for i in members])
+            count = sizes[members] - q + 1
+            offset = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+            rows = np.unique(np.stack((keys, np.repeat(sizes[members], count), offset), axis=1), axis=0)
+            known, first = np.unique(rows[:, 0], return_index=True)
+            self.grams[q] = known, np.append(first, len(rows)), rows[:, 1].astype(np.int32), rows[:, 2].astype(np.int32)
+        # by item size the sorted keys of all repetitions and the item of each
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(sizes).tolist():
+            members = np.flatnonzero(sizes == n)
             table = embed_keys(np.stack([self.items[i][1] for i in members]))
-            per = [defaultdict(list) for _ in range(REPEATS)]
-            for row, i in zip(table.tolist(), members, strict=True):
-                for r, key in enumerate(row):
-                    per[r][key].append(i)
-            self.keys[n] = [dict(d) for d in per]
+            order = np.argsort(table, axis=None, kind="stable")
+            self.keys[n] = table.ravel()[order], np.repeat(members, REPEATS)[order].astype(np.int32)
 
-    def windows(self, ids: np.ndarray) -> dict[int, set[int]]:
+    def windows(self, ids: np.ndarray) -> dict[int, np.ndarray]:
         """Starts of the item-sized windows, by size, that hold enough of the benchmark's grams."""
-        out: dict[int, set[int]] = defaultdict(set)
-        for q, known in self.sorted.items():
+        out: dict[int, list[np.ndarray]] = {}
+        for q, (known, first, words, offsets) in self.grams.items():
             if len(ids) < q:
                 continue
-            keys = _grams(ids, q, self.base)
-            all_known = ids[: len(ids) - q + 1] > 0
+            at = np.flatnonzero(ids > 0)
             for j in range(1, q):
-                all_known = all_known & (ids[j : len(ids) - q + 1 + j] > 0)
-            at = np.flatnonzero(all_known)
-            if not len(at):
-                continue
-            place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-            at = at[known[place] == keys[at]]
+                at = at[at + j < len(ids)]
+                at = at[ids[at + j] > 0]
+            keys = ids[at].astype(np.int64)
+            for j in range(1, q):
+                keys = keys * self.base + ids[at + j]
+            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            found = known[place] == keys
+            at, place = at[found], place[found]
             if not len(at):
                 continue
             sums = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(ids)))))
-            for p in at.tolist():
-                for n, offset in self.grams[q][int(keys[p])]:
-                    edits, start = int(RATE * n), p - offset
-                    need = n - q + 1 - q * edits
-                    a, b = max(0, start - edits), min(len(ids), start + n + edits)
-                    if sums[b] - sums[a] >= need:
-                        out[n].add(start)
-        return out
+            count = first[place + 1] - first[place]
+            # some occurrences at a time, as a gram may stand in many items
+            cuts = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()), _PLACES))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+                c = count[a:b]
+                rows = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[place[a:b]], c)
+                n, start = words[rows].astype(np.int64), np.repeat(at[a:b], c) - offsets[rows]
+                edits = (RATE * n).astype(np.int64)
+                low, high = np.maximum(start - edits, 0), np.minimum(start + n + edits, len(ids))
+                enough = sums[high] - sums[low] >= n - q + 1 - q * edits
+                pairs = np.unique(np.stack((n[enough], start[enough]), axis=1), axis=0)
+                for m in np.unique(pairs[:, 0]).tolist():
+                    out.setdefault(m, []).append(pairs[pairs[:, 0] == m, 1])
+        return {n: np.unique(np.concatenate(starts)) for n, starts in out.items()}
 
     def find(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int, int]]]:
         """For each text (item_id, words of the item, distance, first word, end) of each item in it."""
         found: list[dict[int, tuple[int, int, int, int]]] = [{} for _ in texts]
-        by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
         for t, ids in enumerate(texts):
             for n, starts in self.windows(ids).items():
-                by_size[n] += [(t, start) for start in sorted(starts)]
+                by_size.setdefault(n, []).append((t, starts))
         for n, windows in by_size.items():
-            for at in range(0, len(windows), 2048):
-                self._check(n, windows[at : at + 2048], texts, found)
+            owner = np.concatenate([np.full(len(starts), t) for t, starts in windows])
+            starts = np.concatenate([starts for _, starts in windows])
+            for at in range(0, len(starts), 2048):
+                self._check(n, owner[at : at + 2048], starts[at : at + 2048], texts, found)
         return [[(self.items[i][0], *hits[i]) for i in sorted(hits)] for hits in found]
 
-    def _check(self, n: int, windows: list[tuple[int, int]], texts: list[np.ndarray], found: list[dict]) -> None:
-        edits, rows = int(RATE * n), np.zeros((len(windows), n), np.int64)
-        for row, (t, start) in zip(rows, windows, strict=True):
+    def _check(self, n: int, owner: np.ndarray, starts: np.ndarray, texts: list[np.ndarray], found: list[dict]) -> None:
+        edits, rows = int(RATE * n), np.zeros((len(starts), n), np.int64)
+        for row, t, start in zip(rows, owner.tolist(), starts.tolist(), strict=True):
             a, b = max(0, start), min(len(texts[t]), start + n)
             row[a - start : b - start] = texts[t][a:b]
+        known, members = self.keys[n]
+        keys = embed_keys(rows).ravel()
+        low = np.searchsorted(known, keys, "left")
+        count = np.searchsorted(known, keys, "right") - low
+        met = np.repeat(np.arange(len(keys)) // REPEATS, count)
+        item = members[np.arange(len(met)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
         tried: set[tuple[int, int, int, int]] = set()
-        for (t, start), keys in zip(windows, embed_keys(rows).tolist(), strict=True):
+        for w, i in np.unique(np.stack((met, item), axis=1), axis=0).tolist():
+            t, start = int(owner[w]), int(starts[w])
             ids = texts[t]
-            met = {i for r, key in enumerate(keys) for i in self.keys[n][r].get(key, ())}
-            for i in met:
-                a, b = max(0, start - edits), min(len(ids), start + n + edits)
-                if (t, i, a, b) in tried:
-                    continue
-                tried.add((t, i, a, b))
-                here = set(ids[a:b].tolist())
-                # an item's word that isn't in the stretch costs an edit
-                if sum(w not in here for w in self.items[i][1].tolist()) > edits:
-                    continue
-                distance, x, y = closest(self.items[i][1], ids[a:b])
-                if distance <= edits and (i not in found[t] or (distance, a + x) < found[t][i][1:3]):
-                    found[t][i] = (n, distance, a + x, a + y)
+            a, b = max(0, start - edits), min(len(ids), start + n + edits)
+            if (t, i, a, b) in tried:
+                continue
+            tried.add((t, i, a, b))
+            words = self.items[i][1]
+            # an item's word that isn't in the stretch costs an edit
+            if np.count_nonzero(~np.isin(words, ids[a:b])) > edits:
+                continue
+            distance, x, y = closest(words, ids[a:b])
+            if distance <= edits and (i not in found[t] or (distance, a + x) < found[t][i][1:3]):
+                found[t][i] = (n, distance, a + x, a + y)
 
 
 def _grams(ids: np.ndarray, q: int, base: np.int64) -> np.ndarray:
@@ -205,8 +225,10 @@ def _ids(index: Index, texts: list[str | None]) -> list[np.ndarray]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_words, distance, similarity, start, end): items found in documents.
 
-    ``start`` and ``end`` are word positions of the closest stretch. Null or wordless texts and
-    items match nothing; repeated rows are searched each. Items with a null item_id keep it.
+    ``start`` and ``end`` are word positions of the closest stretch, of equally close ones the first.
+    Null or wordless texts and items match nothing; repeated documents and items are searched each
+    and keep their ids, also where those are null. Columns other than doc_id, item_id and text are
+    ignored, whatever their names. Empty tables have no rows. Texts may be of any length.
     """
     out = None
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -228,7 +250,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item of the benchmark is found."""
+    """The rows of ``docs``, all columns, in which no item of the benchmark is found, by ``find_leaks``.
+
+    Null and empty texts stay, repeated rows are judged each, columns keep their names, and an empty
+    table or benchmark changes nothing. An item of one word takes each document that has the word.
+    """
     for index in index_blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
