@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
-#: The random offset of the sampling, in [0, 1); the same for every source.
-OFFSET = 0.37454011884736254
-#: Groups that rows of one source and size class are dealt to, so that no source is ranked in one task.
-SPREAD = 64
+#: The seed of the sampling's random offset.
+SEED = 42
+#: Groups that rows of one source and size class are dealt to, so that no source is ranked in one
+#: task; a prime, so that ids with a common step are spread too.
+SPREAD = 61
+
+
+def offset_of(seed: int) -> float:
+    """The random offset in [0, 1), the same for every source."""
+    return random.Random(seed).random()
 
 
 def word_count(text: Column) -> Column:
@@ -44,18 +52,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return filled.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("w") * stop).alias("target"))
 
 
-def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, offset: float = OFFSET) -> DataFrame:
+def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """``sized`` (source, doc_id, size and any other columns) with source_size, target and copies.
 
     Documents of a source are ordered by size class (root of the size), then dealt by doc_id, then
     by size and doc_id. Each is expected target / source_size times; the prefix sums of that, plus
-    one offset, cross the integers, and a document is taken once for each integer crossed. So it is
-    taken the expected number of times, rounded up or down, and equally often in every size class.
-    Ranks come from group counts and ranks in small groups, never from a whole source in one task.
-    Empty documents have size 0; a source of size 0 has target 0. Rows without doc_id come first in
-    their group. Repeated rows are documents of their own.
+    one random offset that follows from ``seed``, cross the integers, and a document is taken once
+    for each integer crossed. So it is taken the expected number of times, rounded up or down, and
+    equally often in every size class. Ranks come from group counts and ranks in small groups, never
+    from a whole source in one task.
+
+    Empty documents have size 0; a source of size 0 has target 0; a null size counts as 0. Rows
+    without doc_id are dealt by their size and come first in their group. Repeated rows and ties are
+    documents of their own, in any order. Other columns pass through, whatever their names, but
+    those named source_size, target or copies are replaced. An empty table stays empty.
     """
-    sized = sized.withColumn("size_class", F.floor(F.sqrt("size"))).withColumn("dealt", F.pmod(F.coalesce("doc_id", F.lit(0)) * 7919, F.lit(SPREAD)))
+    own, made = ("source", "doc_id", "size"), ("source_size", "target", "copies")
+    extra = [c for c in sized.columns if c.lower() not in own + made]
+    kept = [F.struct(*(F.col(f"`{c}`") for c in extra)).alias("kept")] if extra else []
+    size = F.coalesce(F.col("size").cast("long"), F.lit(0))
+    sized = sized.select("source", F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), *kept)
+    sized = sized.withColumn("size_class", F.floor(F.sqrt("size"))).withColumn("dealt", F.pmod(F.coalesce("doc_id", "size"), F.lit(SPREAD)))
     group = ["source", "size_class", "dealt"]
     counts = sized.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("source").orderBy("size_class", "dealt").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,26 +82,35 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     offsets = offsets.select(*(F.col(c).alias(f"of_{c}") for c in group), "before", "source_size", "target")
     place = F.row_number().over(Window.partitionBy(*group).orderBy("size", "doc_id"))
     ranked = sized.withColumn("place", place)
-    joined = ranked.join(offsets, [ranked[c].eqNullSafe(offsets[f"of_{c}"]) for c in group]).drop(*(f"of_{c}" for c in group))
+    joined = ranked.join(offsets, [ranked[c].eqNullSafe(offsets[f"of_{c}"]) for c in group])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rank = F.col("before") + F.col("place")
-    crossed = F.floor(rate * rank + F.lit(offset)) - F.floor(rate * (rank - 1) + F.lit(offset))
-    return joined.withColumn("copies", crossed.cast("long")).drop("size_class", "dealt", "before", "place")
+    rank, offset = F.col("before") + F.col("place"), F.lit(offset_of(seed))
+    crossed = F.floor(rate * rank + offset) - F.floor(rate * (rank - 1) + offset)
+    return joined.select(*own, *(["kept.*"] if extra else []), "source_size", "target", crossed.cast("long").alias("copies"))
+
 
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The documents of the mix, each as often as ``mix`` takes it, with the columns of ``docs``.
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    kept = F.struct(*(F.col(c) for c in docs.columns)).alias("kept")
-    sized = docs.select(kept, F.col("source"), F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"))
-    taken = mix(sized).where("copies > 0")
-    return taken.select(F.explode(F.array_repeat("kept", F.col("copies").cast("int"))).alias("kept")).select("kept.*")
+    Only ids, sources and sizes are ranked; texts move once, to meet the number of their copies. They
+    meet by a hash of doc_id, source and text; rows of one hash share their copies in any order.
+    Null and empty texts are of size 0. Columns may have any names; an empty table stays empty.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
+    narrow = docs.select("source", "doc_id", word_count(F.col("text")).alias("size"), key.alias("key"))
+    taken = mix(narrow, seed=seed).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("total"), F.min("copies").alias("least")).where("total > 0")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"), key.alias("key")).join(taken, "key")
+    # the join has sorted by key, so ranks need no further exchange
+    place = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    copies = F.when(F.col("n") == 1, F.col("total")).otherwise(F.col("least") + (F.col("place") <= F.col("total") - F.col("n") * F.col("least")).cast("long"))
+    return rows.withColumn("place", place).select(F.explode(F.array_repeat("kept", copies.cast("int"))).alias("kept")).select("kept.*")
 
 
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), placed AS (
-  SELECT *, floor(sqrt(size)) AS size_class, coalesce(doc_id, 0) * 7919 % 64 AS dealt FROM sized
+  SELECT *, floor(sqrt(size)) AS size_class, (coalesce(doc_id, size) % 61 + 61) % 61 AS dealt FROM sized
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY size_class, dealt, size, doc_id NULLS FIRST) AS rank FROM placed
 ), totals AS (
@@ -107,6 +133,6 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
 )
 SELECT r.doc_id, r.size, t.source_size, t.target,
-  r.size * CAST(floor(t.rate * r.rank + CAST(0.37454011884736254 AS DOUBLE)) - floor(t.rate * (r.rank - 1) + CAST(0.37454011884736254 AS DOUBLE)) AS BIGINT) AS taken
+  r.size * CAST(floor(t.rate * r.rank + CAST(OFFSET AS DOUBLE)) - floor(t.rate * (r.rank - 1) + CAST(OFFSET AS DOUBLE)) AS BIGINT) AS taken
 FROM ranked r JOIN rates t ON r.source IS NOT DISTINCT FROM t.source
-"""
+""".replace("OFFSET", repr(offset_of(SEED)))
