@@ -114,14 +114,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
     The fold is crc32(doc_id as text) mod ``folds``; ``held`` is never learned from. The rows with
     the smallest hash of doc_id are taken, so the sample is the same in every run. A document with
-    several labels has the highest.
+    several labels has the highest; of several texts with one doc_id the one of the smallest hash is
+    taken, so repeated ids don't enlarge the sample.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    known = known.where(fold != held).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.where(fold != held).join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most ``rows`` ids, so this broadcast is bounded
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
 
 
 def partitions(spark: SparkSession) -> int:
