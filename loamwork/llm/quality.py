@@ -1,24 +1,31 @@
 """Quality: a linear-chain CRF labels each line good or bad; its marginals make a document's score.
 
 Emissions see a line's own features and those of its neighbours; transitions see which labels
-follow each other. Training lines carry their document's label. A document's share of good text is
-the mean of the forward-backward marginals, weighted by line length; a logistic calibration on the
-training documents turns it into the probability of label 1.
+follow each other. Only documents are labelled, so the lines' labels are found first: lines learn
+their document's label from their own features alone; then each line gets the label that those and
+its document make likelier, at least one line that of the document. The chain learns from those, so its
+transitions see where good and bad lines meet. A document's share of good text is the mean of the
+forward-backward marginals, weighted by line length; a logistic calibration on the training
+documents turns it into the probability of label 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import labelled_sample, map_arrow, text_slices
+from loamwork.llm.common import drop_stage, labelled_sample, map_arrow, stage, text_slices
 
-#: Labelled rows that are learned from at most, and lines of a row that are learned from at most.
-SAMPLE_ROWS, SAMPLE_LINES = 4000, 400
+#: Bounds of the sample that is learned from, not of what is scored: labelled rows, and lines of
+#: them all; rows are taken whole, in the order of their hashes, while the lines allow it.
+SAMPLE_ROWS, SAMPLE_LINES = 4000, 500_000
+#: How likely a line is good in a good and in a bad document, before its features are seen.
+PRIORS = (0.5, 0.97)
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 _STEPS, _RATE, _RIDGE = 150, 0.05, 1e-3
@@ -77,15 +84,9 @@ _NEAR_STARTS = np.concatenate(([0], np.cumsum(_WIDTHS[list(_NEAR)])[:-1]))
 SIZE = _OWN + 2 * _NEAR_SIZE + 2
 
 
-def line_features(texts: list[str | None], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lines of each text, characters of each line, feature numbers of each line).
-
-    An empty text is one empty line. ``most`` limits the lines of a text, for training only.
-    """
-    datas = []
-    for t in texts:
-        data = (t or "").encode("utf-8", "replace")
-        datas.append(data if most is None else b"\n".join(data.split(b"\n", most)[:most]))
+def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines of each text, characters of each line, feature numbers of each line). An empty text is one empty line."""
+    datas = [(t or "").encode("utf-8", "replace") for t in texts]
     joined = b"\n".join(datas) + b"\n"
     kinds = _CLASSES[np.frombuffer(joined, np.uint8)]
     breaks = np.flatnonzero(kinds == 11)
@@ -197,22 +198,39 @@ def _calibrated(share: np.ndarray, slope: float, shift: float) -> np.ndarray:
     return 1 / (1 + np.exp(-(slope * np.log(clipped / (1 - clipped)) + shift)))
 
 
-def fit(texts: list[str | None], y: np.ndarray) -> Model:
-    """Maximum likelihood with a ridge, by Adam; ``y`` has a 0 or 1 for each text."""
-    per, chars, numbers = line_features(texts)
-    labels = np.repeat(y, per).astype(float)
+def line_labels_of(per: np.ndarray, emissions: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The labels (0 or 1) of lines in documents of label ``y``, from scores that lines got by those labels.
+
+    The scores hold the share of good lines, as they were fitted to it, so the document's prior takes
+    its place. In each document the line that fits its label best has it.
+    """
+    of = np.repeat(np.arange(len(per)), per)
+    logit = lambda p: np.log(p / (1 - p))
+    base = np.clip(np.repeat(y, per).mean(), 0.01, 0.99)
+    out = (emissions - logit(base) + np.where(y[of] > 0, logit(PRIORS[1]), logit(PRIORS[0])) > 0).astype(float)
+    towards = np.where(y[of] > 0, emissions, -emissions)
+    order = np.lexsort((-towards, of))
+    best = order[np.cumsum(per) - per]
+    out[best] = y
+    return out
+
+
+def _ascend(model: Model, per: np.ndarray, numbers: np.ndarray, labels: np.ndarray, steps: int, moves: bool) -> None:
+    """Steps of Adam up the likelihood of line labels, with a ridge; ``moves``: transitions too."""
     inner = np.ones(len(labels), bool)
     inner[np.cumsum(per) - 1] = False
     same = np.flatnonzero(inner)
     observed = np.zeros((2, 2))
     np.add.at(observed, (labels[same].astype(int), labels[same + 1].astype(int)), 1)
-    weights, transitions = np.zeros(SIZE), np.zeros((2, 2))
     moment, square = np.zeros(SIZE + 4), np.zeros(SIZE + 4)
-    model = Model(weights, transitions, 1.0, 0.0)
     flat = numbers.ravel()
     used = flat >= 0
-    for step in range(1, _STEPS + 1):
-        marginal, expected, _ = chain(per, model.emissions(numbers), model.transitions)
+    for step in range(1, steps + 1):
+        emissions = model.emissions(numbers)
+        if moves:
+            marginal, expected, _ = chain(per, emissions, model.transitions)
+        else:
+            marginal, expected = 1 / (1 + np.exp(-np.clip(emissions, -60, 60))), observed
         off = np.repeat(labels - marginal, numbers.shape[1])
         slope = np.bincount(flat[used], weights=off[used], minlength=SIZE)
         g = np.concatenate((slope, (observed - expected).ravel())) / len(labels)
@@ -220,7 +238,19 @@ def fit(texts: list[str | None], y: np.ndarray) -> Model:
         moment = 0.9 * moment + 0.1 * g
         square = 0.99 * square + 0.01 * g * g
         move = _RATE * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-        model.weights, model.transitions = model.weights + move[:SIZE], model.transitions + move[SIZE:].reshape(2, 2)
+        model.weights = model.weights + move[:SIZE]
+        if moves:
+            model.transitions = model.transitions + move[SIZE:].reshape(2, 2)
+
+
+def fit(per: np.ndarray, chars: np.ndarray, numbers: np.ndarray, y: np.ndarray) -> Model:
+    """The model of texts with ``per`` lines each, their ``line_features``, and a label 0 or 1 for each text."""
+    model = Model(np.zeros(SIZE), np.zeros((2, 2)), 1.0, 0.0)
+    own = numbers[:, : len(_BINS)]
+    _ascend(model, per, own, np.repeat(y, per).astype(float), _STEPS, moves=False)
+    found = line_labels_of(per, model.emissions(own), y)
+    model.weights = np.zeros(SIZE)
+    _ascend(model, per, numbers, found, _STEPS, moves=True)
     begin, weight = np.cumsum(per) - per, np.maximum(chars, 1)
     good = chain(per, model.emissions(numbers), model.transitions)[0]
     share = np.clip(np.add.reduceat(good * weight, begin) / np.add.reduceat(weight, begin), 1e-6, 1 - 1e-6)
@@ -235,23 +265,44 @@ def fit(texts: list[str | None], y: np.ndarray) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, lines: int = SAMPLE_LINES) -> Model:
     """Learns ``labels.quality`` from at most ``rows`` labelled documents outside the held-out fold.
 
-    Of a training document the first ``SAMPLE_LINES`` lines, up to 100 characters each on average,
-    reach the driver; scoring reads whole texts. With no labels, or labels
-    of one class only, every score is the smoothed share of label 1.
+    Features are made from whole texts in the executors; 28 bytes a line reach the driver. Rows that
+    would bring the sample above ``lines`` are left out whole. With no labels, or labels of one class
+    only, every score is the smoothed share of label 1. Null labels and ids are left out; of several
+    texts with one doc_id one is learned from; null texts are empty; other columns are ignored.
     """
-    lines = F.substring_index("text", "\n", SAMPLE_LINES)
-    got = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, rows).select(F.substring(lines, 1, 100 * SAMPLE_LINES).alias("text"), "y").orderBy("text", "y").collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, budget=1 << 20):
+            per, chars, numbers = line_features(part.column("text").to_pylist())
+            ends = np.cumsum(per)
+            cut = lambda x: [x[a:b].tobytes() for a, b in zip((ends - per).tolist(), ends.tolist(), strict=True)]  # noqa: B023, E731
+            yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array(per), pa.array(cut(chars.astype("<i4")), pa.binary()), pa.array(cut(numbers.astype(np.uint8)), pa.binary())], names=["doc_id", "y", "lines", "chars", "numbers"])
+
+    sample = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, rows).withColumn("doc_id", F.col("doc_id").cast("long"))
+    made = stage(map_arrow(sample, run, "doc_id long, y int, lines long, chars binary, numbers binary"), "quality-lines")
+    order = made.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lines").orderBy("h", "doc_id").collect()
+    known = [r["doc_id"] for r, total in zip(order, accumulate(r["lines"] for r in order), strict=True) if total <= lines]
+    # at most ``rows`` ids
+    got = made.where(F.col("doc_id").isin(known)).orderBy("doc_id").select("y", "chars", "numbers").collect() if known else []
+    drop_stage(made)
     y = np.array([r["y"] > 0 for r in got], float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(SIZE), np.zeros((2, 2)), 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-    return fit([r["text"] for r in got], y)
+    chars = np.frombuffer(b"".join(r["chars"] for r in got), "<i4").astype(float)
+    numbers = np.frombuffer(b"".join(r["numbers"] for r in got), np.uint8).reshape(len(chars), -1).astype(np.int16)
+    numbers[numbers == 255] = -1
+    return fit(np.array([len(r["chars"]) // 4 for r in got], np.int64), chars, numbers, y)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, good_share) of each row. Null text is empty; an empty text is one empty line."""
+    """(doc_id, score, good_share) of each row, of the whole text.
+
+    Null text is empty; an empty text is one empty line. Repeated rows have equal scores, null ids
+    stay, other columns are ignored, whatever their names, and an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, budget=1 << 20):
@@ -262,7 +313,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def line_labels(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, line, chars, good) of each line: its marginal probability of being good."""
+    """(doc_id, line, chars, good) of each line of each row: its marginal probability of being good. As ``score`` for odd rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, budget=1 << 20):
