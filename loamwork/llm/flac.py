@@ -1,10 +1,12 @@
 """FLAC media columns: a vectorised encoder for bytes as 8-bit samples, and a decoder with checks.
 
-The decoder reads any FLAC stream of 4 to 16 bits, one or two channels: constant, verbatim, fixed
+The encoder chooses by frame among two fixed predictors and a linear one, whose coefficients follow
+from the frame's autocorrelation. Both sides work on some thousand frames at a time, however long a
+stream is. The decoder reads any FLAC stream of 4 to 16 bits, one or two channels: constant, verbatim, fixed
 and LPC subframes, Rice and escaped partitions, wasted bits and stereo decorrelation. It verifies
 the CRC-8 of frame headers, the CRC-16 of frames and the MD5 of the samples, and returns PCM with
-the sample offset of each block. Mono frames with fixed predictors, which the encoder writes, are
-decoded side by side: one step takes the next Rice code of every frame.
+the sample offset of each block. 8-bit mono frames, which the encoder writes, are decoded side by
+side: one step takes the next Rice code, and one the next sample, of every frame.
 """
 
 from __future__ import annotations
@@ -15,14 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import map_arrow, text_slices
 
 FRAME = 576
+#: Frames that are encoded or decoded together.
+GROUP = 2048
+#: Order of the linear predictor and bits of its coefficients.
+ORDER, PRECISION = 4, 12
 #: Samples of a PCM block at least; blocks begin at frames.
 BLOCK = 64 * FRAME
+_SPAN = 1 << 20
 _RATES = (None, 88200, 176400, 192000, 8000, 16000, 22050, 24000, 32000, 44100, 48000, 96000)
 _SIZES = (None, 8, 12, None, 16, 20, 24, 32)
 
@@ -76,77 +83,104 @@ def _number(n: int) -> bytes:
     return bytes([(0xFF << (7 - extra)) & 0xFF | n, *reversed(tail)])
 
 
-def encode_bytes(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload, a positive multiple of 576 bytes, as unsigned 8-bit samples."""
-    frames = [len(p) // FRAME for p in payloads]
-    samples = (np.frombuffer(b"".join(payloads), np.uint8) ^ 0x80).view(np.int8).reshape(-1, FRAME).astype(np.int32)
+def predictors(samples: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, shift) of each row's linear predictor, by Levinson's recursion, as whole numbers."""
+    x = samples.astype(np.float32)
+    r = np.stack([np.einsum("ij,ij->i", x[:, lag:], x[:, : x.shape[1] - lag]) for lag in range(order + 1)], axis=1).astype(float)
+    a, left = np.zeros((len(x), order)), r[:, 0] + 1e-3
+    for i in range(order):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / left
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1]
+        a[:, i] = k
+        left = np.maximum(left * (1 - k * k), 1e-3)
+    most = np.maximum(np.abs(a).max(axis=1), 1e-9)
+    shift = np.clip(np.floor(np.log2(((1 << PRECISION - 1) - 1) / most)), 0, 15).astype(np.int64)
+    limit = 1 << PRECISION - 1
+    return np.clip(np.rint(a * (1 << shift)[:, None]), -limit, limit - 1).astype(np.int64), shift
+
+
+def _encode_frames(samples: np.ndarray, numbers: list[int]) -> tuple[bytes, np.ndarray]:
+    """(bytes, bytes of each frame) of rows of signed 8-bit samples."""
     total = len(samples)
-    residual, order, bits, k = samples, np.zeros(total, np.int64), None, None
+    coefficients, shift = predictors(samples)
+    guess = sum(coefficients[:, i : i + 1].astype(np.int32) * samples[:, ORDER - 1 - i : FRAME - 1 - i] for i in range(ORDER)) >> shift[:, None].astype(np.int32)
+    # each way of prediction: samples that are stored as they are, residuals, bits of its parameters
+    ways = ((0, samples, 0), (1, np.diff(samples, axis=1), 0), (ORDER, samples[:, ORDER:] - guess, 9 + ORDER * PRECISION))
     best = None
-    for o in range(3):
-        r = samples if not o else np.diff(samples, n=o, axis=1)
+    for way, (order, r, extra) in enumerate(ways):
         folded = np.where(r >= 0, 2 * r, -2 * r - 1)
         low, at = None, None
         for kk in range(0, 9):
-            cost = (folded >> kk).sum(axis=1) + r.shape[1] * (kk + 1) + 8 * o
+            cost = (folded >> kk).sum(axis=1) + r.shape[1] * (kk + 1) + 8 * order + extra
             if low is None:
                 low, at = cost, np.zeros(total, np.int64)
             else:
                 at[cost < low] = kk
                 low = np.minimum(cost, low)
         if best is None:
-            best, k, codes = low, at, [folded]
+            best, k, chosen, codes = low, at, np.zeros(total, np.int64), [folded]
         else:
             better = low < best
-            order[better], k[better], best = o, at[better], np.minimum(best, low)
+            chosen[better], k[better], best = way, at[better], np.minimum(best, low)
             codes.append(folded)
-    del residual, bits
     constant = (samples == samples[:, :1]).all(axis=1)
+    order = np.array([w[0] for w in ways])[chosen]
 
-    heads, number = [], 0
-    for n in frames:
-        for i in range(n):
-            head = b"\xff\xf8\x20\x02" + _HEADS[i] if i < len(_HEADS) else b"\xff\xf8\x20\x02" + _number(i)
-            heads.append(head)
-            number += 1
+    heads = [b"\xff\xf8\x20\x02" + (_HEADS[i] if i < len(_HEADS) else _number(i)) for i in numbers]
     head_size = np.fromiter(map(len, heads), np.int64, total) + 1
-    # bytes of a frame: header, subframe byte, warm-up, 10 bits and the codes, CRC-16
-    code_bits = best - 8 * order
-    frame_size = head_size + 1 + np.where(constant, 1, order + (10 + code_bits + 7) // 8) + 2
+    # bytes of a frame: header, subframe byte, warm-up, parameters, 10 bits and the codes, CRC-16
+    frame_size = head_size + 1 + np.where(constant, 1, order + (10 + best - 8 * order + 7) // 8) + 2
     start = np.cumsum(frame_size) - frame_size
     size = int(frame_size.sum())
     words = np.zeros(size // 8 + 2, np.uint64)
     body = (start + head_size + 1 + order) * 8
-    for o, folded in enumerate(codes):
-        rows = np.flatnonzero((order == o) & ~constant)
+    for way, folded in enumerate(codes):
+        rows = np.flatnonzero((chosen == way) & ~constant)
         if not len(rows):
             continue
         kk = k[rows][:, None]
         f = folded[rows].astype(np.int64)
-        width = (f >> kk) + 1 + kk
-        ends = body[rows][:, None] + 10 + np.cumsum(width, axis=1)
-        value = (np.int64(1) << kk) | (f & ((np.int64(1) << kk) - 1))
-        _put(words, np.concatenate((body[rows][:, None] + 10, ends), axis=1).ravel(), np.concatenate((kk, value), axis=1).ravel())
+        width = [np.full((len(rows), 1), 10, np.int64), (f >> kk) + 1 + kk]
+        value = [kk, (np.int64(1) << kk) | (f & ((np.int64(1) << kk) - 1))]
+        if ways[way][2]:
+            width = [np.tile(np.array([4, 5, *[PRECISION] * ORDER]), (len(rows), 1)), *width]
+            value = [np.full((len(rows), 1), PRECISION - 1), shift[rows][:, None], coefficients[rows] & (1 << PRECISION) - 1, *value]
+        _put(words, (body[rows][:, None] + np.cumsum(np.concatenate(width, axis=1), axis=1)).ravel(), np.concatenate(value, axis=1).ravel())
     data = words.astype(">u8").view(np.uint8)[:size].copy()
     for i, head in enumerate(heads):
         at = int(start[i])
         data[at : at + len(head)] = np.frombuffer(head, np.uint8)
-    longest = int(head_size.max()) - 1
     crc = np.zeros(total, np.uint16)
-    for j in range(longest):
+    for j in range(int(head_size.max()) - 1):
         inside = j < head_size - 1
         crc[inside] = _CRC8[crc[inside] ^ data[start[inside] + j]]
     data[start + head_size - 1] = crc
-    data[start + head_size] = np.where(constant, 0, (8 + order) << 1)
+    data[start + head_size] = np.where(constant, 0, np.array([8, 9, 31 + ORDER])[chosen] << 1)
     unsigned = (samples & 0xFF).astype(np.uint8)
     data[(start + head_size + 1)[constant]] = unsigned[constant, 0]
-    for j in range(2):
+    for j in range(ORDER):
         rows = np.flatnonzero((order > j) & ~constant)
         data[start[rows] + head_size[rows] + 1 + j] = unsigned[rows, j]
     end = start + frame_size
     check = crc16_of(data, start, end - 2)
     data[end - 2], data[end - 1] = check >> 8, check & 0xFF
+    return data.tobytes(), frame_size
 
+
+def encode_bytes(payloads: list[bytes]) -> list[bytes]:
+    """A FLAC stream for each payload, a positive multiple of 576 bytes, as unsigned 8-bit samples."""
+    frames = [len(p) // FRAME for p in payloads]
+    whole = np.frombuffer(b"".join(payloads), np.uint8)
+    numbers = [i for n in frames for i in range(n)]
+    parts, sizes = [], []
+    for at in range(0, len(numbers), GROUP):
+        samples = (whole[at * FRAME : (at + GROUP) * FRAME] ^ 0x80).view(np.int8).reshape(-1, FRAME).astype(np.int32)
+        data, size = _encode_frames(samples, numbers[at : at + GROUP])
+        parts.append(data)
+        sizes.append(size)
+    coded, frame_size = b"".join(parts), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    end = np.cumsum(frame_size)
+    start = end - frame_size
     out, at = [], 0
     for payload, n in zip(payloads, frames, strict=True):
         mine = slice(at, at + n)
@@ -160,7 +194,7 @@ def encode_bytes(payloads: list[bytes]) -> list[bytes]:
         table = seek.tobytes() if seek.nbytes < 1 << 24 else b""
         meta = b"fLaC" + (b"\x00" if table else b"\x80") + len(info).to_bytes(3, "big") + info
         meta += b"\x83" + len(table).to_bytes(3, "big") + table if table else b""
-        out.append(meta + data[begin:stop].tobytes())
+        out.append(meta + coded[begin:stop])
         at += n
     return out
 
@@ -301,15 +335,22 @@ def _subframe(bits: _Bits, size: int, depth: int) -> list[int]:
     return [x << wasted for x in out] if wasted else out
 
 
+def _narrow(samples: list) -> np.ndarray:
+    try:
+        return np.array(samples, np.int32)
+    except OverflowError:
+        raise FlacError("samples beyond 32 bits") from None
+
+
 def _frame(data: bytes, head, depth: int) -> np.ndarray:
     """Samples (size, channels) of one frame, by the general path."""
     length, size, _, code, own, _ = head
     depth = own or depth
     bits = _Bits(data[:-2], length)
     if code < 8:
-        return np.array([_subframe(bits, size, depth) for _ in range(code + 1)], np.int64).T
-    first = np.array(_subframe(bits, size, depth + (code == 9)), np.int64)
-    second = np.array(_subframe(bits, size, depth + (code != 9)), np.int64)
+        return _narrow([_subframe(bits, size, depth) for _ in range(code + 1)]).T
+    first = _narrow(_subframe(bits, size, depth + (code == 9)))
+    second = _narrow(_subframe(bits, size, depth + (code != 9)))
     if code == 8:
         return np.stack((first, first - second), axis=1)
     if code == 9:
@@ -370,7 +411,7 @@ def _chain(data: bytes, found: list[int], at: int) -> np.ndarray:
 
 
 def decode_streams(streams: list[bytes | None]) -> list[dict | str | None]:
-    """For each stream its info with ``pcm`` (int64, samples by channels) and ``offsets``, the first
+    """For each stream its info with ``pcm`` (int32, samples by channels) and ``offsets``, the first
     sample of each frame; a message where the stream is malformed; None for None."""
     parsed: list = []
     for data in streams:
@@ -388,7 +429,8 @@ def decode_streams(streams: list[bytes | None]) -> list[dict | str | None]:
         end.append(parsed[i]["ends"] + base[g])
     begin, end = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (begin, end))
     size_ok = end - begin > 8
-    check = crc16_of(joined, begin, np.where(size_ok, end - 2, begin))
+    tails = np.where(size_ok, end - 2, begin)
+    check = np.concatenate([crc16_of(joined, begin[a : a + GROUP], tails[a : a + GROUP]) for a in range(0, len(begin), GROUP)]) if len(begin) else np.zeros(0, np.uint16)
     sound = size_ok & (check == (joined[np.maximum(end - 2, 0)].astype(np.uint16) << 8 | joined[np.maximum(end - 1, 0)]))
     heads = [None] * len(begin)
     for f in range(len(begin)):
@@ -400,19 +442,20 @@ def decode_streams(streams: list[bytes | None]) -> list[dict | str | None]:
         if head is None:
             frames[f] = FlacError("frame checksum")
             continue
-        kind = joined[begin[f] + head[0]]
+        kind = int(joined[begin[f] + head[0]])
         depth = head[4] or parsed[where[f]]["depth"]
-        if head[3] == 0 and depth == 8 and kind & 1 == 0 and 8 <= kind >> 1 <= 12 and head[1] > 4 and head[1] <= 4608:
+        if head[3] == 0 and depth == 8 and kind & 1 == 0 and (8 <= kind >> 1 <= 12 or 32 <= kind >> 1 <= 43) and 12 < head[1] <= 4608:
             fast.setdefault(head[1], []).append(f)
             continue
         try:
             frames[f] = _frame(joined[begin[f] : end[f]].tobytes(), head, parsed[where[f]]["depth"])
         except FlacError as error:
             frames[f] = error
-    for size, chosen in fast.items():
+    for size, chosen in ((size, found[at : at + GROUP]) for size, found in fast.items() for at in range(0, len(found), GROUP)):
         at = np.array(chosen)
         lengths = np.array([heads[f][0] for f in chosen])
-        samples, bad = _side_by_side(joined, begin[at] + lengths, end[at] - 2, size)
+        low, high = int(begin[at].min()), int(end[at].max())
+        samples, bad = _side_by_side(joined[low : high + 8], begin[at] + lengths - low, end[at] - 2 - low, size)
         for n, f in enumerate(chosen):
             if bad[n]:
                 try:
@@ -435,7 +478,7 @@ def _finish(info: dict, frames: list) -> dict | str:
             return str(x)
     if any(x.shape[1] != info["channels"] for x in frames):
         return "channels differ from STREAMINFO"
-    pcm = np.concatenate(frames) if frames else np.zeros((0, info["channels"]), np.int64)
+    pcm = np.concatenate(frames) if frames else np.zeros((0, info["channels"]), np.int32)
     if info["samples"] and len(pcm) != info["samples"]:
         return "samples differ from STREAMINFO"
     kind = np.int8 if info["depth"] <= 8 else "<i2" if info["depth"] <= 16 else None
@@ -447,7 +490,7 @@ def _finish(info: dict, frames: list) -> dict | str:
 
 
 def _side_by_side(data: np.ndarray, at: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Samples (frame, size) of 8-bit mono frames with fixed predictors, whose subframes begin at ``at``.
+    """Samples (frame, size) of 8-bit mono frames with fixed or linear predictors, whose subframes begin at ``at``.
 
     Each step reads one Rice code of all frames. Frames that it can't follow (escapes, codes of over
     24 bits of zeros, five-bit parameters, an end too early) are marked bad for the general path.
@@ -458,7 +501,10 @@ def _side_by_side(data: np.ndarray, at: np.ndarray, end: np.ndarray, size: int)
     packed |= wide[1:-2].astype(np.uint32) << 16
     packed |= wide[2:-1].astype(np.uint32) << 8
     packed |= wide[3:]
-    order = (data[at] >> 1).astype(np.int64) - 8
+    kind = (data[at] >> 1).astype(np.int64)
+    linear = kind >= 32
+    order = np.where(linear, kind - 31, kind - 8)
+    top = int(order.max())
     bit = (at + 1 + order) * 8
     limit = end * 8
 
@@ -468,7 +514,14 @@ def _side_by_side(data: np.ndarray, at: np.ndarray, end: np.ndarray, size: int)
     def field(p: np.ndarray, width: int) -> np.ndarray:
         return (peek(p) >> np.uint32(32 - width)).astype(np.int64)
 
-    bad = field(bit, 2) != 0
+    precision, shift = field(bit, 4) + 1, field(bit + 4, 5)
+    bad = linear & ((precision == 16) | (shift > 15))
+    weights = np.zeros((top, n), np.int64)
+    for j in range(top if linear.any() else 0):
+        raw = (peek(bit + 9 + j * precision) >> (32 - precision).astype(np.uint32)).astype(np.int64)
+        weights[j] = np.where(linear & (j < order), raw - ((raw >> (precision - 1)) << precision), 0)
+    bit = np.where(linear, bit + 9 + order * precision, bit)
+    bad |= field(bit, 2) != 0
     parts = field(bit + 2, 4)
     bit = bit + 6
     bad |= (size % (1 << parts) != 0) | (size >> parts < np.maximum(order, 1))
@@ -495,7 +548,7 @@ def _side_by_side(data: np.ndarray, at: np.ndarray, end: np.ndarray, size: int)
         low = (peek(rest) >> np.uint32(1)).astype(np.int64) >> (31 - k)
         code = zeros << k | low
         value = code >> 1 ^ -(code & 1)
-        if step < 4:
+        if step < top:
             out[step] = np.where(on, value, 0)
             bit = np.where(on, rest + k, bit)
         else:
@@ -505,10 +558,18 @@ def _side_by_side(data: np.ndarray, at: np.ndarray, end: np.ndarray, size: int)
             bad |= bit > limit
             bit = np.minimum(bit, limit)
     bad |= bit > limit
-    samples = out.T.astype(np.int64)
-    warm = np.stack([data[np.minimum(at + 1 + j, len(data) - 1)].view(np.int8).astype(np.int64) for j in range(4)], axis=1)
+    warm = np.stack([data[np.minimum(at + 1 + j, len(data) - 1)].view(np.int8).astype(np.int32) for j in range(max(top, 1))], axis=1)
+    for o in np.unique(order[linear]).tolist():
+        rows = np.flatnonzero(linear & (order == o))
+        run, own, by = out[:, rows].astype(np.int64), weights[:o, rows], shift[rows]
+        run[:o] = warm[rows, :o].T
+        for step in range(o, size):
+            # latest sample first, as the weights are
+            run[step] += (own * run[step - o : step][::-1]).sum(axis=0) >> by
+        out[:, rows] = run
+    samples = out.T.copy()
     for o in range(1, 5):
-        rows = np.flatnonzero(order == o)
+        rows = np.flatnonzero(~linear & (order == o))
         if not len(rows):
             continue
         tower = [warm[rows, :o]]
@@ -516,7 +577,7 @@ def _side_by_side(data: np.ndarray, at: np.ndarray, end: np.ndarray, size: int)
             tower.append(np.diff(tower[-1], axis=1))
         run = samples[rows, o:]
         for level in range(o - 1, -1, -1):
-            run = np.cumsum(run, axis=1) + tower[level][:, -1:]
+            run = np.cumsum(run, axis=1, dtype=np.int32) + tower[level][:, -1:]
         samples[rows, o:] = run
         samples[rows, :o] = warm[rows, :o]
     return samples, bad
@@ -529,7 +590,12 @@ def padded(text: str | None) -> bytes:
 
 
 def encode_column(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): the padded text of each row as a FLAC stream of 8-bit samples."""
+    """(doc_id, n_bytes, media): the padded text of each row as a FLAC stream of 8-bit samples.
+
+    Null text is empty; repeated rows have equal streams, null ids stay, other columns are ignored,
+    whatever their names, and an empty table stays empty. Long texts are coded some thousand frames
+    at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, budget=2 << 20):
@@ -550,9 +616,11 @@ def decode_column(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ``pcm`` is unsigned for 8 bits and signed little-endian for 16, interleaved; ``seek`` gives each
     block's sample and byte offsets in it. ``energy`` is the sum of squared samples, ``crossings``
     counts changes of sign in the first channel. A malformed stream, or one whose checksums fail,
-    has an ``error`` and null samples; null media has nulls throughout.
+    has an ``error`` and null samples; null media has nulls throughout. Repeated rows are decoded
+    each; an empty table stays empty; of ``keep`` the columns with a name made here are replaced.
     """
-    fields = [f for f in df.schema.fields if f.name in keep and f.name != "media"]
+    made = {"media", "sample_rate", "channels", "sample_bits", "n_samples", "pcm", "seek", "crossings", "energy", "error"}
+    fields = [f for f in df.schema.fields if f.name in keep and f.name.lower() not in made]
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -569,7 +637,7 @@ def decode_column(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     schema += f"media binary, sample_rate long, channels int, sample_bits int, n_samples long, pcm binary, seek {INDEX}, crossings long, energy long, error string"
-    return map_arrow(df.select(*names, "media"), run, schema)
+    return map_arrow(df.select(*(F.col(f"`{n}`") for n in names), "media"), run, schema)
 
 
 def _row(got: dict | str | None) -> dict:
@@ -586,11 +654,29 @@ def _row(got: dict | str | None) -> dict:
     sign = pcm[:, 0] < 0
     return {
         "sample_rate": got["rate"], "channels": got["channels"], "sample_bits": got["depth"], "n_samples": len(pcm), "pcm": data, "seek": seek,
-        "crossings": int((sign[1:] != sign[:-1]).sum()), "energy": int((pcm * pcm).sum()), "error": None,
+        "crossings": int((sign[1:] != sign[:-1]).sum()), "energy": sum(int(np.square(pcm[a : a + _SPAN], dtype=np.int64).sum()) for a in range(0, len(pcm), _SPAN)), "error": None,
     }
 
 
 def pcm_blocks(decoded: DataFrame) -> DataFrame:
-    """A row for each PCM block: doc_id, sample_offset, samples, pcm; seek by sample_offset."""
+    """A row for each PCM block: doc_id, sample_offset, samples, pcm; seek by sample_offset.
+
+    Streams without samples have no blocks; those of repeated rows repeat; null ids stay.
+    """
     rows = decoded.where("pcm IS NOT NULL").select("doc_id", "pcm", F.explode("seek").alias("s"))
     return rows.select("doc_id", "s.sample_offset", "s.samples", F.expr("substring(pcm, CAST(s.byte_offset + 1 AS INT), CAST(s.bytes AS INT))").alias("pcm"))
+
+
+def write_pcm(decoded: DataFrame, path: str) -> None:
+    """Writes the blocks in order of doc_id and offset, so that a reader skips to those it wants."""
+    pcm_blocks(decoded).sortWithinPartitions("doc_id", "sample_offset").write.parquet(path)
+
+
+def read_samples(spark: SparkSession, path: str, doc_id: int, start: int, stop: int) -> DataFrame:
+    """(sample_offset, samples, pcm) of the written blocks that hold samples ``start`` to ``stop`` of a document.
+
+    The filters reach the scan, so other blocks' samples aren't read.
+    """
+    blocks = spark.read.schema("doc_id long, sample_offset long, samples long, pcm binary").parquet(path)
+    inside = (F.col("doc_id") == doc_id) & (F.col("sample_offset") < stop) & (F.col("sample_offset") + F.col("samples") > start)
+    return blocks.where(inside).select("sample_offset", "samples", "pcm")
