@@ -126,21 +126,28 @@ def linked_components(rows: DataFrame, values: list[str], near, block: int = BLO
         drop_stage(cut)
         return first
     first = stage(first, "first")
-    both = _probes(crowded, first, values, n)
+    known = _open_rows(crowded, first)
+    both = _probes(known, values, n)
     more = stage(map_arrow(both, _by_group(("key", "b", "p"), _probe_links(near)), "u long, v long").distinct(), "more")
     drop_stage(cut)
+    drop_stage(known)
     out = connected_components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     drop_stage(more)
     return out
 
 
-def _probes(cut: DataFrame, components: DataFrame, values: list[str], n: int) -> DataFrame:
-    """Rows of buckets of several components, dealt so that those outside a bucket's largest component
-    (``probe`` 1, component ``c``) meet all its rows: tasks of a block (``b``) and a block of probes (``p``)."""
+def _open_rows(cut: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of buckets of several components, with their component ``c``, the bucket's largest, ``top``, and
+    ``probe_parts``, the blocks of rows outside that."""
     known = cut.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     largest = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
     open_keys = largest.where("most < all").withColumn("probe_parts", F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK)).cast("int")).select("key", "top", "probe_parts")
-    known = stage(known.join(open_keys, "key"), "open")
+    return stage(known.join(open_keys, "key"), "open")
+
+
+def _probes(known: DataFrame, values: list[str], n: int) -> DataFrame:
+    """``_open_rows`` dealt so that those outside a bucket's largest component (``probe`` 1) meet all its rows:
+    tasks of a block (``b``) and a block of probes (``p``)."""
     columns = ["key", "id", "c", *values]
     targets = known.select(*columns, "b", F.explode(F.sequence(F.lit(0), F.col("probe_parts") - 1)).alias("p"), F.lit(0).alias("probe"))
     probes = known.where("c <> top").withColumn("p", F.pmod(F.xxhash64("id"), F.col("probe_parts")).cast("int"))
@@ -155,7 +162,7 @@ def _by_group(keys: tuple[str, ...], links_of):
         held: dict[str, np.ndarray] | None = None
         for batch in chain(batches, (None,)):
             if batch is not None:
-                rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+                rows = {c: _plain(batch.column(c)) for c in batch.schema.names}
                 held = rows if held is None else {c: np.concatenate((held[c], rows[c])) for c in rows}
             if held is None or not len(held["id"]):
                 continue
@@ -174,6 +181,13 @@ def _by_group(keys: tuple[str, ...], links_of):
     return run
 
 
+def _plain(column: pa.Array) -> np.ndarray:
+    """The column as numbers; lists, which are of one length, as rows of numbers."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy().reshape(len(column), -1)
+    return column.to_numpy()
+
+
 def _block_links(near):
     """Links of each group: all in small groups, a spanning forest in larger ones."""
 
@@ -287,17 +301,28 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _near_stage(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Similarity 0.8 leaves a ninth of both sizes to differ, and parities differ in no more bits."""
+    """Similarity 0.8 leaves a ninth of both sizes to differ, and parities differ in no more bits. The first
+    shared shingle in the common order leaves no more to share than what comes from it on; so under a
+    later one a pair may be passed over, under the first one it never is."""
     one, other = rows["size"][i], rows["size"][j]
-    near = 9 * np.abs(one - other) <= one + other
+    near = 9 * np.minimum(one - rows["place"][i], other - rows["place"][j]) >= 4 * (one + other)
     i, j = i[near], j[near]
     differ = sum(np.bitwise_count((rows[f"w{x}"][i] ^ rows[f"w{x}"][j]).view(np.uint64)).astype(np.int64) for x in range(LANES))
     near[near] = 9 * differ <= (one + other)[near]
     return near
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) of node ids whose shingle sets have similarity 0.8 or more."""
+def _near_wide(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``_near_stage``, and the same bound on the wide parities."""
+    near = _near_stage(rows, i, j)
+    i, j = i[near], j[near]
+    differ = np.bitwise_count((rows["w"][i] ^ rows["w"][j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    near[near] = 9 * differ <= rows["size"][i] + rows["size"][j]
+    return near
+
+
+def _sets(ids: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, n, s, w): the shingle sets and wide parities of some nodes, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -305,41 +330,55 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
             wide = [parity(s, WIDE).view(np.int64) for s in sets]
             yield pa.record_batch([part.column("id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["id", "s", "w"])
 
-    pairs = stage(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     # a text for each node; of repeated rows one
     wanted = nodes.join(ids, "id", "left_semi").select("id", "row_key")
     texts = docs.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"])
-    sets = stage(map_arrow(texts.select("id", "text"), run, "id long, s array<long>, w array<long>").select("id", F.size("s").alias("n"), "s", "w"), "sets")
+    return stage(map_arrow(texts.select("id", "text"), run, "id long, s array<long>, w array<long>").select("id", F.size("s").alias("n"), "s", "w"), "sets")
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    return stage(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+
+
+def _parities_agree(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose wide parities differ in no more bits than the similarity allows."""
     differ = F.aggregate(F.zip_with("wu", "wv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
-    near = pairs
     for name in ("u", "v"):
-        near = near.join(sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("w").alias(f"w{name}")), name)
-    near = stage(near.where(9 * differ <= F.col("nu") + F.col("nv")).select("u", "v").distinct(), "near")
-    drop_stage(pairs)
+        pairs = pairs.join(sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("w").alias(f"w{name}")), name)
+    return stage(pairs.where(9 * differ <= F.col("nu") + F.col("nv")).select("u", "v"), "near")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of node ids whose shingle sets have similarity 0.8 or more."""
     one, other = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
     shared = F.size(F.array_intersect("su", "sv"))
-    out = stage(near.join(one, "u").join(other, "v").where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v").distinct(), "links")
-    drop_stage(near)
-    drop_stage(sets)
-    return out
+    return stage(pairs.join(one, "u").join(other, "v").where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v"), "links")
 
 
-def _stage_components(rows: DataFrame, values: list[str], confirmed) -> DataFrame:
-    """(node, component) of the pairs of rows (key, id, parts, *values) of equal key that ``confirmed`` keeps.
+def _stage_components(rows: DataFrame, values: list[str], docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of the pairs of rows (key, id, n, parts, *values) of equal key with similarity 0.8 or more.
 
     All possible links of small buckets come first, and a spanning forest of those of each block of
     larger ones, so that a large group isn't confirmed pair by pair. Then, in the larger ones, every
-    possible pair between different components is.
+    possible pair between different components is; there the wide parities go with the rows.
     """
     n = partitions(rows.sparkSession)
     cut = rows.withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
     dealt = cut.select("key", "b", "id", *values).repartition(n, "key", "b").sortWithinPartitions("key", "b")
-    first = confirmed(map_arrow(dealt, _by_group(("key", "b"), _block_links(_near_stage)), "u long, v long"))
+    pairs = _distinct_pairs(map_arrow(dealt, _by_group(("key", "b"), _block_links(_near_stage)), "u long, v long"))
+    sets = _sets(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), docs, nodes)
+    near = _parities_agree(pairs, sets)
+    first = _confirmed(near, sets)
     roots = stage(connected_components(first), "roots")
-    drop_stage(first)
-    both = _probes(cut.where(F.col("n") > SMALL).drop("n"), roots, values, n)
-    more = confirmed(map_arrow(both, _by_group(("key", "b", "p"), _probe_links(_near_stage, every=True)), "u long, v long"))
+    for table in (pairs, sets, near, first):
+        drop_stage(table)
+    known = _open_rows(cut.where(F.col("n") > SMALL).drop("n"), roots)
+    sets = _sets(known.select("id").distinct(), docs, nodes)
+    both = _probes(known.join(sets.select("id", "w"), "id"), [*values, "w"], n)
+    pairs = _distinct_pairs(map_arrow(both, _by_group(("key", "b", "p"), _probe_links(_near_wide, every=True)), "u long, v long"))
+    more = _confirmed(pairs, sets)
+    for table in (known, sets, pairs):
+        drop_stage(table)
     return connected_components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
@@ -379,11 +418,11 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = prints.groupBy("exact").agg(first.alias("head")).select("exact", "head", F.col("head.row_key").alias("row_key"), F.col("head.number").alias("id"))
     nodes = stage(nodes, "nodes")
     heads = prints.withColumnRenamed("number", "id").join(nodes.select("id"), "id", "left_semi")
-    keys = heads.select(F.explode("keys").alias("key"), "id")
+    keys = heads.select(F.posexplode("keys").alias("place", "key"), "id")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keys.join(sizes, "key").select("key", "id", "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
+    met = keys.join(sizes, "key").select("key", "id", F.col("place").cast("long").alias("place"), "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
     rows = stage(met.join(heads.select("id", *values), "id"), "buckets")
-    found = _stage_components(rows, values, lambda pairs: _confirmed(pairs, docs, nodes.select("id", "row_key")))
+    found = _stage_components(rows, ["place", *values], docs, nodes.select("id", "row_key"))
     drop_stage(rows)
     roots = stage(nodes.join(found, nodes["id"] == found["node"], "left").select("exact", "head", F.coalesce("component", "id").alias("root")), "roots")
     members = prints.select("row_key", "doc_id", "exact").join(roots.select("exact", "root"), "exact").drop("exact")
