@@ -26,11 +26,28 @@ def _valid(text: Column) -> Column:
     return F.when(F.startswith(bare, F.lit("{")) & F.try_parse_json(bare).isNotNull(), bare)
 
 
+def _fenced(text: Column) -> Column:
+    """What stands between the first two code fences, without the fence's language."""
+    parts = F.split(text, "```", -1)
+    return F.when(F.size(parts) > 2, F.regexp_replace(F.get(parts, F.lit(1)), r"\A(?:json)?", ""))
+
+
 def extract_json(text: Column) -> Column:
     """The JSON object of a reply: the whole reply, a fenced block, or the first to the last brace; else null."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
-    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(_valid(text), _valid(fenced), _valid(braces))
+    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+    braces = F.when((first > 0) & F.contains(text, F.lit("}")) & (last > first), F.substring(text, first, last - first + 1))
+    return F.coalesce(_valid(text), _valid(_fenced(text)), _valid(braces))
+
+
+def require_json(text: Column) -> Column:
+    """(json, error): the object of a reply, or why there is none; ``fail_on_error`` raises it."""
+    found = extract_json(text)
+    return F.struct(found.alias("json"), F.when(found.isNull(), F.concat(F.lit("no JSON object in: "), F.substring(F.coalesce(text, F.lit("")), 1, 200))).alias("error"))
+
+
+def fail_on_error(json: Column) -> Column:
+    """The object of ``require_json``; a row without one ends the query."""
+    return F.when(json["error"].isNotNull(), F.raise_error(json["error"])).otherwise(json["json"])
 
 
 def grade_of(reply: Column) -> Column:
@@ -42,7 +59,13 @@ def grade_of(reply: Column) -> Column:
     named = F.coalesce(*(F.when(F.contains(F.lower(reply), F.lit(g)), F.lit(g)) for g in GRADES), F.lit("medium"))
     density = F.when(F.coalesce(data["density"], F.lit("medium")).isin(*GRADES), F.coalesce(data["density"], F.lit("medium"))).otherwise(F.lit("medium"))
     parsed = _valid(bare).isNotNull()
-    return F.struct(F.when(parsed, density).otherwise(named).alias("density"), F.when(parsed, F.coalesce(data["reason"], F.lit(""))).otherwise(F.lit("")).alias("reason"), parsed.alias("parsed"))
+    unread = F.concat(F.lit("unparsed: "), F.substring(F.coalesce(reply, F.lit("")), 1, 100))
+    return F.struct(F.when(parsed, density).otherwise(named).alias("density"), F.when(parsed, F.coalesce(data["reason"], F.lit(""))).otherwise(unread).alias("reason"), parsed.alias("parsed"))
+
+
+def to_json_text(*fields: Column) -> Column:
+    """The fields as one JSON object, characters unescaped, nulls kept."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
 def standard_input(text: Column) -> Column:

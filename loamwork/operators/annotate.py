@@ -98,3 +98,24 @@ def top_up_long(sample: DataFrame, rows: DataFrame, size: str, key: str, chars:
     rest = rows.where(F.col(size) > chars).join(sample.select(key), key, "left_anti")
     more = rest.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(least - have)
     return sample.unionByName(more, allowMissingColumns=True)
+
+
+def distributions(rows: DataFrame, *columns: str) -> DataFrame:
+    """(kind, value, n): counts by each of the columns, in one pass by grouping sets."""
+    counts = rows.select(*columns).groupingSets([[c] for c in columns], *columns).agg(F.count(F.lit(1)).alias("n"), *(F.grouping(c).alias(f"_in_{c}") for c in columns))
+    kind = F.coalesce(*(F.when(F.col(f"_in_{c}") == 0, F.lit(c)) for c in columns))
+    value = F.coalesce(*(F.when(F.col(f"_in_{c}") == 0, F.col(c).cast("string")) for c in columns))
+    return counts.select(kind.alias("kind"), value.alias("value"), "n")
+
+
+def most_common(rows: DataFrame, column: str, order: str, k: int | None = None) -> DataFrame:
+    """(value, n, first): values by count, those of equal count by where they come first in ``order``."""
+    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    ranked = counts.orderBy(F.col("n").desc(), "first")
+    return ranked if k is None else ranked.limit(k)
+
+
+def first_of_each(rows: DataFrame, by: str, order: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows of each value of ``by``; tasks keep only those before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return rows.withColumn("place", place).where(F.col("place") <= n)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.plans import rules
+from loamwork.storage import stage
 from loamwork.workers import ship
 
-#: Rows of a block; every pair of blocks of a group is compared in a task of its own.
-BLOCK = 512
+#: Rows of the sample that shows which character pairs are common, and how many of those are sent to the tasks.
+SAMPLE, COMMON = 4096, 1 << 14
 
 
 def pair_codes(text: str | None) -> np.ndarray:
@@ -25,48 +31,81 @@ def _plain(columns: dict) -> pd.DataFrame:
     return pd.DataFrame({k: v if isinstance(v, np.ndarray) and v.dtype.kind in "iuf" else pd.Series(list(v), dtype=object) for k, v in columns.items()})
 
 
-def similar_pairs(rows: DataFrame, group: str, key: str, text: str, numerator: int = 4, denominator: int = 5) -> DataFrame:
-    """(group, a, b, n_a, n_b, shared) with a < b: pairs of a group with Jaccard above numerator / denominator.
+def common_codes(texts: DataFrame) -> dict[int, int]:
+    """How often each of the most common character pairs occurs in a sample of the texts (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found.update(pair_codes(text).tolist())
+        if found:
+            yield pa.record_batch([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["code", "n"])
+
+    share = max(1, -(-texts.count() // SAMPLE))
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    counts = sample.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return {r["code"]: r["n"] for r in counts.orderBy(F.col("n").desc(), "code").limit(COMMON).collect()}
 
-    A group is cut in blocks by a hash of the key; a task holds two blocks and multiplies their
-    membership matrices, and counts are compared as integers, so the bound is exact. Two empty sets
-    have similarity 1.
+
+def rare_first(codes: np.ndarray, common: dict[int, int], numerator: int, denominator: int) -> np.ndarray:
+    """The prefix of a set, rare pairs first, that meets the prefix of each set with similarity above the bound.
+
+    Sets with a similarity of t or more share t of the elements of either, so the first n - t n + 1 of
+    both in one order have an element in common. What is common only decides how many meet in vain.
+    """
+    n = len(codes)
+    order = sorted(codes.tolist(), key=lambda c: (common.get(c, 0), c))
+    return np.array(order[: n - -(-numerator * n // denominator) + 1], np.int64)
+
+
+def similar_classes(rows: DataFrame, group: str, key: str, text: str, numerator: int = 4, denominator: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): (group, key, head) of each row and (group, a, b, n_a, n_b, shared), a < b, of heads
+    with Jaccard above numerator / denominator.
+
+    Rows of a group with equal sets are a class, whose head is its smallest key, so copies are compared
+    once. Heads meet under an element of their prefixes if their sizes and the places of the element
+    allow it, and the sets themselves decide, in whole numbers. Two empty sets are equal.
     """
     ship(rows.sparkSession)
-    n = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    cut = rows.select(group, F.col(key).alias("key"), F.col(text).alias("text")).join(n, group)
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.col(group).alias("grp"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "text")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", ignore_index=True)
-        sets = [pair_codes(t) for t in pdf["text"]]
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        left, right = np.flatnonzero(pdf["block"] == p), np.flatnonzero(pdf["block"] == q)
-        names, inverse = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        shared = np.zeros((len(left), len(right)), np.int64)
-        for begin in range(0, len(names), 8192):
-            inside = (inverse >= begin) & (inverse < begin + 8192)
-            matrix = np.zeros((len(sets), min(8192, len(names) - begin)), np.float32)
-            matrix[owner[inside], inverse[inside] - begin] = 1
-            shared += (matrix[left] @ matrix[right].T).astype(np.int64)
-        union = sizes[left][:, None] + sizes[right][None, :] - shared
-        close = (denominator * shared > numerator * union) | ((union == 0) & (numerator < denominator))
-        close &= left[:, None] < right[None, :] if p == q else True
-        i, j = np.nonzero(close)
-        a, b = left[i], right[j]
-        swap = a > b
-        shared_of = shared[i, j]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        keys = pdf["key"].to_numpy()
-        return _plain({"grp": [pdf["grp"].iloc[0]] * len(a), "a": keys[a], "b": keys[b], "n_a": sizes[a], "n_b": sizes[b], "shared": shared_of})
+    texts = rows.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    common = rows.sparkSession.sparkContext.broadcast(common_codes(texts.select("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [pair_codes(t) for t in batch.column("text").to_pylist()]
+            kind = pa.list_(pa.int64())
+            columns = [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            columns += [pa.array(sets, kind), pa.array([rare_first(s, common.value, numerator, denominator) for s in sets], kind)]
+            yield pa.record_batch([batch.column("grp"), batch.column("key"), *columns], names=["grp", "key", "digest", "n", "codes", "prefix"])
 
     kinds = dict(rows.dtypes)
-    out = dealt.groupBy("grp", "p", "q").applyInPandas(compare, f"grp {kinds[group]}, a {kinds[key]}, b {kinds[key]}, n_a long, n_b long, shared long")
-    return out.withColumnRenamed("grp", group)
+    sets = stage(texts.mapInArrow(run, f"grp {kinds[group]}, key {kinds[key]}, digest binary, n long, codes array<long>, prefix array<long>"), "sets")
+    heads = sets.groupBy(F.col("grp").alias("of"), F.col("digest").alias("same")).agg(F.min("key").alias("head"))
+    members = sets.select("grp", "digest", "key").join(heads, F.col("grp").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same"))).select(F.col("grp").alias(group), "key", "head")
+    chosen = sets.join(heads.select(F.col("of").alias("grp"), F.col("head").alias("key")), ["grp", "key"], "left_semi").dropDuplicates(["grp", "key"])
+    chosen = stage(chosen.drop("digest"), "heads")
+    index = chosen.select("grp", "key", "n", F.posexplode("prefix").alias("place", "code"))
+    left = index.select("grp", "code", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p"))
+    right = index.select("grp", "code", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("q"))
+    met = left.join(right, ["grp", "code"]).where("a < b").where(denominator * F.least("n_a", "n_b") > numerator * F.greatest("n_a", "n_b"))
+    # the first common element leaves no more than this to be shared
+    most = F.least(F.col("n_a") - F.col("p"), F.col("n_b") - F.col("q"))
+    above = lambda shared: denominator * shared > numerator * (F.col("n_a") + F.col("n_b") - shared)
+    met = met.where(above(most)).select("grp", "a", "b", "n_a", "n_b").distinct()
+    of = lambda name: chosen.select("grp", F.col("key").alias(name), F.col("codes").alias(f"s_{name}"))
+    shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
+    pairs = met.join(of("a"), ["grp", "a"]).join(of("b"), ["grp", "b"]).withColumn("shared", shared).where(above(F.col("shared")))
+    return members, pairs.select(F.col("grp").alias(group), "a", "b", "n_a", "n_b", "shared")
+
+
+def all_pairs(members: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
+    """(group, a, b), a < b, of all rows, copies included; for the greedy removal, which looks at each pair."""
+    heads = pairs.select(group, "a", "b").unionByName(members.select(group, F.col("head").alias("a"), F.col("head").alias("b")).distinct())
+    one = members.select(group, F.col("head").alias("a"), F.col("key").alias("x"))
+    two = members.select(group, F.col("head").alias("b"), F.col("key").alias("y"))
+    every = heads.join(one, [group, "a"]).join(two, [group, "b"]).where("x <> y")
+    return every.select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def greedy_losers(pairs: DataFrame, ranks: DataFrame, group: str) -> DataFrame:
@@ -105,11 +144,15 @@ def greedy_losers(pairs: DataFrame, ranks: DataFrame, group: str) -> DataFrame:
 
 def deduplicate(fragments: DataFrame, group: str = "chapter_id", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """High and medium fragments without near duplicates within a chapter; others pass. Needs ``id`` and ``seq``."""
-    used = fragments.where(F.coalesce(F.col("density"), F.lit("")).isin("high", "medium"))
-    rest = fragments.where(~F.coalesce(F.col("density"), F.lit("")).isin("high", "medium"))
+    used, rest = by_density(fragments)
     used = used.withColumn(group, F.coalesce(F.col(group), F.lit("unmapped")))
-    pairs = similar_pairs(used, group, "id", "content", *threshold)
+    pairs = all_pairs(*similar_classes(used, group, "id", "content", *threshold), group)
     ranks = used.select(group, F.col("id").alias("key"), F.coalesce("quality_rating", F.lit(rules.UNKNOWN_QUALITY)).alias("quality"), F.coalesce("source_doc", F.lit(999)).alias("doc"), "seq")
     losers = greedy_losers(pairs, ranks, group).select(F.col("loser").alias("id"))
     return used.join(losers, "id", "left_anti").unionByName(rest)
 
+
+def by_density(fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """High and medium fragments, which are kept, and the others."""
+    high = F.coalesce(F.col("density"), F.lit("")).isin("high", "medium")
+    return fragments.where(high), fragments.where(~high)

@@ -116,15 +116,60 @@ def coverage(results: DataFrame) -> DataFrame:
     )
 
 
-def coverage_by(results: DataFrame, column: str) -> DataFrame:
-    return results.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+def coverage_by(results: DataFrame, *columns: str) -> DataFrame:
+    """Sections by chapter, match type, or what else."""
+    return results.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def split_documents(docs: DataFrame) -> DataFrame:
-    """Sections ready for annotation: administrative ones dropped, chapters mapped and inherited."""
+def title_lists(results: DataFrame) -> DataFrame:
+    """(chapter_id, doc_id, pos, title) of the unmapped and the excluded titles."""
+    return results.where(F.col("chapter_id").isin(UNMAPPED, EXCLUDED)).select("chapter_id", "doc_id", "pos", "title")
+
+
+def mapped_rate(results: DataFrame) -> DataFrame:
+    """(doc_id, sections, mapped, rate): the share of a document's sections that have a chapter."""
+    mapped = F.count_if(F.col("chapter_id") != UNMAPPED)
+    return results.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), mapped.alias("mapped"), (mapped / F.count(F.lit(1))).alias("rate"))
+
+
+def two_tiers(chapters=rules.CHAPTERS) -> tuple:
+    """The chapters with their exact words and variants alone, as the splitter knows them."""
+    return tuple((c[0], c[1], c[2], c[3], (), ()) for c in chapters)
+
+
+def map_title_detailed(title: Column, chapters=rules.CHAPTERS) -> Column:
+    """(chapter_id, chapter_name, confidence, match_type, keyword) by exact words, then variants; no exclusions."""
+    return map_title(title, two_tiers(chapters), (), rules.SPLITTER_PREFIXES)
+
+
+def is_ambiguous(title: Column, mapping: Column, words=rules.BROAD_WORDS, most: int = 4) -> Column:
+    """A title that is no more than a broad word, and was mapped by a keyword."""
+    bare = T.clean_title(title, rules.SPLITTER_PREFIXES)
+    return (mapping["keyword"] != "") & (F.length(bare) <= most) & bare.isin(*words)
+
+
+def analyze_coverage(sections: DataFrame, mapping: Column | None = None, administrative: Column | None = None, k: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals, keywords, ambiguous) of sections (doc_id, pos, title, body) by the two-tier rules.
+
+    Totals: one row of administrative, sections, exact, variant and unmapped. Keywords: the ``k`` that
+    map most titles, with the tier. Ambiguous: titles that are only a broad word.
+    """
+    mapping = map_title_detailed(F.col("title")) if mapping is None else mapping
+    administrative = T.is_administrative(F.col("title"), F.col("body"), short_body=False) if administrative is None else administrative
+    rows = sections.select("doc_id", "pos", "title", mapping.alias("m"), administrative.alias("a"))
+    used, kind = rows.where("NOT a"), F.col("m.match_type")
+    counted = lambda t: F.count_if(~F.col("a") & (kind == t)).alias(t)
+    totals = rows.agg(F.count_if("a").alias("administrative"), F.count_if(~F.col("a")).alias("sections"), counted("exact"), counted("variant"), counted(UNMAPPED))
+    hits = used.where("m.keyword <> ''").groupBy(F.col("m.keyword").alias("keyword"), kind.alias("match_type")).agg(F.count(F.lit(1)).alias("n"))
+    unsure = used.where(is_ambiguous(F.col("title"), F.col("m"))).select("doc_id", "pos", "title", "m.chapter_id", "m.keyword")
+    return totals, hits.orderBy(F.col("n").desc(), "keyword", "match_type").limit(k), unsure
+
+
+def split_documents(docs: DataFrame, chapters=rules.CHAPTERS) -> DataFrame:
+    """Sections ready for annotation: administrative ones dropped, chapters mapped by the two-tier rules and inherited."""
     found = split_sections(docs).where(~T.is_administrative(F.col("title"), F.col("body")))
-    found = found.withColumn("_m", map_title(F.col("title"), exclusions=())).withColumn("chapter_id", F.col("_m.chapter_id"))
-    names = F.create_map(*(F.lit(x) for c in rules.CHAPTERS for x in (c[0], c[1])))
+    found = found.withColumn("_m", map_title_detailed(F.col("title"), chapters)).withColumn("chapter_id", F.col("_m.chapter_id"))
+    names = F.create_map(*(F.lit(x) for c in chapters for x in (c[0], c[1])))
     out = inherit_chapters(found.drop("_m"))
     return out.select(
         "doc_id", "pos", "title", "level", "body", F.col("effective_chapter").alias("chapter_id"), F.coalesce(F.try_element_at(names, F.col("effective_chapter")), F.lit("")).alias("chapter"),
@@ -132,17 +177,59 @@ def split_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def mapped_and_not(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections with a chapter, and the others, which are logged."""
+    return sections.where(F.col("chapter_id") != UNMAPPED), sections.where(F.col("chapter_id") == UNMAPPED)
+
+
+def chapter_headers(docs: DataFrame, skip=rules.NO_CHAPTER_WORDS, numbering=rules.CHAPTER_NUMBERING) -> DataFrame:
+    """(doc_id, pos, level, title, name): headers of level 1 to 3 that may be chapters, their numbering taken off."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).withColumn("raw", T.strip(F.col("raw")))
+    pattern = r"(?Ud)\A(#{1,3})\s+(.+)\z"
+    heads = lines.where(F.col("raw").rlike(pattern)).select("doc_id", "pos", F.length(F.regexp_extract("raw", pattern, 1)).alias("level"), T.strip(F.regexp_extract("raw", pattern, 2)).alias("title"))
+    heads = heads.where(T.hits(F.lower("title"), skip) == 0)
+    return heads.withColumn("name", T.clean_title(F.col("title"), numbering)).where("name <> ''")
+
+
+def corpus_summary(titles: DataFrame) -> DataFrame:
+    """One row: documents with headers, headers, level-1 headers, the deepest level, and means a document."""
+    per = structure_summary(titles)
+    return per.agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("headers").alias("headers"), F.sum("chapters").alias("chapters"), F.max("max_level").alias("max_level"),
+        F.avg("headers").alias("mean_headers"), F.avg("chapters").alias("mean_chapters"),
+    )
+
+
 def structure_summary(titles: DataFrame) -> DataFrame:
     """By document: number of headers, of level-1 headers, and the deepest level."""
     return titles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("headers"), F.count_if(F.col("level") == 1).alias("chapters"), F.max("level").alias("max_level"))
 
 
-def chapter_frequency(titles: DataFrame, mandatory: int = 12, common: int = 6) -> DataFrame:
-    """Level-1 names by frequency with their variants and a band."""
-    tops = titles.where("level = 1").withColumn("name", T.normalize_chapter_name(F.col("title")))
+def chapter_frequency(titles: DataFrame, mandatory: int = 12, common: int = 6, name: Column | None = None) -> DataFrame:
+    """(name, n, variants, documents, share, band): level-1 names by frequency; ``share`` of the documents with headers."""
+    tops = titles.withColumn("name", T.normalize_chapter_name(F.col("title")) if name is None else name)
+    total = titles.agg(F.count_distinct("doc_id").alias("total"))
     n = F.count(F.lit(1))
-    out = tops.groupBy("name").agg(n.alias("n"), F.count_distinct("title").alias("variants"), F.count_distinct("doc_id").alias("documents"))
-    return out.withColumn("band", F.when(F.col("n") >= mandatory, "mandatory").when(F.col("n") >= common, "common").otherwise("optional"))
+    out = tops.where("level = 1").groupBy("name").agg(n.alias("n"), F.count_distinct("title").alias("variants"), F.count_distinct("doc_id").alias("documents"))
+    out = out.withColumn("band", F.when(F.col("n") >= mandatory, "mandatory").when(F.col("n") >= common, "common").otherwise("optional"))
+    return out.crossJoin(total).withColumn("share", F.col("documents") / F.col("total")).drop("total")
+
+
+def second_level(titles: DataFrame, name: Column | None = None) -> DataFrame:
+    """(chapter, name, n): level-2 names by the level-1 name before them."""
+    named = titles.withColumn("name", T.normalize_chapter_name(F.col("title")) if name is None else name)
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    under = named.withColumn("chapter", F.last(F.when(F.col("level") == 1, F.col("name")), ignorenulls=True).over(upto))
+    return under.where("level = 2 AND chapter IS NOT NULL").groupBy("chapter", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def opening_chapters(titles: DataFrame, places: int = 3, k: int = 5, name: Column | None = None) -> DataFrame:
+    """(place, name, n): the ``k`` most common names of the first, second and third chapter of documents."""
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    named = titles.where("level = 1").withColumn("name", T.normalize_chapter_name(F.col("title")) if name is None else name)
+    counts = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= places).groupBy("place", "name").agg(F.count(F.lit(1)).alias("n"))
+    best = F.row_number().over(Window.partitionBy("place").orderBy(F.col("n").desc(), "name"))
+    return counts.withColumn("rank", best).where(F.col("rank") <= k).drop("rank")
 
 
 def enclosing_chapter(titles: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.functions import jsonio
 from loamwork.functions import text as T
 from loamwork.operators import annotate, chunk, dedup, entities, evaluate, graph, index, sections, tables
-from loamwork.plans import rules
+from loamwork.plans import flows, rules
+from loamwork.storage import stage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,13 +75,15 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.length("plain").alias("n_chars"), F.md5("plain").alias("digest"))
 
 
-_TABLE_HTML = ("<table><tr><th>a</th><th>b<br/>c</th></tr><tr><td>1</td><td><b>2</b></td></tr><tr><td>3</td></tr></table>", "no table", "<TABLE border=1></TABLE>")
-
-
-@query("""SELECT * FROM (VALUES (0, '| a | b c |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | 2 |' || chr(10) || '| 3 |  |'), (1, 'no table'), (2, '')) t(id, markdown)""")
+@query(r"""WITH lines AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+cells AS (SELECT doc_id, i, trim(regexp_replace(translate(line, '<>|', '   '), '\s+', ' ', 'g')) AS cell FROM lines)
+SELECT doc_id, md5('Before' || chr(10) || '| no | line text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || i || ' | ' || cell || ' |', chr(10) ORDER BY i) || chr(10) || 'After') AS digest FROM cells GROUP BY doc_id""")
 def html_table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_TABLE_HTML)), "id int, html string")
-    return rows.select("id", T.clean_html(F.col("html")).alias("markdown"))
+    """The lines of each document as an HTML table, and that as Markdown."""
+    lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.concat(F.lit("<tr><td>"), i.cast("string"), F.lit("</td><td class=x><b>"), F.translate(line, "<>|", "   "), F.lit("</b></td></tr>\n")))
+    html = F.concat(F.lit("<div>Before</div>\n<TABLE border=1><tr><th>no</th><th>line<br/>text</th></tr>"), F.array_join(lines, ""), F.lit("</TABLE>\n<span>After</span>"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", html.alias("html"))
+    return docs.select("doc_id", F.md5(T.clean_html(F.col("html"))).alias("digest"))
 
 
 @query(r"""WITH lines AS (
@@ -96,13 +101,15 @@ def table_separator_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.fix_table_separators(F.col("text"))).alias("digest"))
 
 
-_LATEX = ("angle $45^{\\circ}$ and $^\\circ$", "$\\geqslant$ $ \\leq 0.5 $ $\\times$", "$x^2$ stays, $\\alpha + 1$ too", "$\\ge 40%$ then $\\rightarrow$")
+_SYMBOLS = tuple(rules.LATEX_SYMBOLS.items())
 
 
-@query("""SELECT * FROM (VALUES (0, 'angle 45° and °'), (1, '≥ ≤0.5 ×'), (2, '$x^2$ stays, $\\alpha + 1$ too'), (3, '≥40% then →')) t(id, plain)""".replace("\\\\", "\\"))
+@query(f"""SELECT doc_id, md5(translate(text, '$', ' ') || ' ' || {[x for _, x in _SYMBOLS]}[doc_id % {len(_SYMBOLS)} + 1] || ' 45° ≥' || doc_id || '.5% $x^2$') AS digest FROM documents""")
 def latex_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_LATEX)), "id int, text string")
-    return rows.select("id", T.latex_to_unicode(F.col("text")).alias("plain"))
+    """Each document with one of the symbols, an angle, a comparison and a formula that stays."""
+    command = F.element_at(F.array(*(F.lit(c) for c, _ in _SYMBOLS)), (F.col("doc_id") % len(_SYMBOLS) + 1).cast("int"))
+    text = F.concat(F.translate("text", "$", " "), F.lit(" $ "), command, F.lit("$ $45^{\\circ}$ $\\ge "), F.col("doc_id").cast("string"), F.lit(".5%$ $x^2$"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.latex_to_unicode(text)).alias("digest"))
 
 
 @query(r"""SELECT conv_id, turn, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS digest FROM conversations WHERE role = 'assistant'""")
@@ -137,7 +144,7 @@ def _markdown(docs: DataFrame) -> DataFrame:
     words = F.array(*(F.lit(w) for w in _WORDS))
 
     def line(text: Column, i: Column) -> Column:
-        plain = F.translate(F.trim(F.substring(text, 1, 40)), "#|", "")
+        plain = F.translate(F.trim(text), "#|", "")
         title = F.concat(F.repeat(F.lit("#"), (i / 3).cast("int") % 3 + 1), F.lit(" "), F.element_at(words, ((i / 3).cast("int") * 7 % 5 + 1).cast("int")), F.lit(" x"), plain)
         return F.when(i % 3 == 0, title).otherwise(F.translate(text, "#", ""))
 
@@ -146,7 +153,7 @@ def _markdown(docs: DataFrame) -> DataFrame:
 
 _SQL_SECTIONS = r"""
 lines AS (SELECT doc_id, CAST(unnest(range(len(p))) AS BIGINT) AS i, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
-heads AS (SELECT doc_id, i // 3 AS pos, (i // 3) % 3 + 1 AS level, trim(['overview', 'methods', 'quality', 'safety', 'notes'][(i // 3) * 7 % 5 + 1] || ' x' || translate(trim(substring(line, 1, 40)), '#|', '')) AS title FROM lines WHERE i % 3 = 0),
+heads AS (SELECT doc_id, i // 3 AS pos, (i // 3) % 3 + 1 AS level, trim(['overview', 'methods', 'quality', 'safety', 'notes'][(i // 3) * 7 % 5 + 1] || ' x' || translate(trim(line), '#|', '')) AS title FROM lines WHERE i % 3 = 0),
 bodies AS (SELECT doc_id, i // 3 AS pos, trim(string_agg(replace(line, '#', ''), chr(10) ORDER BY i), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM lines WHERE i % 3 > 0 GROUP BY doc_id, i // 3),
 sections AS (SELECT h.doc_id, CAST(h.pos AS INT) AS pos, h.title, CAST(h.level AS INT) AS level, coalesce(b.body, '') AS body FROM heads h LEFT JOIN bodies b ON b.doc_id = h.doc_id AND b.pos = h.pos)"""
 _SQL_MAPPED = _SQL_SECTIONS + """,
@@ -225,13 +232,10 @@ def corpus_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SQL_SECTIONS}, named AS (SELECT doc_id, title, split_part(title, ' ', 1) AS name FROM sections WHERE level = 1)
-SELECT name, count(*) AS n, count(DISTINCT title) AS variants, count(DISTINCT doc_id) AS documents, CASE WHEN count(*) >= 12 THEN 'mandatory' WHEN count(*) >= 6 THEN 'common' ELSE 'optional' END AS band FROM named GROUP BY name""")
+SELECT name, count(*) AS n, count(DISTINCT title) AS variants, count(DISTINCT doc_id) AS documents, round(count(DISTINCT doc_id) / (SELECT count(DISTINCT doc_id) FROM sections), 6) AS share, CASE WHEN count(*) >= 12 THEN 'mandatory' WHEN count(*) >= 6 THEN 'common' ELSE 'optional' END AS band FROM named GROUP BY name""")
 def chapter_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tops = _sections(spark, sf_dir)
-    first = tops.where("level = 1").withColumn("name", F.substring_index("title", " ", 1))
-    n = F.count(F.lit(1))
-    out = first.groupBy("name").agg(n.alias("n"), F.count_distinct("title").alias("variants"), F.count_distinct("doc_id").alias("documents"))
-    return out.withColumn("band", F.when(F.col("n") >= 12, "mandatory").when(F.col("n") >= 6, "common").otherwise("optional"))
+    first = F.substring_index("title", " ", 1)
+    return sections.chapter_frequency(_sections(spark, sf_dir), name=first).withColumn("share", F.round("share", 6))
 
 
 @query(f"""WITH {_SQL_SECTIONS}, p AS (SELECT doc_id, pos, level, title, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS parent FROM sections)
@@ -248,14 +252,31 @@ def second_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ADMIN_WORDS, _COVER_WORDS = ("the", "and", "que"), ("de", "en", "thth", "ion")
 
 
-@query("""SELECT doc_id, (CAST(contains(substring(text, 1, 200), 'the') AS INT) + CAST(contains(substring(text, 1, 200), 'and') AS INT) + CAST(contains(substring(text, 1, 200), 'que') AS INT) >= 2)
+_SQL_ADMIN = """bodies AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN '2024.1.' || doc_id % 28 + 1 || ' x' || chr(10) || '审定：张三' ELSE text END AS text FROM documents),
+admin AS (SELECT doc_id, (CAST(contains(substring(text, 1, 200), 'the') AS INT) + CAST(contains(substring(text, 1, 200), 'and') AS INT) + CAST(contains(substring(text, 1, 200), 'que') AS INT) >= 2)
   OR (CAST(contains(substring(text, 1, 300), 'de') AS INT) + CAST(contains(substring(text, 1, 300), 'en') AS INT) + CAST(contains(substring(text, 1, 300), 'thth') AS INT) + CAST(contains(substring(text, 1, 300), 'ion') AS INT) >= 3)
-  OR contains(source, 'src1') AS administrative FROM documents""")
-def admin_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = T.is_administrative(F.col("source"), F.col("text"), titles=("src1",), keywords=_ADMIN_WORDS, covers=_COVER_WORDS)
+  OR contains(source, 'src1') AS words FROM bodies)"""
+
+
+def _administrative(spark: SparkSession, sf_dir: str, short_body: bool) -> DataFrame:
+    """Documents of which every seventh is a short signature block."""
+    signed = F.concat(F.lit("2024.1."), (F.col("doc_id") % 28 + 1).cast("string"), F.lit(" x\n审定：张三"))
+    body = F.when(F.col("doc_id") % 7 == 0, signed).otherwise(F.col("text"))
+    flag = T.is_administrative(F.col("source"), body, short_body, titles=("src1",), keywords=_ADMIN_WORDS, covers=_COVER_WORDS)
     return table(spark, sf_dir, "documents").select("doc_id", flag.alias("administrative"))
 
 
+@query(f"WITH {_SQL_ADMIN} SELECT doc_id, words OR doc_id % 7 = 0 AS administrative FROM admin")
+def admin_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _administrative(spark, sf_dir, True)
+
+
+@query(f"WITH {_SQL_ADMIN} SELECT doc_id, words AS administrative FROM admin")
+def admin_filter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the clause for short signed bodies."""
+    return _administrative(spark, sf_dir, False)
+
+
 # ---- annotation
 
 _TAGS = ("the", "and", "that", "tion", "ing", "que", "der", "ou", "es", "en")
@@ -287,10 +308,7 @@ def fragment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'lang' AS kind, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source""")
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several distributions in one pass by grouping sets."""
-    docs = table(spark, sf_dir, "documents").select("lang", "source")
-    n = docs.groupingSets([["lang"], ["source"]], "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.grouping("lang").alias("g"))
-    return n.select(F.when(F.col("g") == 0, "lang").otherwise("source").alias("kind"), F.when(F.col("g") == 0, F.col("lang")).otherwise(F.col("source")).alias("value"), "n")
+    return annotate.distributions(table(spark, sf_dir, "documents"), "lang", "source")
 
 
 _SQL_GRADE = "CASE WHEN doc_id % 4 = 0 THEN 'high' WHEN doc_id % 4 = 1 THEN 'medium' WHEN doc_id % 4 = 2 THEN 'medium' WHEN doc_id % 8 = 3 THEN 'low' ELSE 'medium' END"
@@ -339,17 +357,35 @@ _SQL_PAIRS = _SQL_BIGRAMS + """, n AS (SELECT doc_id, source, s, len(s) AS n FRO
 pairs AS (SELECT source, a, b, n_a, n_b, shared FROM p WHERE 5 * shared > 4 * (n_a + n_b - shared))"""
 
 
-@query(f"WITH {_SQL_PAIRS} SELECT source, a, b, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, CAST(shared AS BIGINT) AS shared FROM pairs")
+_SQL_CLASSES = _SQL_PAIRS + """, heads AS (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY source, list_sort(s)) AS head FROM b)"""
+
+
+@query(f"WITH {_SQL_CLASSES} SELECT p.source, a, b, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, CAST(shared AS BIGINT) AS shared FROM pairs p JOIN heads x ON x.doc_id = a AND x.head = a JOIN heads y ON y.doc_id = b AND y.head = b")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.similar_pairs(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+    """Pairs of the first documents of classes with equal sets."""
+    return dedup.similar_classes(table(spark, sf_dir, "documents"), "source", "doc_id", "text")[1]
+
+
+@query(f"WITH {_SQL_CLASSES} SELECT source, doc_id AS key, head FROM heads")
+def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.similar_classes(table(spark, sf_dir, "documents"), "source", "doc_id", "text")[0]
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SQL_PAIRS}, q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+ranked AS (SELECT p.source, a, b, CASE WHEN coalesce(x.quality, 2) > coalesce(y.quality, 2) OR coalesce(x.quality, 2) = coalesce(y.quality, 2) THEN b ELSE a END AS loser FROM pairs p LEFT JOIN q x ON x.doc_id = a LEFT JOIN q y ON y.doc_id = b),
+listed AS (SELECT source, list(a ORDER BY a, b) AS la, list(b ORDER BY a, b) AS lb, list(loser ORDER BY a, b) AS ll FROM ranked GROUP BY source),
+walk AS (
+  SELECT source, la, lb, ll, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS turn, false AS skipped, CAST([] AS BIGINT[]) AS gone FROM listed
+  UNION ALL
+  SELECT source, la, lb, ll, i + 1, la[i + 1], skip, CASE WHEN skip OR list_contains(gone, lb[i + 1]) THEN gone ELSE list_append(gone, ll[i + 1]) END
+  FROM (SELECT *, CASE WHEN la[i + 1] <> turn THEN list_contains(gone, la[i + 1]) ELSE skipped END AS skip FROM walk WHERE i < len(la))),
+losers AS (SELECT unnest(gone) AS doc_id FROM walk WHERE i = len(la))
+SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM losers)""")
 def near_dup_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that greedy removal within a source keeps, better quality first; tests hold a plain model of it."""
+    """Documents that greedy removal within a source keeps, better quality first."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    pairs = dedup.similar_pairs(docs, "source", "doc_id", "text").select("source", "a", "b")
+    pairs = dedup.all_pairs(*dedup.similar_classes(docs, "source", "doc_id", "text"), "source")
     ranks = docs.join(labels, "doc_id", "left").select("source", F.col("doc_id").alias("key"), F.coalesce("quality", F.lit(2)).alias("quality"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("seq"))
     losers = dedup.greedy_losers(pairs, ranks, "source")
     return docs.select("doc_id", "source").join(losers.select(F.col("loser").alias("doc_id")), "doc_id", "left_anti")
@@ -357,16 +393,33 @@ def near_dup_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- tables and names
 
-_HAZARD_MD = (
-    "## 2. 变电土建\n\n| 序号 | 作业活动 | 危险因素 | 可能事故 | 等级 | 控制措施 |\n|---|---|---|---|---|---|\n| 1 | 基坑开挖 | 边坡失稳 | 坍塌 | 高 | 放坡支护 |\n| 2 | 模板安装 |  | 坠落 | 中 | 系安全带 |\n"
-    "text\n| lone | row |\n\n## 5. 特殊作业\n\n### 5.1 有限空间\n\n| 序号 | 危险因素 | 可能事故 | 等级 | 控制措施 |\n| :-- | --- | --- | --- | --- |\n| 1 | 缺氧 | 中毒 | 高 | 先通风后检测 |\n\n## 6. 统计\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"
-)
+def _sheet(head: str, columns: str, *cells: str) -> Column:
+    """A section with a table of one row; the cells are columns of the part table."""
+    count = columns.count("|") - 1
+    row = [x for c in cells for x in (F.col(c).cast("string"), F.lit(" | "))]
+    return F.concat(F.lit(f"{head}\n\n{columns}\n|{'---|' * count}\n| 1 | "), *row, F.lit("\n"))
+
 
+def _hazard_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document a part: tables of six columns, of five under the part's name, and of none that count."""
+    six = _sheet("## 2. civil", "| 序号 | 作业活动 | 危险因素 | 可能事故 | 等级 | 控制措施 |", "p_name", "p_type", "p_brand", "p_partkey", "p_size")
+    five = F.concat(F.lit("## 5. special\n\n### 5.1 "), "p_name", _sheet("", "| 序号 | 危险因素 | 可能事故 | 等级 | 控制措施 |", "p_type", "p_brand", "p_partkey", "p_size"))
+    none = _sheet("## 6. counts", "| a | b | c | d | e | f |", "p_name", "p_type", "p_brand", "p_partkey", "p_size")
+    k = F.col("p_partkey") % 3
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.when(k == 0, six).when(k == 1, five).otherwise(none).alias("text"))
 
-@query("""SELECT * FROM (VALUES ('process', '基坑开挖', '变电土建'), ('hazard', '边坡失稳', '变电土建'), ('safety_measure', '放坡支护', '变电土建'), ('process', '有限空间', '特殊作业'), ('hazard', '缺氧', '特殊作业'), ('safety_measure', '先通风后检测', '特殊作业')) t(type, name, engineering_type)""")
+
+@query("""WITH p AS (SELECT *, CASE p_partkey % 3 WHEN 0 THEN '变电土建' ELSE '特殊作业' END AS e FROM part WHERE p_partkey % 3 < 2)
+SELECT p_partkey AS doc_id, 'process' AS type, p_name AS name, e AS engineering_type FROM p UNION ALL SELECT p_partkey, 'hazard', p_type, e FROM p UNION ALL SELECT p_partkey, 'safety_measure', CAST(p_size AS VARCHAR), e FROM p""")
 def hazard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([(1, _HAZARD_MD)], "doc_id int, text string")
-    return tables.hazard_facts(docs)[0].select("type", "name", "engineering_type")
+    return tables.hazard_facts(_hazard_docs(spark, sf_dir))[0].select("doc_id", "type", "name", "engineering_type")
+
+
+@query("""WITH p AS (SELECT * FROM part WHERE p_partkey % 3 < 2)
+SELECT p_partkey AS doc_id, p_name AS source, p_type AS target, 'produces_hazard' AS relation_type, p_name || ' → ' || p_type || ' → ' || p_brand AS evidence FROM p
+UNION ALL SELECT p_partkey, p_type, CAST(p_size AS VARCHAR), 'mitigated_by', p_type || '(' || p_brand || ') → ' || p_size FROM p""")
+def hazard_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.hazard_facts(_hazard_docs(spark, sf_dir))[1].select("doc_id", "source", "target", "relation_type", "evidence")
 
 
 @query(r"""WITH lines AS (SELECT doc_id, CAST(unnest(range(len(p))) AS INT) AS i, trim(unnest(p), ' ' || chr(9) || chr(13)) AS raw FROM (SELECT doc_id, string_split(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10)) AS p FROM documents)),
@@ -379,26 +432,25 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table_rows(docs).select("doc_id", "line", F.get("cells", F.lit(0)).alias("first_cell")).where("first_cell <> ''")
 
 
-_NAMES = (" 混凝土浇筑作业 ", "进行钢筋绑扎", "施工", "开展 高处 作业", "吊装的", "", "安全检查等", "实施工程")
-
-
-@query("""SELECT * FROM (VALUES (0, '混凝土浇筑'), (1, '钢筋绑扎'), (2, '施工'), (3, '高处'), (4, '吊装'), (5, ''), (6, '安全检查'), (7, '工程')) t(id, name)""")
+@query("""SELECT c_custkey, c_mktsegment || c_name || CASE c_custkey % 3 WHEN 1 THEN '工程施工' WHEN 2 THEN '料' ELSE '' END AS name FROM customer""")
 def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_NAMES)), "id int, name string").select("id", T.normalize_name(F.col("name")).alias("name"))
+    """Names with fillers at both ends and white space inside."""
+    k = F.col("c_custkey") % 3
+    name = F.concat(F.when(k == 0, F.lit(" 进行")).when(k == 1, F.lit("开展 ")).otherwise(F.lit("")), "c_mktsegment", F.lit(" \t"), "c_name", F.when(k == 0, F.lit("作业 ")).when(k == 1, F.lit("工程施工等")).otherwise(F.lit(" 料的")))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.normalize_name(name).alias("name"))
 
 
 # ---- entities and relations
 
 def _part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    name = F.substring_index("p_name", " ", 2)
     return parts.select(
-        F.col("p_partkey").alias("seq"), F.lit("equipment").alias("type"), F.col("p_brand").alias("engineering_type"), name.alias("name"), F.array("p_type").alias("aliases"),
+        F.col("p_partkey").alias("seq"), F.lit("equipment").alias("type"), F.col("p_brand").alias("engineering_type"), F.col("p_name").alias("name"), F.array("p_type").alias("aliases"),
         F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("attributes"), F.when(F.col("p_partkey") % 2 == 0, "rule").otherwise("llm").alias("source"), F.lit(0.8).alias("confidence"),
     )
 
 
-_SQL_ENTITIES = r"""e AS (SELECT p_partkey AS seq, p_brand AS engineering_type, regexp_replace(regexp_extract(p_name, '^[^ ]* ?[^ ]*'), '\s+', '', 'g') AS name, p_type AS alias, p_size, p_partkey % 2 AS source FROM part),
+_SQL_ENTITIES = r"""e AS (SELECT p_partkey AS seq, p_brand AS engineering_type, regexp_replace(p_name, '\s+', '', 'g') AS name, p_type AS alias, p_size, p_partkey % 2 AS source FROM part),
 merged AS (SELECT engineering_type, name, min(seq) AS seq, list_sort(list_distinct(list(alias) FILTER (alias <> name))) AS aliases, arg_min(p_size, seq) AS size, round(CASE WHEN count(DISTINCT source) > 1 THEN 0.9 ELSE 0.8 END, 6) AS confidence FROM e WHERE name <> '' GROUP BY engineering_type, name)"""
 
 
@@ -415,24 +467,41 @@ def entity_fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.fuzzy_pairs(names, ("brand",))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SQL_ENTITIES}, placed AS (SELECT *, row_number() OVER (PARTITION BY engineering_type ORDER BY seq) AS place FROM merged),
+near AS (SELECT x.engineering_type AS e, x.place, coalesce(list(y.place ORDER BY y.place) FILTER (y.place IS NOT NULL), []) AS qs, any_value(length(x.name)) AS size FROM placed x LEFT JOIN placed y ON y.engineering_type = x.engineering_type AND y.place > x.place AND y.name <> x.name AND levenshtein(x.name, y.name) <= 2 GROUP BY ALL),
+listed AS (SELECT e, list(qs ORDER BY place) AS adj, list(size ORDER BY place) AS sizes, count(*) AS n FROM near GROUP BY e),
+walk AS (
+  SELECT e, adj, sizes, n, CAST(1 AS BIGINT) AS turn, CAST(1 AS BIGINT) AS mark, CAST([] AS BIGINT[]) AS gone, CAST(NULL AS BIGINT) AS dropped, CAST(NULL AS BIGINT) AS keeper FROM listed
+  UNION ALL
+  SELECT e, adj, sizes, n, CASE WHEN met IS NOT NULL AND sizes[turn] <= sizes[met] THEN turn ELSE list_min(list_filter(range(turn + 1, n + 2), lambda x: NOT list_contains(gone, x))) END,
+    CASE WHEN met IS NOT NULL THEN met ELSE list_min(list_filter(range(turn + 1, n + 2), lambda x: NOT list_contains(gone, x))) END,
+    CASE WHEN met IS NULL THEN gone WHEN sizes[turn] <= sizes[met] THEN list_append(gone, met) ELSE list_append(gone, turn) END,
+    CASE WHEN met IS NULL THEN NULL WHEN sizes[turn] <= sizes[met] THEN met ELSE turn END, CASE WHEN met IS NULL THEN NULL WHEN sizes[turn] <= sizes[met] THEN turn ELSE met END
+  FROM (SELECT *, list_min(list_filter(adj[turn], lambda q: q > mark AND NOT list_contains(gone, q))) AS met FROM walk WHERE turn <= n)),
+moves AS (SELECT e, dropped, keeper FROM walk WHERE dropped IS NOT NULL),
+roots AS (SELECT e, dropped, keeper AS root FROM moves UNION ALL SELECT r.e, r.dropped, m.keeper FROM roots r JOIN moves m ON m.e = r.e AND m.dropped = r.root),
+final AS (SELECT e, dropped, root FROM roots r WHERE NOT EXISTS (SELECT 1 FROM moves m WHERE m.e = r.e AND m.dropped = r.root)),
+more AS (SELECT f.e, f.root, list(p.name) AS names, flatten(list(coalesce(p.aliases, []))) AS others, max(p.confidence) AS confidence FROM final f JOIN placed p ON p.engineering_type = f.e AND p.place = f.dropped GROUP BY f.e, f.root)
+SELECT 'equipment' AS type, p.engineering_type, p.name, p.seq, array_to_string(list_sort(list_distinct(list_concat(coalesce(p.aliases, []), coalesce(m.names, []), coalesce(m.others, [])))), ',') AS aliases,
+  CAST(least(1.0, greatest(p.confidence, coalesce(m.confidence, 0))) AS DOUBLE) AS confidence
+FROM placed p LEFT JOIN more m ON m.e = p.engineering_type AND m.root = p.place WHERE NOT EXISTS (SELECT 1 FROM moves v WHERE v.e = p.engineering_type AND v.dropped = p.place)""")
 def entity_fuzzy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy merging of names within two edits; tests hold a plain model of it."""
+    """Greedy merging of names within two edits."""
     merged, _ = entities.merge_fuzzy(entities.merge_exact(_part_entities(spark, sf_dir)))
-    return merged.select("type", "engineering_type", "name", "seq", F.array_join("aliases", ",").alias("aliases"), "confidence")
+    return merged.select("type", "engineering_type", "name", "seq", F.array_join("aliases", ",").alias("aliases"), F.round("confidence", 6).alias("confidence"))
 
 
 def _line_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     kinds = F.array(*(F.lit(k) for k in rules.RELATION_KEYWORDS))
     return lines.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.when(F.col("l_linenumber") == 7, "x").otherwise("s"), F.col("l_suppkey").cast("string")).alias("target"),
         F.element_at(kinds, (F.col("l_linenumber") % 4 + 1).cast("int")).alias("relation_type"), F.round(F.col("l_discount") + 0.5, 2).alias("confidence"),
         F.repeat(F.lit("x"), (F.col("l_quantity") % 7).cast("int")).alias("evidence"), F.col("l_shipmode" if "l_shipmode" in lines.columns else "l_returnflag").alias("source_doc"),
     )
 
 
-_SQL_RELATIONS = """rel AS (SELECT l_orderkey * 10 + l_linenumber AS seq, 'p' || l_partkey AS source, 's' || l_suppkey AS target, ['requires_equipment', 'produces_hazard', 'mitigated_by', 'requires_quality_check'][l_linenumber % 4 + 1] AS relation_type,
+_SQL_RELATIONS = """rel AS (SELECT l_orderkey * 10 + l_linenumber AS seq, 'p' || l_partkey AS source, CASE WHEN l_linenumber = 7 THEN 'x' ELSE 's' END || l_suppkey AS target, ['requires_equipment', 'produces_hazard', 'mitigated_by', 'requires_quality_check'][l_linenumber % 4 + 1] AS relation_type,
   round(l_discount + 0.5, 2) AS confidence, repeat('x', CAST(l_quantity AS INT) % 7) AS evidence, l_returnflag AS source_doc FROM lineitem),
 best AS (SELECT * FROM (SELECT *, min(seq) OVER (PARTITION BY source, target, relation_type) AS first_seq, row_number() OVER (PARTITION BY source, target, relation_type ORDER BY confidence DESC, length(evidence) DESC, seq) AS n FROM rel) WHERE n = 1)"""
 
@@ -457,16 +526,16 @@ def entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- graph
 
 def _graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts as processes and suppliers as the other ends; a supplier in seven is unknown, so its relations dangle."""
+    """Parts as processes and suppliers as the other ends; the seventh lines name ends that aren't there, so they dangle."""
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_partkey").alias("seq"))
-    sup = table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") + 10_000_000).alias("seq"))
+    sup = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") + 10_000_000).alias("seq"))
     rel = entities.dedup_relations(_line_relations(spark, sf_dir)).select(
         F.col("first_seq").alias("seq"), F.col("source").alias("src_id"), F.col("target").alias("tgt_id"), "relation_type", "evidence", "confidence", "source_doc"
     )
     return parts.unionByName(sup), rel
 
 
-_SQL_GRAPH = _SQL_RELATIONS + """, ent AS (SELECT 'p' || p_partkey AS id, 'part ' || p_partkey AS name FROM part UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 7 <> 0),
+_SQL_GRAPH = _SQL_RELATIONS + """, ent AS (SELECT 'p' || p_partkey AS id, 'part ' || p_partkey AS name FROM part UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier),
 edge AS (SELECT b.first_seq AS seq, x.name AS src, y.name AS tgt, CASE WHEN evidence <> '' THEN evidence ELSE x.name || ' → ' || relation_type || ' → ' || y.name END AS description,
   CASE relation_type WHEN 'requires_equipment' THEN '需要设备,工序设备' WHEN 'produces_hazard' THEN '产生危险源,工序危险' WHEN 'mitigated_by' THEN '安全措施,控制措施,风险缓解' ELSE '质量控制,质量要点,质量检查' END AS keywords, confidence AS weight
   FROM best b JOIN ent x ON x.id = b.source JOIN ent y ON y.id = b.target),
@@ -496,7 +565,7 @@ SELECT e.name, coalesce(string_agg(DISTINCT CASE WHEN bucket = 'equipment' THEN
 FROM (SELECT DISTINCT name FROM ent WHERE starts_with(name, 'part ')) e LEFT JOIN link l ON l.name = e.name AND bucket IS NOT NULL LEFT JOIN m ON m.src = l.tgt AND l.bucket = 'hazard' GROUP BY e.name""")
 def kg_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     ent, rel = _graph_tables(spark, sf_dir)
-    links = graph.undirected(graph.edges(rel, ent)[0])
+    links = stage(graph.undirected(graph.edges(rel, ent)[0]), "links")
     chains = graph.process_chain(links, ent.where(F.startswith("name", F.lit("part "))).select("name"))
     listed = lambda c: F.array_join(c, ",")
     return chains.select("name", listed("equipment").alias("equipment"), listed("hazards").alias("hazards"), listed("quality_points").alias("quality"), F.size("safety_measures").alias("hazards_with_measures"))
@@ -508,17 +577,19 @@ def kg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.stats(ent, graph.undirected(graph.edges(rel, ent)[0]))
 
 
-@query(f"WITH {_SQL_RELATIONS}, ent AS (SELECT 'p' || p_partkey AS id, 'part ' || p_partkey AS name FROM part UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 7 <> 0) SELECT relation_type, count(*) AS dangling FROM best b WHERE source NOT IN (SELECT id FROM ent) OR target NOT IN (SELECT id FROM ent) GROUP BY relation_type")
+@query(f"WITH {_SQL_RELATIONS}, ent AS (SELECT 'p' || p_partkey AS id, 'part ' || p_partkey AS name FROM part UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier) SELECT relation_type, count(*) AS dangling FROM best b WHERE source NOT IN (SELECT id FROM ent) OR target NOT IN (SELECT id FROM ent) GROUP BY relation_type")
 def kg_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     ent, rel = _graph_tables(spark, sf_dir)
     return graph.edges(rel, ent)[1].groupBy("relation_type").agg(F.count(F.lit(1)).alias("dangling"))
 
 
-@query("""SELECT conv_id, md5(string_agg(role || ' → ' || text, chr(10) ORDER BY turn)) AS digest, count(*) AS lines FROM conversations WHERE text <> '' GROUP BY conv_id""")
+@query("""SELECT 'c' || conv_id AS source_id, md5(string_agg(role || ' → c' || conv_id || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations WHERE text <> '' GROUP BY conv_id""")
 def evidence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("text <> ''")
-    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(" → "), "text").alias("line"))))
-    return turns.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("digest"), F.count(F.lit(1)).alias("lines"))
+    """Turns as relations of their roles, which are known, to conversations, which aren't."""
+    conversation = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("turn").alias("seq"), F.concat(F.lit("id-"), "role").alias("src_id"), conversation.alias("tgt_id"), F.col("text").alias("evidence"), conversation.alias("source_doc"))
+    roles = table(spark, sf_dir, "conversations").select(F.concat(F.lit("id-"), "role").alias("id"), F.col("role").alias("name")).distinct()
+    return graph.chunks(turns, roles).select("source_id", F.md5("content").alias("digest"))
 
 
 # ---- index and retrieval
@@ -533,7 +604,7 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query("""SELECT c.collection, count(d.doc_id) AS n FROM (VALUES ('ch01_basis'), ('ch06_methods'), ('ch07_quality'), ('ch08_safety'), ('ch09_emergency'), ('ch10_green'), ('equipment'), ('templates')) c(collection)
@@ -545,7 +616,7 @@ def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_BM25 = r"""docs AS (SELECT doc_id AS file_id, """ + _SQL_COLLECTION + r""" AS collection, source, '[工程类型: ' || source || '] ' || text AS body FROM documents),
 terms AS (SELECT file_id, collection, source, regexp_extract_all(lower(body), '[0-9a-zA-ZÀ-ÖØ-öø-ÿ]+') AS t FROM docs), cjk AS (SELECT file_id, collection, source, list_concat(t, ['工程', '程类', '类型']) AS t FROM terms),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n_docs, avg(len(t)) AS avg_dl FROM cjk),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(substring(text, 1, 60)), '[0-9a-zA-ZÀ-ÖØ-öø-ÿ]+')) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[0-9a-zA-ZÀ-ÖØ-öø-ÿ]+')) AS term FROM benchmark),
 post AS (SELECT file_id, collection, source, CAST(len(t) AS DOUBLE) AS dl, unnest(t) AS term FROM cjk),
 tf AS (SELECT term, file_id, collection, source, dl, CAST(count(*) AS DOUBLE) AS tf FROM post WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -570,20 +641,41 @@ def search_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(_indexed(spark, sf_dir), _asked(spark, sf_dir), k=2, by_collection=True).select("query_id", "collection", "file_id", "score")
 
 
-@query(f"""WITH {_SQL_BM25}, hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM score),
-items AS (SELECT query_id, CASE WHEN collection = 'templates' THEN 'template' ELSE 'vector' END AS source, CASE WHEN collection = 'templates' THEN 3 ELSE 2 END AS priority, score, 1000000 + rank AS ord, file_id FROM hit WHERE rank <= 3
-  UNION ALL SELECT item_id, 'kg_rule', 1, 1.0::DOUBLE, 0, -1 FROM benchmark WHERE item_id % 2 = 0)
-SELECT CAST(query_id AS VARCHAR) AS query_id, source, CAST(priority AS INT) AS priority, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY priority, score DESC, ord) AS INT) AS place FROM items""")
+#: SQL of the graph's rule sentences for parts: (name, ord, content).
+_SQL_RULES = _SQL_GRAPH + """, link AS (SELECT src AS name, tgt, CASE WHEN contains(keywords, '设备') THEN 'equipment' WHEN contains(keywords, '危险') THEN 'hazard' WHEN contains(keywords, '质量') THEN 'quality' END AS bucket FROM twoway WHERE starts_with(src, 'part ')),
+measure AS (SELECT src AS hazard, string_agg(DISTINCT tgt, '、' ORDER BY tgt) AS measures FROM twoway WHERE contains(keywords, '措施') OR contains(keywords, '缓解') GROUP BY src),
+hazards AS (SELECT name, tgt, row_number() OVER (PARTITION BY name ORDER BY tgt) AS ord FROM (SELECT DISTINCT name, tgt FROM link WHERE bucket = 'hazard')),
+rule AS (SELECT name, 0 AS ord, '工序「' || name || '」需要设备：' || string_agg(DISTINCT tgt, '、' ORDER BY tgt) AS content FROM link WHERE bucket = 'equipment' GROUP BY name
+  UNION ALL SELECT name, ord, '工序「' || name || '」存在危险源：' || tgt || CASE WHEN measures IS NULL THEN '' ELSE '。安全措施：' || measures END FROM hazards LEFT JOIN measure ON hazard = tgt
+  UNION ALL SELECT l.name, 1 + coalesce(max(h.n), 0), '工序「' || l.name || '」质量要点：' || string_agg(DISTINCT tgt, '、' ORDER BY tgt) FROM link l LEFT JOIN (SELECT name, count(*) AS n FROM hazards GROUP BY name) h ON h.name = l.name WHERE bucket = 'quality' GROUP BY l.name)"""
+
+
+@query(f"""WITH {_SQL_RULES}, {_SQL_BM25}, hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM score),
+items AS (SELECT query_id, CASE WHEN h.collection = 'templates' THEN 'template' ELSE 'vector' END AS source, CASE WHEN h.collection = 'templates' THEN 3 ELSE 2 END AS priority, score, 1000000 + rank AS ord, body AS content FROM hit h JOIN docs d ON d.file_id = h.file_id WHERE rank <= 3
+  UNION ALL SELECT item_id, 'kg_rule', 1, 1.0::DOUBLE, p * 1000 + ord, content FROM (SELECT item_id, unnest([0, 1]) AS p, unnest(['part ' || item_id, 'part ' || item_id + 7]) AS name FROM benchmark WHERE item_id % 2 = 0) a JOIN rule r ON r.name = a.name)
+SELECT CAST(query_id AS VARCHAR) AS query_id, source, CAST(priority AS INT) AS priority, score, md5(content) AS digest, CAST(row_number() OVER (PARTITION BY query_id ORDER BY priority, score DESC, ord) AS INT) AS place FROM items""")
 def fusion_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules for queries that ask the graph, cases for all, in one order; templates last."""
-    from loamwork.operators import retrieve
+    """Rules of two parts for queries that ask the graph, cases for all, in one order; templates last."""
+    ent, rel = _graph_tables(spark, sf_dir)
+    links = stage(graph.undirected(graph.edges(rel, ent)[0]), "links")
+    part = lambda n: F.concat(F.lit("part "), (F.col("item_id") + n).cast("string"))
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, "ch07_quality").otherwise("ch06_methods").alias("chapter"), F.array(part(0), part(7)).alias("processes")
+    )
+    return flows.answer(asked, links, _indexed(spark, sf_dir)).select("query_id", "source", "priority", "score", F.md5("content").alias("digest"), "place")
 
-    links = spark.createDataFrame([("p", "q", "需要设备,工序设备")], "src string, tgt string, keywords string")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "ch07_quality").otherwise("ch06_methods").alias("chapter"), F.array(F.lit("p")).alias("processes"))
-    docs = _indexed(spark, sf_dir)
-    hits = index.search(docs, _asked(spark, sf_dir))
-    fused = retrieve.fuse(spark, retrieve.regulations(asked, links), retrieve.cases(hits, docs))
-    return fused.select("query_id", "source", "priority", "score", "place")
+
+@query(f"""WITH {_SQL_BM25}, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) + 1e-10 AS norm FROM v),
+near AS (SELECT query_id, file_id, collection, greatest(cosine, 0) AS semantic FROM (SELECT q.vec_id AS query_id, p.vec_id AS file_id, d.collection, round(list_dot_product(q.e, p.e) / (q.norm * p.norm), 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, p.e) / (q.norm * p.norm), 6) DESC, p.vec_id) AS r
+  FROM n q JOIN benchmark b ON b.item_id = q.vec_id JOIN n p ON true JOIN docs d ON d.file_id = p.vec_id) WHERE r <= 50),
+lexical AS (SELECT query_id, file_id, collection, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS lexical FROM score),
+both_legs AS (SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.file_id, s.file_id) AS file_id, round((coalesce(lexical, 0) + coalesce(semantic, 0)) / 2, 6) AS score FROM lexical l FULL JOIN near s ON s.query_id = l.query_id AND s.file_id = l.file_id)
+SELECT query_id, file_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM both_legs) WHERE rank <= 3 AND score >= 0.6""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both legs; the vector of an item's number stands for its text."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = _asked(spark, sf_dir)
+    return index.hybrid_search(_indexed(spark, sf_dir), asked, vectors, vectors.withColumnRenamed("id", "query_id").join(asked, "query_id", "left_semi")).select("query_id", "file_id", "score", "rank")
 
 
 # ---- evaluation
@@ -637,25 +729,47 @@ def mrr_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics_by_length(_first_ranks(spark, sf_dir).join(sizes, "query_id"))
 
 
-@query(f"""WITH {_SQL_COSINE}, per AS (SELECT query_id, avg(score) FILTER (id = query_id + 1) - avg(score) FILTER (id BETWEEN query_id + 2 AND query_id + 5) AS gap FROM s GROUP BY query_id)
+@query(f"""WITH {_SQL_COSINE}, truth AS (SELECT query_id, min(id) AS positive FROM s WHERE id > query_id AND label = query_label GROUP BY query_id),
+per AS (SELECT s.query_id, avg(score) FILTER (id = positive) - avg(score) FILTER (id > s.query_id AND id <= s.query_id + 5 AND label <> query_label) AS gap FROM s JOIN truth t ON t.query_id = s.query_id GROUP BY s.query_id)
 SELECT round(avg(gap), 4) AS gap, count(gap) AS queries FROM per""")
 def score_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("b"))
-    near = v.where("id % 20 BETWEEN 1 AND 5").select((F.col("id") - F.col("id") % 20).alias("query_id"), F.when(F.col("id") % 20 == 1, "positive").otherwise("negative").alias("kind"), "b")
-    pairs = near.join(v.select(F.col("id").alias("query_id"), F.col("b").alias("a")), "query_id")
+    """The next vector with the query's label against those near it with another."""
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"), F.col("label").alias("query_label"))
+    other = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("b"), "label")
+    first = asked.join(other, F.col("label") == F.col("query_label")).where("id > query_id").groupBy("query_id").agg(F.min_by(F.struct("a", "b"), "id").alias("p"))
+    positive = first.select("query_id", F.lit("positive").alias("kind"), "p.*")
+    near = asked.withColumn("id", F.explode(F.sequence(F.col("query_id") + 1, F.col("query_id") + 5))).join(other, "id").where("label <> query_label")
+    pairs = positive.unionByName(near.select("query_id", F.lit("negative").alias("kind"), "a", "b").join(positive.select("query_id"), "query_id", "left_semi"))
     return evaluate.score_gap(pairs).withColumn("gap", F.round("gap", 4))
 
 
-@query(f"""WITH {_SQL_COSINE}, r AS (SELECT query_id, id, CAST(id % 7 AS DOUBLE) AS rerank_score FROM ranked WHERE rank <= 10)
-SELECT query_id, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id) AS INT) AS rank FROM r) WHERE rank <= 3""")
+_SQL_RERANK = _SQL_COSINE + """, w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[0-9a-zà-öø-ÿ]+')) AS words FROM documents WHERE text <> ''),
+c AS (SELECT r.query_id, r.id, x.words AS a, y.words AS b FROM ranked r JOIN w x ON x.doc_id = r.query_id JOIN w y ON y.doc_id = r.id WHERE rank <= 10),
+o AS (SELECT query_id, id, len(list_intersect(a, b)) AS shared, len(a) + len(b) - len(list_intersect(a, b)) AS every FROM c),
+reranked AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN every = 0 THEN 1.0::DOUBLE ELSE shared / every END DESC, id) AS INT) AS rank FROM o)"""
+
+
+def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest in the order of the words that they share with the query's text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    ranked = evaluate.with_content(_vectors(spark, sf_dir)[2], docs)
+    asked = ranked.join(docs.select(F.col("id").alias("query_id"), F.col("content").alias("query")), "query_id")
+    return evaluate.rerank(asked, evaluate.overlap_score(F.col("query"), F.col("content")), 10)
+
+
+@query(f"WITH {_SQL_RERANK} SELECT query_id, id, rank FROM reranked WHERE rank <= 3")
 def rerank_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _vectors(spark, sf_dir)[2]
-    return evaluate.rerank(ranked, (F.col("id") % 7).cast("double"), 3).select("query_id", "id", "rank")
+    return _reranked(spark, sf_dir).where("rank <= 3").select("query_id", "id", "rank")
 
 
 @query("""WITH u AS (SELECT doc_id, lang, source, md5(CAST(doc_id AS VARCHAR) || '42') AS h FROM documents WHERE n_chars > 10), q AS (SELECT * FROM u WHERE doc_id % 20 = 0),
-p AS (SELECT q.doc_id AS query_id, CASE WHEN u.lang = q.lang AND u.source = q.source THEN 'same_chapter_same_eng' WHEN u.lang = q.lang THEN 'same_chapter_diff_eng' ELSE 'diff_chapter_same_eng' END AS kind, u.doc_id AS id, u.h FROM q JOIN u ON u.doc_id <> q.doc_id AND (u.lang = q.lang OR u.source = q.source))
-SELECT query_id, kind, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY h, id) AS n FROM p) WHERE n = 1""")
+p AS (SELECT q.doc_id AS query_id, q.lang AS ql, CASE WHEN u.lang = q.lang AND u.source = q.source THEN 'same_chapter_same_eng' WHEN u.lang = q.lang THEN 'same_chapter_diff_eng' WHEN u.source = q.source THEN 'diff_chapter_same_eng' END AS kind, u.doc_id AS id, u.lang, u.h FROM q JOIN u ON u.doc_id <> q.doc_id),
+three AS (SELECT query_id, kind, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY h, id) AS n FROM p WHERE kind IS NOT NULL) WHERE n = 1),
+other AS (SELECT query_id, 'random' AS kind, id FROM (SELECT p.query_id, p.id, row_number() OVER (PARTITION BY p.query_id ORDER BY h, p.id) AS n FROM p LEFT JOIN three t ON t.query_id = p.query_id AND t.id = p.id WHERE t.id IS NULL AND p.lang <> p.ql) WHERE n = 1),
+four AS (SELECT * FROM three UNION ALL SELECT * FROM other), n4 AS (SELECT query_id, count(*) AS n FROM four GROUP BY query_id),
+rest AS (SELECT query_id, 'fallback' AS kind, id FROM (SELECT p.query_id, p.id, coalesce(n4.n, 0) AS have, row_number() OVER (PARTITION BY p.query_id ORDER BY h, p.id) AS n FROM p LEFT JOIN four f ON f.query_id = p.query_id AND f.id = p.id LEFT JOIN n4 ON n4.query_id = p.query_id WHERE f.id IS NULL) WHERE n <= 4 - have)
+SELECT * FROM four UNION ALL SELECT * FROM rest""")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return evaluate.hard_negatives(docs, docs.where("doc_id % 20 = 0 AND n_chars > 10"), "doc_id", "lang", "source", "n_chars")
@@ -676,30 +790,31 @@ def json_tolerant_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json(jsonio.extract_json(reply), "k BIGINT")["k"].alias("k"))
 
 
-_INPUTS = (
-    '{"basic": {"project_name": "A", "project_type": "line", "extra": 1}, "constraints": {"risks": ["x", "y"], "budget": 5}}',
-    '{"basic": {"project_name": " "}, "constraints": {"risks": "none"}, "unknown": {}}',
-    "{}",
-)
-
-
-@query("""SELECT * FROM (VALUES (0, 'A', 'line', '5', 2, 0), (1, ' ', '', '', 0, 2), (2, '', '', '', 0, 2)) t(id, project_name, project_type, budget, risks, errors)""")
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN ' ' ELSE '' END AS project_name, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment ELSE '' END AS project_type, CASE c_custkey % 3 WHEN 0 THEN CAST(c_nationkey AS VARCHAR) ELSE '' END AS budget,
+  CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || ',y' ELSE '' END AS risks, CASE c_custkey % 3 WHEN 0 THEN 0 ELSE 2 END AS errors FROM customer""")
 def input_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_INPUTS)), "id int, source string").withColumn("i", jsonio.standard_input(F.col("source")))
-    return rows.select("id", "i.basic.project_name", "i.basic.project_type", "i.constraints.budget", F.size("i.constraints.risks").alias("risks"), F.size(jsonio.input_errors(F.col("i"))).alias("errors"))
+    """Inputs with numbers for texts, unknown parts, a text for a list, and nothing at all."""
+    full = F.concat(F.lit('{"basic": {"project_name": "'), "c_name", F.lit('", "project_type": "'), "c_mktsegment", F.lit('", "extra": 1}, "constraints": {"risks": ["'), "c_mktsegment", F.lit('", "y"], "budget": '), F.col("c_nationkey").cast("string"), F.lit("}}"))
+    k = F.col("c_custkey") % 3
+    source = F.when(k == 0, full).when(k == 1, '{"basic": {"project_name": " "}, "constraints": {"risks": "none"}, "unknown": {}}').otherwise("{}")
+    rows = table(spark, sf_dir, "customer").withColumn("i", jsonio.standard_input(source))
+    return rows.select("c_custkey", "i.basic.project_name", "i.basic.project_type", "i.constraints.budget", F.array_join("i.constraints.risks", ",").alias("risks"), F.size(jsonio.input_errors(F.col("i"))).alias("errors"))
 
 
-_CHAPTER_TEXTS = ((6, "第六章 做法\n正文{{工程名称}}"), (6, "6. 做法\n【工程名称】"), (1, "一、编制依据\n{工程名称}"), (10, "第十章 X"))
+_SQL_TITLES = "['" + "', '".join(f"{c}、{rules.CHAPTER_TITLES[i + 1]}" for i, c in enumerate(rules.CHINESE_NUMBERS)) + "']"
 
 
-@query("""SELECT * FROM (VALUES (0, '六、施工方法及工艺要求' || chr(10) || '正文P$1'), (1, '六、施工方法及工艺要求' || chr(10) || 'P$1'), (2, '一、编制依据' || chr(10) || 'P$1'), (3, '第十章 X')) t(id, text)""")
+@query(f"""SELECT doc_id, md5({_SQL_TITLES}[doc_id % 9 + 1] || chr(10) || source || ' P$1' || chr(10) || replace(text, chr(10), chr(10) || '- ')) AS digest FROM documents""")
 def chapter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for i, (number, text) in enumerate(_CHAPTER_TEXTS):
-        row = spark.createDataFrame([(i, text)], "id int, text string")
-        row = row.select("id", T.fill_project_name(T.normalize_chapter_title(F.col("text"), number), F.lit("P$1")).alias("text"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Headings of both kinds and the project's name in front of each document."""
+    doc = F.col("doc_id")
+    number = (doc % 9 + 1).cast("int")
+    chinese = F.element_at(F.array(*map(F.lit, rules.CHINESE_NUMBERS)), number)
+    head = F.when(doc % 2 == 0, F.concat(F.lit("第"), chinese, F.lit("章 做法"))).otherwise(F.concat(number.cast("string"), F.lit(". 做法")))
+    mark = F.element_at(F.array(*map(F.lit, rules.PROJECT_PLACEHOLDERS)), (doc % 3 + 1).cast("int"))
+    text = F.concat(head, F.lit("\n"), "source", F.lit(" "), mark, F.lit("\n"), F.replace("text", F.lit("\n"), F.lit("\n- ")))
+    titled = reduce(lambda chain, n: chain.when(number == n, T.normalize_chapter_title(text, n)), range(2, 10), F.when(number == 1, T.normalize_chapter_title(text, 1)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fill_project_name(titled, F.lit("P$1"))).alias("digest"))
 
 
 # ---- streaming form on a batch (an extension)

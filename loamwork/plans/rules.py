@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+# The watermark of scanned pages.
+WATERMARK = r"(?i)CHINA\s+SOUTHERN\s+POWER\s+GRID(?:\s+CO\.?\s*,?\s*LTD\.?)?\s*"
+
 # Regular expressions of the OCR cleaning, in order, with their replacements.
 CLEANING_RULES = (
     (r"^\s*\$\\textcircled\{(\d+)\}\$\s*", "$1. "),
     (r"\$\\textcircled\{(\d+)\}\$", "($1)"),
     (r"(?<=\S)  \n", "\n"),
-    (r"(?i)CHINA\s+SOUTHERN\s+POWER\s+GRID(?:\s+CO\.?\s*,?\s*LTD\.?)?\s*", ""),
+    (WATERMARK, ""),
     (r"^\s*[批★]\s*$\n", ""),
     (r"^\s*\d+\s*$\n", ""),
 )
-WATERMARK = r"(?i)CHINA\s+SOUTHERN\s+POWER\s+GRID(?:\s+CO\.?\s*,?\s*LTD\.?)?\s*"
 
 # LaTeX commands and the characters they stand for.
 LATEX_SYMBOLS = {
@@ -39,6 +41,8 @@ SUFFIXES = (r"\n\s*以上是[^\n]*$", r"\n\s*希望[^\n]*$", r"\n\s*如[有需][
 FORBIDDEN_OPENINGS = (
     r"^\s*好的[，,。！!：:\s]", r"^\s*以下是", r"^\s*当然[，,。！!：:\s]", r"^\s*我已为你", r"^\s*为您清洗", r"^\s*Here is the cleaned", r"^\s*Markdown\s*内容如下",
 )
+#: One of these is in every line that a forbidden opening or phrase fits.
+OPENING_LITERALS = ("好的", "以下是", "当然", "我已为你", "为您清洗", "Here is the cleaned", "Markdown")
 FORBIDDEN_PHRASES = ("好的", "我已为你", "为您清洗", "Here is the cleaned", "Markdown 内容如下")
 MIN_LENGTH_RATIO = 0.5
 CHUNK_SIZE = 2000
@@ -71,8 +75,12 @@ GLOBAL_EXCLUSIONS = (
     "广东电网", "有限公司", "500kV", "新建工程", "kV.*变电站", "kV.*线路工程", "施工方案$", "施工组织设计$", "目录", "报审表", "报验表",
     "质检部：", "其它成员：", "编制：", "审核：", "批准：",
 )
+# Prefixes of titles; the section splitter knows the first three.
 TITLE_PREFIXES = (r"第[一二三四五六七八九十百千]+章\s*", r"^[一二三四五六七八九十]+、\s*", r"^\d+(?:\.\d+)*\s+", r"^\(\d+\)\s*", r"^[①②③④⑤⑥⑦⑧⑨⑩]\s*")
+SPLITTER_PREFIXES = TITLE_PREFIXES[:3]
+# Digits of Chinese numerals.
 CHINESE_DIGITS = {"一": "1", "二": "2", "三": "3", "四": "4", "五": "5", "六": "6", "七": "7", "八": "8", "九": "9", "十": "10"}
+# Words of forms, of their titles, and of covers.
 ADMIN_KEYWORDS = ("报审", "报验", "盖章", "一式", "附件：", "附件:", "(签字)", "（签字）", "执业印章")
 ADMIN_TITLES = ("目录", "报审表", "报验表")
 COVER_MARKS = ("编写:", "编写：", "审核:", "审核：", "批准:", "批准：", "编制:", "编制：", "日期:", "日期：", "致：", "致:", "本表（含附件）", "本表(含附件)")
@@ -94,11 +102,30 @@ TAG_KEYWORDS = (
     "验收", "检验", "合格率", "偏差", "保护层", "垂直度", "强夯", "夯击", "喷涂", "防腐", "防火涂料",
     "触电", "坍塌", "高处坠落", "物体打击", "火灾", "中毒", "节水", "节材", "节地", "扬尘", "噪音", "废弃物",
 )
+# Kind and quality of the numbered source documents, priority of the chapters.
 DOC_TYPES = {1: "线路塔基", 2: "涂装工程", 3: "涂装工程", 4: "变电土建", 5: "绿色施工", 6: "变电土建", 7: "变电电气", 8: "专题方案", 9: "变电土建", 10: "设备安装", 11: "地基处理", 12: "线路塔基", 15: "线路塔基", 16: "专题方案"}
 DOC_QUALITY = {1: 2, 2: 2, 3: 1, 4: 3, 5: 2, 6: 3, 7: 3, 8: 2, 9: 2, 10: 3, 11: 3, 12: 3, 15: 2, 16: 2}
 UNKNOWN_TYPE, UNKNOWN_QUALITY = "未知", 2
 PRIORITIES = {"Ch1": "P0", "Ch6": "P0", "Ch7": "P1", "Ch8": "P1", "Ch3": "P2", "Ch9": "P2", "Ch2": "P3", "Ch4": "P3", "Ch5": "P3", "Ch10": "P3"}
-DEDUP_THRESHOLD, REFINE_MIN_CHARS = 0.8, 30
+REFINE_MIN_CHARS = 30
+#: Broad words that may map a short title wrongly.
+BROAD_WORDS = ("施工", "质量", "安全", "应急", "概述")
+# Words of headers that are no chapters, and the numbering before a chapter's name.
+NO_CHAPTER_WORDS = ("目录", "表", "图", "附件", "gis", "500kv", "电白", "广东电网", "中国南方电网")
+CHAPTER_NUMBERING = (r"^[一二三四五六七八九十\d]+[、\.\s]", r"^\d+(\.\d+)*\s*")
+# The rules that hold where no rule base is there: (id, exact, variant).
+FALLBACK_RULES = (
+    ("Ch1", ("编制依据",), ("编制说明", "编制目的", "编写依据")),
+    ("Ch2", ("工程概况",), ("工程概述", "工程简介", "项目概况", "工程地质")),
+    ("Ch3", ("施工组织机构", "组织机构"), ("项目组织", "管理组织", "岗位职责", "管理人员", "管理机构")),
+    ("Ch4", ("施工安排", "进度计划"), ("施工计划", "施工工期", "工期规划", "施工组织及")),
+    ("Ch5", ("施工准备",), ("准备工作", "资源配置", "劳动力", "设备计划", "材料供应")),
+    ("Ch6", ("施工方法", "施工工艺", "工艺要求"), ("施工技术", "施工措施", "主要工序", "施工方案概述", "施工工艺技术", "施工技术措施", "基础施工", "安装施工")),
+    ("Ch7", ("质量管理", "质量控制"), ("质量工艺", "质量保证", "质量检验", "质量通病", "成品保护")),
+    ("Ch8", ("安全管理", "安全措施", "安全技术"), ("安全文明", "文明施工", "危险源", "安健环", "安全风险", "安全组织", "现场安全", "临时用电", "安全用电")),
+    ("Ch9", ("应急预案", "应急处置"), ("应急措施", "应急响应")),
+    ("Ch10", ("绿色施工", "环境保护"), ("环保措施", "水土保护", "季节性施工", "环境因素")),
+)
 
 # Chapters to collections, and what retrieval needs.
 COLLECTIONS = {
@@ -109,7 +136,11 @@ COLLECTIONS = {
 ALL_COLLECTIONS = ("ch01_basis", "ch06_methods", "ch07_quality", "ch08_safety", "ch09_emergency", "ch10_green", "equipment", "templates")
 GRAPH_CHAPTERS = ("ch07_quality", "ch08_safety", "ch09_emergency")
 TEMPLATE_COLLECTION = "templates"
-TOP_K, VECTOR_THRESHOLD = 3, 0.6
+TOP_K, SCORE_THRESHOLD = 3, 0.6
+# Labels of the metadata before an indexed text, of a description, and a reranker's instruction.
+MARKERS = {"type": "工程类型", "section": "章节", "tags": "标签"}
+DESCRIPTION = {"type": "工程类型", "attributes": "属性", "aliases": "别名", "source": "来源", "confidence": "置信度"}
+RERANK_INSTRUCTION = "给定一个施工方案相关的检索查询，判断文档是否与查询相关"
 
 # Entities and relations.
 ENTITY_LABELS = {"process": "施工工序", "equipment": "施工设备", "hazard": "危险源", "safety_measure": "安全措施", "quality_point": "质量控制要点"}
@@ -117,9 +148,11 @@ RELATION_KEYWORDS = {
     "requires_equipment": "需要设备,工序设备", "produces_hazard": "产生危险源,工序危险", "mitigated_by": "安全措施,控制措施,风险缓解", "requires_quality_check": "质量控制,质量要点,质量检查",
 }
 TYPE_ABBREVIATIONS = {"变电土建": "civil", "变电电气": "elec", "线路塔基": "line", "特殊作业": "special", "地基处理": "found", "设备安装": "install", "涂装工程": "coat", "专题方案": "topic", "绿色施工": "green", "通用": "common"}
+# Fillers at the ends of names.
 NAME_PREFIXES = ("进行", "实施", "开展")
 NAME_SUFFIXES = ("作业", "工作", "工程", "施工", "的", "等")
 COMMON_TYPE = "通用"
+# What the numbered sections of the rule documents are about, and words for equipment.
 HAZARD_SECTIONS = {"2": "变电土建", "3": "变电电气", "4": "线路塔基", "5": "特殊作业"}
 QUALITY_SECTIONS = {"2": "变电土建", "3": "变电土建", "4": "变电电气", "4.1": "变电电气", "4.2": "变电电气", "5": "线路塔基", "6": "特殊作业", "6.1": "特殊作业", "6.2": "特殊作业"}
 EQUIPMENT_KEYWORDS = ("机", "器", "锤", "棒", "泵", "仪", "架", "管", "锯", "车", "模板", "串筒", "溜槽", "卷扬", "钢丝绳", "吊具", "脚手架")
@@ -131,4 +164,5 @@ FUZZY_DISTANCE, SOURCE_BOOST = 2, 0.1
 CHAPTER_TITLES = {1: "编制依据", 2: "工程概况", 3: "施工组织机构及职责", 4: "施工安排与进度计划", 5: "施工准备", 6: "施工方法及工艺要求", 7: "质量管理与控制措施", 8: "安全文明施工管理", 9: "应急预案与处置措施"}
 CHINESE_NUMBERS = ("一", "二", "三", "四", "五", "六", "七", "八", "九")
 PROJECT_PLACEHOLDERS = ("{{工程名称}}", "【工程名称】", "{工程名称}")
+#: Tokens that the model may write for a chapter.
 MAX_TOKENS = {1: 2048, 2: 2048, 3: 3072, 4: 3072, 5: 3072, 6: 6144, 7: 4096, 8: 5120, 9: 4096}

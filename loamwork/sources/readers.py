@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions.text import strip
 from loamwork.plans import rules
+from loamwork.storage import read_bytes
 from loamwork.workers import ship
 
 FRAGMENT = (
@@ -26,6 +27,13 @@ RELATION = "seq BIGINT, id STRING, source_entity_id STRING, target_entity_id STR
 EVAL_ITEM = "query_id STRING, query STRING, positive_id STRING, positive_chapter STRING, positive_engineering_type STRING, positive_char_count INT, hard_negatives ARRAY<STRUCT<id:STRING,type:STRING>>, human_verified BOOLEAN"
 
 
+def project_fragments(fragments: DataFrame) -> DataFrame:
+    """The columns that fragments are written with, in order; missing ones are null."""
+    names = ("id", "source_doc", "chapter", "section", "engineering_type", "quality_rating", "tags", "density", "is_refined", "priority", "char_count", "has_table", "sub_section_id", "content", "raw_content")
+    kinds = dict(part.split(" ") for part in FRAGMENT.split(", "))
+    return fragments.select(*(F.col(n) if n in fragments.columns else F.lit(None).cast(kinds[n]).alias(n) for n in names))
+
+
 def read_documents(spark: SparkSession, template: str, ids: list[int]) -> DataFrame:
     """(doc_id, text) of whole files at ``template`` with ``{doc_id}``; missing ones are skipped."""
     reader = spark.read.option("ignoreMissingFiles", True)
@@ -77,23 +85,52 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(chapter_id, ord, standard_name, tier, n, keyword) of a rule base, or of the built-in rules."""
+def load_chapters(spark: SparkSession, path: str | None = None) -> tuple[tuple, tuple[str, ...]]:
+    """(chapters, exclusions) of a rule base as ``sections.map_title`` takes them, in the file's order.
+
+    Without a path the built-in rules; where the file is missing the fallback, which has no patterns
+    and no exclusions.
+    """
     if path is None:
-        rows = [(c[0], i, c[1], tier, n, w) for i, c in enumerate(rules.CHAPTERS) for at, tier in ((2, "exact"), (3, "variant"), (4, "regex")) for n, w in enumerate(c[at])]
-        return spark.createDataFrame(rows, "chapter_id STRING, ord INT, standard_name STRING, tier STRING, n INT, keyword STRING")
-    text = spark.read.text(path, wholetext=True).first()[0]
+        return rules.CHAPTERS, rules.GLOBAL_EXCLUSIONS
+    data = read_bytes(spark, path)
+    if data is None:
+        names = {c[0]: c[1] for c in rules.CHAPTERS}
+        return tuple((i, names[i], exact, variant, (), ()) for i, exact, variant in rules.FALLBACK_RULES), ()
+    base = json.loads(data)
+    chapters = []
+    for chapter, entry in base["chapters"].items():
+        of = lambda kind, field, entry=entry: tuple(w for rule in entry["rules"] if rule["type"] == kind for w in rule.get(field, ()))
+        chapters.append((chapter, entry["standard_name"], of("exact", "keywords"), of("variant", "keywords"), of("regex", "patterns"), tuple(entry.get("exclusions", ()))))
+    excluded = base.get("global_exclusions", {})
+    lists = excluded.values() if isinstance(excluded, dict) else [excluded]
+    return tuple(chapters), tuple(pattern for patterns in lists for pattern in patterns)
+
+
+def rule_rows(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(chapter_id, ord, standard_name, tier, n, keyword) of a rule base: the rules, and exclusions as a tier of their own."""
     rows = []
-    for i, (chapter, data) in enumerate(json.loads(text)["chapters"].items()):
-        for rule in data["rules"]:
-            rows += [(chapter, i, data["standard_name"], rule["type"], n, w) for n, w in enumerate(rule.get("keywords", rule.get("patterns", [])))]
+    for i, c in enumerate(load_chapters(spark, path)[0]):
+        for tier, words in zip(("exact", "variant", "regex", "exclusion"), c[2:], strict=True):
+            rows += [(c[0], i, c[1], tier, n, w) for n, w in enumerate(words)]
     return spark.createDataFrame(rows, "chapter_id STRING, ord INT, standard_name STRING, tier STRING, n INT, keyword STRING")
 
 
+METRICS = "model_name STRING, model_short STRING, mrr_at_1 DOUBLE, mrr_at_3 DOUBLE, hit_at_1 DOUBLE, hit_at_3 DOUBLE, hit_at_10 DOUBLE"
+
+
 def read_metrics(spark: SparkSession, folder: str, prefix: str = "result_") -> DataFrame:
-    """Metric files by name prefix."""
-    schema = "model STRING, mrr_3 DOUBLE, hit_1 DOUBLE, hit_3 DOUBLE"
-    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", f"{prefix}*.json").json(folder)
+    """(model, model_name, mrr_1, mrr_3, hit_1, hit_3, hit_10) of the metric files with a name prefix."""
+    files = spark.read.schema(METRICS).option("multiLine", True).option("pathGlobFilter", f"{prefix}*.json").json(folder)
+    return files.select(F.col("model_short").alias("model"), "model_name", *(F.col(c).alias(c.replace("_at", "")) for c in ("mrr_at_1", "mrr_at_3", "hit_at_1", "hit_at_3", "hit_at_10")))
+
+
+def read_input(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
+    """(path, name, content) of a file, or of the files of a folder with the suffix."""
+    if path.lower().endswith(suffix):
+        files = spark.read.format("binaryFile").load(path)
+        return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return list_files(spark, path, suffix)
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamwork.operators import sections
+
 log = logging.getLogger("loamwork")
 
 
@@ -79,5 +81,36 @@ def graph_report(entities: DataFrame, relations: DataFrame, samples: int = 5) ->
     return "\n\n".join(parts)
 
 
-def metrics_report(metrics: DataFrame) -> str:
-    return "# Retrieval\n\n" + markdown_table(metrics.orderBy(F.col("mrr_3").desc()))
+def metrics_report(metrics: DataFrame, by_group: DataFrame | None = None, by_length: DataFrame | None = None, title: str = "Retrieval") -> str:
+    """The report of an evaluation: models by MRR@3, the best one, and its breakdowns.
+
+    Serves embeddings, rerankers (with ``mrr_gain``) and combinations (with latency columns) alike.
+    """
+    ordered = metrics.orderBy(F.col("mrr_3").desc(), metrics.columns[0])
+    best = ordered.first()
+    parts = [f"# {title}", markdown_table(ordered), f"best: {best[0]}, MRR@3 {best['mrr_3']:.4f}" if best else "no models"]
+    for name, rows in (("by chapter", by_group), ("by length", by_length)):
+        if rows is not None:
+            parts += [f"## {name}", markdown_table(rows.orderBy(rows.columns[0]))]
+    return "\n\n".join(parts)
+
+
+def structure_report(titles: DataFrame) -> str:
+    """The chapters of a corpus: frequencies by band, what follows under them, and how documents open."""
+    summary, frequency = sections.corpus_summary(titles), sections.chapter_frequency(titles)
+    parts = ["# Structure", markdown_table(summary)]
+    for band in ("mandatory", "common", "optional"):
+        parts += [f"## {band}", markdown_table(frequency.where(F.col("band") == band).drop("band").orderBy(F.col("n").desc(), "name"))]
+    under = sections.second_level(titles).withColumn("_n", F.row_number().over(Window.partitionBy("chapter").orderBy(F.col("n").desc(), "name"))).where("_n <= 10").drop("_n")
+    parts += ["## sections of chapters", markdown_table(under.orderBy("chapter", F.col("n").desc(), "name"))]
+    parts += ["## first chapters", markdown_table(sections.opening_chapters(titles).orderBy("place", F.col("n").desc(), "name"))]
+    return "\n\n".join(parts)
+
+
+def coverage_text(results: DataFrame, samples: int = 50) -> str:
+    """Coverage of the mapping: totals, chapters, match types, and titles that have no chapter."""
+    parts = ["# Coverage", markdown_table(sections.coverage(results))]
+    for column in ("chapter_id", "match_type"):
+        parts += [f"## {column}", markdown_table(sections.coverage_by(results, column).orderBy(F.col("n").desc(), column))]
+    parts += ["## without chapter", markdown_table(sections.title_lists(results).orderBy("chapter_id", "doc_id", "pos"), samples)]
+    return "\n\n".join(parts)
