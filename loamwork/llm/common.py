@@ -1,10 +1,8 @@
-"""Shared plumbing: shared-folder tables, bounded Arrow chunks, connected components."""
+"""Shared plumbing: bounded Arrow chunks, samples, connected components; tables in the shared folder."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,78 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamwork.storage import delete_path, drop_stage, read_bytes, shared_folder, stage, table_path, write_bytes
 from loamwork.workers import ship
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset a local session (tests) gets a temporary one; a cluster is refused, because
-    a machine-local folder would not be seen by the other executors.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="loamwork-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/loamwork/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loamwork_path = path
-    return out
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Deletes a table that ``stage`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_loamwork_path", None)
-    if path:
-        delete_path(df.sparkSession, path)
-
-
-def _hadoop(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    target, system = _hadoop(spark, path)
-    system.delete(target, True)
-
-
-def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """A small file of the driver's in the shared folder, put in place in one step."""
-    target, system = _hadoop(spark, path)
-    part, _ = _hadoop(spark, f"{path}.part")
-    out = system.create(part, True)
-    out.write(data)
-    out.close()
-    system.delete(target, False)
-    system.rename(part, target)
-
-
-def read_bytes(spark: SparkSession, path: str) -> bytes | None:
-    target, system = _hadoop(spark, path)
-    if not system.exists(target):
-        return None
-    source = system.open(target)
-    try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
-    finally:
-        source.close()
+__all__ = [
+    "connected_components", "delete_path", "drop_stage", "labelled_sample", "map_arrow", "partitions", "read_bytes", "read_table", "shared_folder", "stage", "table_path", "text_slices", "word_tokens",
+    "write_bytes",
+]
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
