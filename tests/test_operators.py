@@ -1,10 +1,13 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from loamwork.operators import annotate, dedup, entities, evaluate, graph, index, retrieve, sections, tables
-from loamwork.plans import external, rules
+from loamwork.functions import jsonio
+from loamwork.operators import annotate, dedup, entities, evaluate, graph, index, ranks, retrieve, sections, tables
+from loamwork.plans import external, flows, rules
+from loamwork.sources import readers
 
 
 def test_title_tiers(spark):
@@ -77,36 +80,40 @@ def plain_greedy(n, pairs, quality, doc):
     return gone
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_near_duplicates_against_plain_models(spark, monkeypatch, block):
-    monkeypatch.setattr(dedup, "BLOCK", block)
+@pytest.mark.parametrize("sample", [4096, 1])
+def test_near_duplicates_against_plain_models(spark, monkeypatch, sample):
+    monkeypatch.setattr(dedup, "SAMPLE", sample)
     rng = random.Random(7)
     base = "".join(rng.choice("abcdefgh ") for _ in range(60))
-    texts = ["", "", "a", base] + ["".join(c if rng.random() > 0.03 else rng.choice("xyz") for c in base) for _ in range(12)] + ["abcab", "abcabc"]
-    rows = [("g", i, t, rng.randint(1, 3)) for i, t in enumerate(texts)]
+    texts = ["", None, "a", base] + ["".join(c if rng.random() > 0.03 else rng.choice("xyz") for c in base) for _ in range(30)] + ["abcab", "abcabc", base, base]
+    rows = [("g", i, t, rng.randint(1, 3)) for i, t in enumerate(texts)] + [("h", 100 + i, t, 1) for i, t in enumerate(texts[:6])]
     df = spark.createDataFrame(rows, "grp string, id long, text string, q int")
-    got = dedup.similar_pairs(df, "grp", "id", "text")
-    pairs = {(r["a"], r["b"]) for r in got.collect()}
-    assert pairs == plain_pairs(texts)
-    ranks = df.select("grp", F.col("id").alias("key"), F.col("q").alias("quality"), F.col("id").alias("doc"), F.col("id").alias("seq"))
-    losers = {r["loser"] for r in dedup.greedy_losers(got.select("grp", "a", "b"), ranks, "grp").collect()}
+    members, heads = dedup.similar_classes(df, "grp", "id", "text")
+    assert members.count() == len(rows) and heads.where("a >= b").count() == 0
+    got = dedup.all_pairs(members, heads, "grp")
+    pairs = {(r["a"], r["b"]) for r in got.collect() if r["grp"] == "g"}
+    assert pairs == plain_pairs([t or "" for t in texts])
+    order = df.select("grp", F.col("id").alias("key"), F.col("q").alias("quality"), F.col("id").alias("doc"), F.col("id").alias("seq"))
+    losers = {r["loser"] for r in dedup.greedy_losers(got, order, "grp").collect() if r["grp"] == "g"}
     assert losers == plain_greedy(len(texts), pairs, [r[3] for r in rows], list(range(len(texts))))
+    assert dedup.similar_classes(df.limit(0), "grp", "id", "text")[1].count() == 0
 
 
-def plain_fuzzy(names):
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        return row[-1]
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
 
+def plain_fuzzy(names):
     live, i = [(n, set()) for n in names], 0
     while i < len(live):
         j = i + 1
         while j < len(live):
-            if 0 < edits(live[i][0], live[j][0]) <= 2:
+            if 0 < plain_edits(live[i][0], live[j][0]) <= 2:
                 keep, drop = (i, j) if len(live[i][0]) <= len(live[j][0]) else (j, i)
                 live[keep][1].update({live[drop][0]} | live[drop][1])
                 live.pop(drop)
@@ -118,12 +125,38 @@ def plain_fuzzy(names):
 
 
 def test_fuzzy_merge_against_a_plain_walk(spark):
+    """Names with and without partners, of two kinds; their gaps in the order matter for the walk."""
     rng = random.Random(9)
-    names = list(dict.fromkeys("".join(rng.choice("abc") for _ in range(rng.randint(2, 7))) for _ in range(40)))
-    rows = [(i, "process", "通用", n, [], {}, "rule", 0.8) for i, n in enumerate(names)]
+    groups = {}
+    for kind in ("process", "hazard"):
+        names = ["".join(rng.choice("abc") for _ in range(rng.randint(2, 7))) for _ in range(40)] + [rng.choice("xyz") * n for n in range(8, 30, 4)]
+        rng.shuffle(names)
+        groups[kind] = list(dict.fromkeys(names))
+    rows = [(i * 7, kind, "通用", n, [], {}, "rule", 0.8) for kind, names in groups.items() for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "seq long, type string, engineering_type string, name string, aliases array<string>, attributes map<string,string>, source string, confidence double")
-    merged, _ = entities.merge_fuzzy(df)
-    assert {r["name"]: r["aliases"] for r in merged.collect()} == plain_fuzzy(names)
+    merged, names = entities.merge_fuzzy(df)
+    got = merged.collect()
+    for kind, plain in groups.items():
+        assert {r["name"]: r["aliases"] for r in got if r["type"] == kind} == plain_fuzzy(plain)
+    assert {r["old"] for r in names.collect()} == {a for kind in groups.values() for aliases in plain_fuzzy(kind).values() for a in aliases}
+
+
+def test_fuzzy_pairs_against_all_pairs(spark):
+    rng = random.Random(10)
+    names = list({"".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(250)})
+    df = spark.createDataFrame([("g", n) for n in names], "grp string, name string")
+    got = {(r["a"], r["b"]): r["distance"] for r in entities.fuzzy_pairs(df, ("grp",)).collect()}
+    want = {(a, b): d for a in names for b in names if a < b and (d := plain_edits(a, b)) <= 2}
+    assert got == want
+
+
+def test_numbers_within_groups(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(1000), f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, seq long, t string")
+    got = {r["t"]: r["n"] for r in ranks.number(df, "seq", "n", ("g",), ("t",), span=50).collect()}
+    want = {t: n for g in "ab" for n, (_, t) in enumerate(sorted((s, t) for x, s, t in rows if x == g), 1)}
+    assert got == want
 
 
 def test_exact_merge_and_ids(spark):
@@ -193,10 +226,10 @@ def test_search_and_fusion(spark):
 
 
 def test_metrics(spark):
-    ranks = spark.createDataFrame([(1, 1), (2, 3), (3, None), (4, 12)], "query_id int, rank int")
-    r = evaluate.retrieval_metrics(ranks).first()
+    placed = spark.createDataFrame([(1, 1), (2, 3), (3, None), (4, 12)], "query_id int, rank int")
+    r = evaluate.retrieval_metrics(placed).first()
     assert (r["mrr_1"], r["mrr_3"], r["hit_1"], r["hit_3"], r["hit_10"]) == (0.25, 0.333333, 0.25, 0.5, 0.5)
-    bins = {x["bin"]: x["queries"] for x in evaluate.metrics_by_length(ranks.withColumn("chars", F.col("query_id") * 512)).collect()}
+    bins = {x["bin"]: x["queries"] for x in evaluate.metrics_by_length(placed.withColumn("chars", F.col("query_id") * 512)).collect()}
     assert bins == {"<512": 1, "512-1024": 1, ">1024": 2}
 
 
@@ -226,3 +259,50 @@ def test_models_fall_back(spark):
     got = {r["id"]: (r["kind"], r["input"]["basic"]["project_name"], len(r["errors"])) for r in external.parse_inputs(sources, external.echo_client).collect()}
     assert got == {1: ("json", "P", 0), 2: ("text", "", 2)}
     assert rules.MAX_TOKENS[6] == 6144
+
+
+def test_rule_base_with_exclusions_and_fallback(spark, tmp_path):
+    base = {"chapters": {"C1": {"standard_name": "n", "rules": [{"type": "exact", "keywords": ["k"]}, {"type": "regex", "patterns": ["^p"]}, {"type": "variant", "keywords": ["v"]}], "exclusions": ["not"]}}, "global_exclusions": {"a": ["x$"], "b": ["y"]}}
+    (tmp_path / "rules.json").write_text(json.dumps(base))
+    chapters, excluded = readers.load_chapters(spark, f"{tmp_path}/rules.json")
+    assert chapters == (("C1", "n", ("k",), ("v",), ("^p",), ("not",)),) and excluded == ("x$", "y")
+    df = spark.createDataFrame([("k",), ("not k",), ("pq",), ("kx",), ("o",)], "title string")
+    got = {r["title"]: r["m"]["match_type"] for r in df.select("title", sections.map_title(F.col("title"), chapters, excluded).alias("m")).collect()}
+    assert got == {"k": "exact", "not k": "unmapped", "pq": "regex", "kx": "excluded", "o": "unmapped"}
+    fallback, none = readers.load_chapters(spark, f"{tmp_path}/missing.json")
+    assert len(fallback) == 10 and fallback[0][2:] == (("编制依据",), ("编制说明", "编制目的", "编写依据"), (), ()) and none == ()
+    assert readers.rule_rows(spark, f"{tmp_path}/rules.json").where("tier = 'exclusion'").first()["keyword"] == "not"
+
+
+def test_prompts_are_strict(spark):
+    row = spark.createDataFrame([("t", "p", "k", None, ["r"], [], [])], "chapter_title string, project string, kind string, location string, rules array<string>, cases array<string>, outline array<string>")
+    with pytest.raises(ValueError, match="outline"):
+        external.render_prompts(row.drop("outline"))
+    with pytest.raises(Exception, match="location"):
+        external.render_prompts(row).collect()
+    for number in external.TASKS:
+        prompt = external.render_prompts(row.fillna("l"), number).first()["prompt"]
+        assert external.TASKS[number] in prompt and "- r" in prompt and "Cases" not in prompt
+
+
+def test_required_json_ends_the_query(spark):
+    df = spark.createDataFrame([("none here",)], "t string")
+    with pytest.raises(Exception, match="no JSON object"):
+        df.select(jsonio.fail_on_error(jsonio.require_json(F.col("t")))).collect()
+
+
+def test_fragments_of_a_run(spark):
+    text = "\n".join(f"# 第{c}章 施工方法 {c}\n" + f"混凝土浇筑第{i}段的说明。" * 40 for i, c in enumerate("一二三"))
+    docs = spark.createDataFrame([(4, text + "\n# 其他\nx"), (5, "# 附录\ny")], "doc_id int, text string")
+    fragments, unmapped = flows.build_fragments(docs)
+    rows = fragments.collect()
+    assert {r["chapter_id"] for r in rows} == {"Ch6"} and [r["title"] for r in unmapped.collect()] == ["附录"]
+    assert all(r["id"].startswith("doc04_ch6_s0") and r["density"] in ("high", "medium") for r in rows)
+
+
+def test_graph_of_a_run(spark):
+    found = spark.createDataFrame([(1, "process", "通用", "浇筑作业", [], {}, "rule", 1.0), (2, "hazard", "通用", "高处坠落", [], {}, "llm", 0.8), (3, "process", "通用", "浇筑", [], {}, "llm", 0.8)], "seq long, type string, engineering_type string, name string, aliases array<string>, attributes map<string,string>, source string, confidence double")
+    links = spark.createDataFrame([(1, "浇筑", "高处坠落", "produces_hazard", 1.0, "e", "d"), (2, "浇筑", "无", "mitigated_by", 1.0, "", "d")], "seq long, source string, target string, relation_type string, confidence double, evidence string, source_doc string")
+    nodes, edges, chunks, dangling = flows.build_graph(found, links)
+    assert {r["name"] for r in nodes.collect()} == {"浇筑", "高处坠落"} and [(r["src"], r["tgt"]) for r in edges.collect()] == [("浇筑", "高处坠落")]
+    assert dangling.count() == 1 and chunks.first()["content"] == "浇筑 → 高处坠落: e"

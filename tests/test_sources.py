@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from loamwork.operators import evaluate, index
 from loamwork.sources import readers, sinks
 from loamwork.streaming import documents
 
@@ -27,10 +28,64 @@ def test_jsonl_and_rules(spark, tmp_path):
     path = tmp_path / "f.jsonl"
     path.write_text('{"id": "a", "chapter": "c", "density": "high", "tags": ["t"]}\n\n{"id": "b", "chapter": "c", "density": "low"}\n')
     assert [r["id"] for r in readers.read_fragments(spark, str(path), ["c"], ["high"]).collect()] == ["a"]
-    rules = tmp_path / "rules.json"
-    rules.write_text(json.dumps({"chapters": {"C": {"standard_name": "n", "rules": [{"type": "exact", "keywords": ["k"]}, {"type": "regex", "patterns": ["p"]}]}}}))
-    assert {(r["tier"], r["keyword"]) for r in readers.read_rules(spark, str(rules)).collect()} == {("exact", "k"), ("regex", "p")}
-    assert readers.read_rules(spark).where("tier = 'exact'").count() > 10
+    assert readers.rule_rows(spark).where("tier = 'exact'").count() > 10
+    (tmp_path / "a.json").write_text('[{"seq": 1, "name": "x"}, {"seq": 2, "name": "y"}]')
+    assert {r["name"] for r in readers.read_json_array(spark, f"{tmp_path}/a.json", readers.ENTITY).collect()} == {"x", "y"}
+
+
+def test_metrics_files(spark, tmp_path):
+    for name, value in (("a", 0.5), ("b", 0.75)):
+        (tmp_path / f"result_{name}.json").write_text(json.dumps({"model_name": f"org/{name}", "model_short": name, "mrr_at_1": 0.1, "mrr_at_3": value, "hit_at_1": 0.2, "hit_at_3": 0.3, "hit_at_10": 0.4, "mrr_by_chapter": {}}))
+    (tmp_path / "other.json").write_text("{}")
+    metrics = readers.read_metrics(spark, str(tmp_path))
+    assert [(r["model"], r["mrr_3"], r["hit_10"]) for r in evaluate.best_models(metrics).collect()] == [("b", 0.75, 0.4), ("a", 0.5, 0.4)]
+    report = sinks.metrics_report(metrics, title="Embeddings")
+    assert report.startswith("# Embeddings") and "best: b, MRR@3 0.7500" in report
+
+
+def test_inputs_and_settings(spark, tmp_path, monkeypatch):
+    (tmp_path / "one.PDF").write_bytes(b"1")
+    (tmp_path / "two.txt").write_bytes(b"2")
+    assert [r["name"] for r in readers.read_input(spark, str(tmp_path)).collect()] == ["one.PDF"]
+    assert bytes(readers.read_input(spark, f"{tmp_path}/one.PDF").first()["content"]) == b"1"
+    monkeypatch.setenv("LOAM_SIZE", "9")
+    assert readers.options("LOAM_", {"size": "1", "name": "x"}) == {"size": "9", "name": "x"}
+
+    def converter():
+        return lambda content: content.decode() + "!"
+
+    files = spark.createDataFrame([("a", b"x"), ("b", b"\xff")], "path string, content binary")
+    got = {r["path"]: (r["text"], r["error"] is None) for r in readers.convert_files(files, converter).collect()}
+    assert got == {"a": ("x!", True), "b": (None, False)}
+
+
+def test_index_upsert(spark, tmp_path):
+    kind = "collection string, file_id long, body string"
+    index.upsert(spark.createDataFrame([("a", 1, "old"), ("b", 2, "stays")], kind), f"{tmp_path}/i")
+    index.upsert(spark.createDataFrame([("a", 1, "new"), ("a", 3, "more")], kind), f"{tmp_path}/i")
+    assert {(r["file_id"], r["body"]) for r in readers.open_index(spark, f"{tmp_path}/i").collect()} == {(1, "new"), (2, "stays"), (3, "more")}
+
+
+def test_reports_and_graph_files(spark, tmp_path):
+    titles = spark.createDataFrame([(1, 0, "甲", 1), (1, 1, "乙管理", 2), (2, 0, "甲（一）", 1), (2, 1, "丙", 1)], "doc_id int, pos int, title string, level int")
+    report = sinks.structure_report(titles)
+    assert "## optional" in report and "| 甲 | 2 | 2 | 2 |" in report
+    mapped = spark.createDataFrame([(1, 0, "x", "A", "exact"), (1, 1, "y", "unmapped", "unmapped")], "doc_id int, pos int, title string, chapter_id string, match_type string")
+    assert "| unmapped | 1 | 1 | y |" in sinks.coverage_text(mapped)
+    fragments = spark.createDataFrame([("high", "c", "e", 1)], "density string, chapter string, engineering_type string, source_doc int")
+    assert "total: 1" in sinks.fragment_report(fragments, titles)
+    entities = spark.createDataFrame([(i, f"id{i}", "t", "e", f"n{i}") for i in range(7)], "seq long, id string, type string, engineering_type string, name string")
+    relations = spark.createDataFrame([(1, "r")], "seq long, relation_type string")
+    graph = sinks.graph_report(entities, relations)
+    assert "n4" in graph and "n5" not in graph
+    sinks.write_graph(entities, relations, f"{tmp_path}/g")
+    nodes, edges = readers.open_graph(spark, f"{tmp_path}/g")
+    assert (nodes.count(), edges.count()) == (7, 1)
+    sinks.write_candidates(spark.createDataFrame([(1, 2, 9, 0.5), (1, 1, 8, 0.7)], "query_id int, rank int, id int, score double"), f"{tmp_path}/c")
+    assert [c["id"] for c in spark.read.json(f"{tmp_path}/c").first()["candidates"]] == [8, 9]
+    stages = spark.createDataFrame([(1, "raw", "a"), (1, "final", "b")], "doc_id int, stage string, text string")
+    sinks.write_stages(stages, f"{tmp_path}/s")
+    assert spark.read.parquet(f"{tmp_path}/s/stage=final").first()["text"] == "b"
 
 
 def test_archives(spark):
