@@ -34,6 +34,28 @@ def test_stages_and_run(spark, small):
     assert sorted(map(tuple, C.run(spark, small).collect())) == sorted(map(tuple, tokens))
 
 
+def test_stages_on_odd_tables(spark, small, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing columns, long texts and empty tables go through every stage."""
+    real = spark.read.parquet(f"{small}/documents.parquet")
+    names = ("row_key", "key", "kept", "place", "copies", "target", "size", "score", "pii", "n", "start")
+    odd = [(None, None, None), (None, "", "a"), (900, None, "a"), (901, "same words here", "a"), (901, "same words here", "a"), (901, "other words there", "b"), (None, "no id at all", None), (902, "long " * 60_000, "c")]
+    extra = spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = real.limit(40).select(extra.columns).unionByName(extra)
+    for name in names:
+        docs = docs.withColumn(name, F.lit("x"))
+    kept = {}
+    now = docs
+    for name, step in C.STAGES:
+        after = step(spark, now, small)
+        if name != C.STAGES[-1][0]:
+            assert after.columns == docs.columns and after.where("row_key <> 'x' OR n <> 'x'").count() == 0
+        assert step(spark, now.limit(0), small).count() == 0
+        now = kept[name] = after.cache()
+    rows = [(r["doc_id"], r["text"]) for r in kept["simhash_near_dedup"].collect() if r["doc_id"] in (None, 900, 901, 902)]
+    assert sorted(((d or 0), (t or "")[:10]) for d, t in rows) == [(0, "no id at a"), (900, ""), (901, "other word"), (901, "same words"), (902, "long long ")]
+    assert kept["token_output"].count() == kept["source_mixing"].count()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
