@@ -35,10 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new path for a table or folder that goes when the driver ends."""
+def table_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path for a table or folder, which goes when the driver ends unless it is to ``keep``."""
     path = f"{shared_folder(spark)}/loamwork/{name}-{uuid.uuid4().hex}"
-    _LEFT[path] = _hadoop(spark, path)
+    if not keep:
+        _LEFT[path] = _hadoop(spark, path)
     return path
 
 
