@@ -61,17 +61,17 @@ def test_levels_are_stored_and_merged(spark, tmp_path):
     rng = random.Random(8)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 120))) for _ in range(48)]
     texts += texts[:4]
-    for b in range(6):
+    for b in range(4):
         # each batch by a family that is opened anew
         family = suffix.SuffixFamily(spark, f"{tmp_path}/family", length=16, group=40)
-        part = [(i, t) for i, t in enumerate(texts) if i % 6 == b]
+        part = [(i, t) for i, t in enumerate(texts) if i % 4 == b]
         family.add(spark.createDataFrame(part, "doc_id long, text string"))
-        seen = [t for i, t in enumerate(texts) if i % 6 <= b]
+        seen = [t for i, t in enumerate(texts) if i % 4 <= b]
         assert sorted(map(shape, family.cleaned().collect())) == sorted(plain(seen, 16))
         sizes = [n for _, n in family.state["levels"]]
         assert len(sizes) <= 3 and all(a > 2 * c for a, c in zip(sizes, sizes[1:], strict=False))
         assert sum(sizes) == family._read([p for p, _ in family.state["levels"]], suffix._RUN).count() > 0
-    assert len(family.state["batches"]) == 6
+    assert len(family.state["batches"]) == 4
 
 
 def test_query_against_brute_force(spark, small):
