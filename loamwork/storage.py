@@ -43,11 +43,11 @@ def table_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet (zstd) in the shared folder and reads it back."""
+def stage(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Cuts lineage: writes ``df`` as Parquet (zstd of a ``level``) in the shared folder and reads it back."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loamwork_path = path
     return out
