@@ -67,7 +67,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a FLAC stream of 8-bit samples, stored, read back and decoded; digests and features of both."""
-    media = stage(flac.encode_column(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "flac")
+    media = stage(flac.encode_column(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "flac", level=9)
     out = flac.decode_column(media, keep=("doc_id", "n_bytes"))
     return out.select(
         "doc_id", "n_bytes", F.length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"),
