@@ -57,6 +57,14 @@ def test_post_process(spark, text, want):
     assert value(spark, T.post_process, text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Here is the text:\nSurely not", "Surely not"), ("Here is the text:\nThe following: x", "The following: x"), ("好的，以下是正文：\n为您: x", "为您: x"), ("Sure, I have it:\nBody", "Body")],
+)
+def test_an_announced_text_stays(spark, text, want):
+    assert value(spark, T.post_process, text) == want
+
+
 @pytest.mark.parametrize(
     ("original", "cleaned", "want"),
     [
