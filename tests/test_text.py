@@ -65,6 +65,11 @@ def test_an_announced_text_stays(spark, text, want):
     assert value(spark, T.post_process, text) == want
 
 
+def test_only_the_first_heading_is_replaced(spark):
+    assert value(spark, lambda c: T.normalize_chapter_title(c, 6), "第六章 做法\nsrc\n6. Step\n6、x") == "六、施工方法及工艺要求\nsrc\n6. Step\n6、x"
+    assert value(spark, lambda c: T.normalize_chapter_title(c, 6), "a 6. b\n6. X\n第六章 Y") == "a 6. b\n六、施工方法及工艺要求\n第六章 Y"
+
+
 @pytest.mark.parametrize(
     ("original", "cleaned", "want"),
     [
