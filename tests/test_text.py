@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,15 @@ def test_only_the_first_heading_is_replaced(spark):
     assert value(spark, lambda c: T.normalize_chapter_title(c, 6), "a 6. b\n6. X\n第六章 Y") == "a 6. b\n六、施工方法及工艺要求\n第六章 Y"
 
 
+def test_table_of_many_rows(spark):
+    rows = 4000
+    html = "a<table>" + "".join(f"<tr><td>{i}</td><td>x</td></tr>\n" for i in range(rows)) + "</table>b"
+    began = time.monotonic()
+    got = value(spark, T.clean_html, html)
+    assert got.split("\n") == ["a| 0 | x |", "| --- | --- |", *(f"| {i} | x |" for i in range(1, rows - 1)), f"| {rows - 1} | x |b"]
+    assert time.monotonic() - began < 10
+
+
 @pytest.mark.parametrize(
     ("original", "cleaned", "want"),
     [
