@@ -203,6 +203,20 @@ def test_process_chain_and_items(spark):
     assert [i["content"] for i in items] == ["工序「a」需要设备：tool", "工序「a」存在危险源：fall。安全措施：belt", "工序「a」存在危险源：spark", "工序「a」质量要点：q"]
 
 
+def test_counts_and_rules_gather_no_measures(spark):
+    names = spark.createDataFrame([("a",), ("missing",)], "name string")
+    got = {r["name"]: r for r in graph.process_counts(_graph(spark), names).collect()}
+    assert (got["a"]["hazards"], got["a"]["measured"], got["missing"]["measured"]) == (["fall", "spark"], 1, 0)
+    items = lambda df: sorted(map(tuple, df.collect()))
+    assert items(graph.process_rules(_graph(spark), names)) == items(graph.rule_items(graph.process_chain(_graph(spark), names)))
+    # 300 processes that share a hazard of 300 measures: no column holds its measures once a process
+    many = [(f"p{i}", "h", "产生危险源,工序危险", i) for i in range(300)] + [("h", f"m{i}", "安全措施,控制措施,风险缓解", 300 + i) for i in range(300)]
+    links, asked = graph.undirected(spark.createDataFrame(many, "src string, tgt string, keywords string, seq int")), spark.createDataFrame([(f"p{i}",) for i in range(300)], "name string")
+    counts = graph.process_counts(links, asked)
+    assert {r["measured"] for r in counts.collect()} == {1} and "safety_measures" not in counts.columns
+    assert {r["content"].count("、") for r in graph.process_rules(links, asked).collect()} == {299}
+
+
 def test_edges_drop_dangling(spark):
     ent = spark.createDataFrame([("e1", "x"), ("e2", "y")], "id string, name string")
     rel = spark.createDataFrame([(1, "e1", "e2", "produces_hazard", "", 0.5, None), (2, "e1", "zz", "mitigated_by", "e", 1.0, "d")], "seq long, src_id string, tgt_id string, relation_type string, evidence string, confidence double, source_doc string")
