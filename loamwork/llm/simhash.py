@@ -355,23 +355,51 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(pairs.join(one, "u").join(other, "v").where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v"), "links")
 
 
-def _stage_components(rows: DataFrame, values: list[str], docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component) of the pairs of rows (key, id, n, parts, *values) of equal key with similarity 0.8 or more.
+def _links_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) that the wide parities and the shingle sets confirm."""
+    sets = _sets(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), docs, nodes)
+    near = _parities_agree(pairs, sets)
+    links = _confirmed(near, sets)
+    for table in (pairs, sets, near):
+        drop_stage(table)
+    return links
+
+
+def _fingerprint_components(heads: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of the pairs of ``heads`` (id, fp) whose fingerprints, found by their pigeonring keys, differ
+    in 3 bits at most and whose shingle sets have similarity 0.8 or more.
+
+    Blocks of large buckets are looked at by themselves; what they miss is left to the prefix filter.
+    """
+    n = partitions(heads.sparkSession)
+    rows = heads.select(F.explode(ring_keys()).alias("key"), "id", "fp")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cut = rows.join(sizes, "key").withColumn("b", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int"))
+    dealt = cut.select("key", "b", "id", "fp").repartition(n, "key", "b").sortWithinPartitions("key", "b")
+    links = _links_of(_distinct_pairs(map_arrow(dealt, _by_group(("key", "b"), _block_links(_near_op10)), "u long, v long")), docs, nodes)
+    roots = stage(connected_components(links), "fingerprint-roots")
+    drop_stage(links)
+    return roots
+
+
+def _stage_components(rows: DataFrame, values: list[str], docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, component) of the pairs of rows (key, id, n, parts, *values) of equal key with similarity 0.8 or more,
+    beside the components that are ``known`` (node, component).
 
     All possible links of small buckets come first, and a spanning forest of those of each block of
-    larger ones, so that a large group isn't confirmed pair by pair. Then, in the larger ones, every
-    possible pair between different components is; there the wide parities go with the rows.
+    larger ones, so that a large group isn't confirmed pair by pair; pairs within a known component need
+    no check. Then, in the larger ones, every possible pair between different components is confirmed;
+    there the wide parities go with the rows.
     """
     n = partitions(rows.sparkSession)
     cut = rows.withColumn("b", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
     dealt = cut.select("key", "b", "id", *values).repartition(n, "key", "b").sortWithinPartitions("key", "b")
-    pairs = _distinct_pairs(map_arrow(dealt, _by_group(("key", "b"), _block_links(_near_stage)), "u long, v long"))
-    sets = _sets(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), docs, nodes)
-    near = _parities_agree(pairs, sets)
-    first = _confirmed(near, sets)
-    roots = stage(connected_components(first), "roots")
-    for table in (pairs, sets, near, first):
-        drop_stage(table)
+    found = map_arrow(dealt, _by_group(("key", "b"), _block_links(_near_stage)), "u long, v long")
+    for name in ("u", "v"):
+        found = found.join(known.select(F.col("node").alias(name), F.col("component").alias(f"c{name}")), name, "left")
+    first = _links_of(_distinct_pairs(found.where("cu IS NULL OR cv IS NULL OR cu <> cv").select("u", "v")), docs, nodes)
+    roots = stage(connected_components(first.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))), "roots")
+    drop_stage(first)
     known = _open_rows(cut.where(F.col("n") > SMALL).drop("n"), roots)
     sets = _sets(known.select("id").distinct(), docs, nodes)
     both = _probes(known.join(sets.select("id", "w"), "id"), [*values, "w"], n)
@@ -400,29 +428,33 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            exact, sizes, bits, keys = [], [], [], []
+            exact, fps, sizes, bits, keys = [], [], [], [], []
             for text in part.column("text").to_pylist():
                 words = words_of(text)
                 exact.append(xxhash.xxh128_digest(b" ".join(words), SEED))
-                shingles = np.unique(shingle_hashes(words, STAGE_WORDS))
+                hashes = shingle_hashes(words, STAGE_WORDS)
+                fps.append(majority(hashes))
+                shingles = np.unique(hashes)
                 sizes.append(len(shingles))
                 bits.append(parity(shingles))
                 keys.append(prefix_keys(shingles, common.value).view(np.int64))
             wide = np.array(bits, np.uint64).view(np.int64)
-            yield pa.record_batch([part.column("row_key"), part.column("doc_id"), pa.array(exact, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), *(pa.array(wide[:, i]) for i in range(LANES))], names=["row_key", "doc_id", "exact", "keys", *values])
+            yield pa.record_batch([part.column("row_key"), part.column("doc_id"), pa.array(exact, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), *(pa.array(wide[:, i]) for i in range(LANES))], names=["row_key", "doc_id", "exact", "fp", "keys", *values])
 
-    schema = "row_key binary, doc_id long, exact binary, keys array<long>, " + ", ".join(f"{v} long" for v in values)
+    schema = "row_key binary, doc_id long, exact binary, fp long, keys array<long>, " + ", ".join(f"{v} long" for v in values)
     prints = stage(map_arrow(docs, run, schema).withColumn("number", F.monotonically_increasing_id()), "prints")
     # a node for each word sequence, under a number of its own: texts of one doc_id stay apart
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "number"))
     nodes = prints.groupBy("exact").agg(first.alias("head")).select("exact", "head", F.col("head.row_key").alias("row_key"), F.col("head.number").alias("id"))
     nodes = stage(nodes, "nodes")
     heads = prints.withColumnRenamed("number", "id").join(nodes.select("id"), "id", "left_semi")
+    ids = nodes.select("id", "row_key")
+    known = _fingerprint_components(heads.select("id", "fp"), docs, ids)
     keys = heads.select(F.posexplode("keys").alias("place", "key"), "id")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keys.join(sizes, "key").select("key", "id", F.col("place").cast("long").alias("place"), "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
     rows = stage(met.join(heads.select("id", *values), "id"), "buckets")
-    found = _stage_components(rows, ["place", *values], docs, nodes.select("id", "row_key"))
+    found = _stage_components(rows, ["place", *values], docs, ids, known)
     drop_stage(rows)
     roots = stage(nodes.join(found, nodes["id"] == found["node"], "left").select("exact", "head", F.coalesce("component", "id").alias("root")), "roots")
     members = prints.select("row_key", "doc_id", "exact").join(roots.select("exact", "root"), "exact").drop("exact")
@@ -432,9 +464,10 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id): documents whose five-word shingles have similarity 0.8 or more, in groups.
 
-    Equal word sequences are one node. Pairs of similarity 0.8 or more all meet under a key of the
-    prefix filter; sizes and parity bits prune without loss, and the exact similarity of the shingle
-    sets confirms each link. Empty and null texts are one node. Groups are the components; group_id
+    Equal word sequences are one node. SimHash comes first: nodes whose fingerprints meet under a
+    pigeonring key and differ in 3 bits at most are candidates. As at 0.8 fingerprints differ in more
+    bits, the prefix filter has all other pairs of similarity 0.8 or more meet under a key; sizes and
+    parity bits prune without loss. The exact similarity of the shingle sets confirms each link. Empty and null texts are one node. Groups are the components; group_id
     is the smallest doc_id, null where no row of the group has one. Rows of equal doc_id with
     different texts are documents of their own; each row has its group, so repeated rows repeat.
     Columns other than doc_id and text are ignored; an empty table has no groups.

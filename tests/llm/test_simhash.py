@@ -101,6 +101,17 @@ def test_near_dedup_finds_pairs_of_high_similarity(spark, small):
     assert close and all(groups[a] == groups[b] for a, b in close)
 
 
+def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(S, "prefix_keys", lambda shingles, common: shingles[:0])
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    near, far = [*base[:-1], "changed"], [f"v{rng.randrange(10**6)}" for _ in range(600)]
+    prints = [S.majority(S.shingle_hashes([w.encode() for w in words], S.STAGE_WORDS)) for words in (base, near)]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((base, near, far))], "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in S.near_duplicate_groups(docs).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def block_edited(rng, kind, words):
     """A text and its copy with a paragraph appended, cut off or replaced, of similarity 0.8 to 0.85."""
     text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
