@@ -333,11 +333,11 @@ def _sets(ids: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # a text for each node; of repeated rows one
     wanted = nodes.join(ids, "id", "left_semi").select("id", "row_key")
     texts = docs.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["row_key"])
-    return stage(map_arrow(texts.select("id", "text"), run, "id long, s array<long>, w array<long>").select("id", F.size("s").alias("n"), "s", "w"), "sets")
+    return stage(map_arrow(texts.select("id", "text"), run, "id long, s array<long>, w array<long>").select("id", F.size("s").alias("n"), "s", "w"), "sets", free=True)
 
 
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
-    return stage(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    return stage(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs", free=True)
 
 
 def _parities_agree(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -345,14 +345,14 @@ def _parities_agree(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     differ = F.aggregate(F.zip_with("wu", "wv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
     for name in ("u", "v"):
         pairs = pairs.join(sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("w").alias(f"w{name}")), name)
-    return stage(pairs.where(9 * differ <= F.col("nu") + F.col("nv")).select("u", "v"), "near")
+    return stage(pairs.where(9 * differ <= F.col("nu") + F.col("nv")).select("u", "v"), "near", free=True)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) of node ids whose shingle sets have similarity 0.8 or more."""
     one, other = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
     shared = F.size(F.array_intersect("su", "sv"))
-    return stage(pairs.join(one, "u").join(other, "v").where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v"), "links")
+    return stage(pairs.join(one, "u").join(other, "v").where(9 * shared >= 4 * (F.size("su") + F.size("sv"))).select("u", "v"), "links", free=True)
 
 
 def _links_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -446,17 +446,17 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # a node for each word sequence, under a number of its own: texts of one doc_id stay apart
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "number"))
     nodes = prints.groupBy("exact").agg(first.alias("head")).select("exact", "head", F.col("head.row_key").alias("row_key"), F.col("head.number").alias("id"))
-    nodes = stage(nodes, "nodes")
+    nodes = stage(nodes, "nodes", free=True)
     heads = prints.withColumnRenamed("number", "id").join(nodes.select("id"), "id", "left_semi")
     ids = nodes.select("id", "row_key")
     known = _fingerprint_components(heads.select("id", "fp"), docs, ids)
     keys = heads.select(F.posexplode("keys").alias("place", "key"), "id")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keys.join(sizes, "key").select("key", "id", F.col("place").cast("long").alias("place"), "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("parts"))
-    rows = stage(met.join(heads.select("id", *values), "id"), "buckets")
+    rows = stage(met.join(heads.select("id", *values), "id"), "buckets", free=True)
     found = _stage_components(rows, ["place", *values], docs, ids, known)
     drop_stage(rows)
-    roots = stage(nodes.join(found, nodes["id"] == found["node"], "left").select("exact", "head", F.coalesce("component", "id").alias("root")), "roots")
+    roots = stage(nodes.join(found, nodes["id"] == found["node"], "left").select("exact", "head", F.coalesce("component", "id").alias("root")), "roots", free=True)
     members = prints.select("row_key", "doc_id", "exact").join(roots.select("exact", "root"), "exact").drop("exact")
     return members, roots.groupBy("root").agg(F.min("head").alias("head"))
 
@@ -479,7 +479,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Rows without doc_id take part and come last. Of rows with equal doc_id the texts decide: those
+    Shuffle files are given back after each table, which keeps the peak of disk low. Rows without doc_id take part and come last. Of rows with equal doc_id the texts decide: those
     that aren't near duplicates all stay. Of repeated rows (equal doc_id and text) one stays, which
     differ in other columns at most. Empty and null texts are equal; an empty table stays empty.
     """

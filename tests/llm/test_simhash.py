@@ -112,6 +112,19 @@ def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
     assert {r["doc_id"]: r["group_id"] for r in S.near_duplicate_groups(docs).collect()} == {0: 0, 1: 0, 2: 2}
 
 
+def test_near_dedup_gives_back_the_disk_of_its_shuffles(spark, monkeypatch):
+    freed, stage = {}, S.stage
+
+    def recorded(df, name, level=3, free=False):
+        freed[name] = freed.get(name, True) and free
+        return stage(df, name, level, free)
+
+    monkeypatch.setattr(S, "stage", recorded)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g"), (3, "h")], "doc_id long, text string")
+    assert S.near_dedup(docs).count() == 3
+    assert all(freed[name] for name in ("nodes", "pairs", "sets", "near", "links", "buckets"))
+
+
 def block_edited(rng, kind, words):
     """A text and its copy with a paragraph appended, cut off or replaced, of similarity 0.8 to 0.85."""
     text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
