@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.plans import rules
@@ -18,6 +18,10 @@ from loamwork.workers import ship
 
 #: Rows of the sample that shows which character pairs are common, and how many of those are sent to the tasks.
 SAMPLE, COMMON = 4096, 1 << 14
+#: Elements of the sets of a block, where a set counts as LEAST at least; two blocks are compared in a task.
+BLOCK, LEAST = 1 << 20, 64
+#: Rows of a tile, which are compared at once, and columns of a product; meetings that are counted at once.
+TILE, COLUMNS, MEETINGS = 1024, 1024, 1 << 22
 
 
 def pair_codes(text: str | None) -> np.ndarray:
@@ -48,15 +52,118 @@ def common_codes(texts: DataFrame) -> dict[int, int]:
     return {r["code"]: r["n"] for r in counts.orderBy(F.col("n").desc(), "code").limit(COMMON).collect()}
 
 
-def rare_first(codes: np.ndarray, common: dict[int, int], numerator: int, denominator: int) -> np.ndarray:
-    """The prefix of a set, rare pairs first, that meets the prefix of each set with similarity above the bound.
+def _numbered(texts: list[str | None], ranks: dict[int, int]) -> tuple[list, list, list, list]:
+    """(digest, n, near, far) of each text's set: 16-bit ranks of the common pairs, and the other pairs as they are."""
+    codes, places = np.array(sorted(ranks), np.int64), np.array([ranks[c] for c in sorted(ranks)], np.uint16)
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    for text in texts:
+        found = pair_codes(text)
+        at = np.minimum(np.searchsorted(codes, found), max(0, len(codes) - 1))
+        known = codes[at] == found if len(codes) else np.zeros(len(found), bool)
+        row = hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), places[at[known]].tobytes(), found[~known].tobytes()
+        for column, value in zip(out, row, strict=True):
+            column.append(value)
+    return out
+
+
+def _elements(near: list[bytes], far: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, element) of all sets; elements of ``far`` come after the ranks, so that they can't meet."""
+    row = [np.repeat(np.arange(len(x)), [len(v) // width for v in x]) for x, width in ((near, 2), (far, 8))]
+    return np.concatenate(row), np.concatenate((np.frombuffer(b"".join(near), np.uint16).astype(np.int64), np.frombuffer(b"".join(far), np.int64) + (1 << 16)))
+
+
+class _Tiles:
+    """The sets of a block in tiles of rows, by their elements that many rows have and the others."""
+
+    def __init__(self, row: np.ndarray, element: np.ndarray, dense: np.ndarray, n: int):
+        order = np.lexsort((element, row // TILE))
+        self.row, self.element = row[order], element[order]
+        self.place = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.cuts = np.searchsorted(self.row // TILE, np.arange(-(-n // TILE) + 1))
+        self.n = n
+
+    def rows(self, tile: int) -> int:
+        return min(TILE, self.n - tile * TILE)
+
+    def sparse(self, tile: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.cuts[tile], self.cuts[tile + 1]
+        rare = self.place[self.element[a:b]] < 0
+        return self.row[a:b][rare] - tile * TILE, self.element[a:b][rare]
+
+    def dense(self, tile: int, start: int) -> np.ndarray:
+        a, b = self.cuts[tile], self.cuts[tile + 1]
+        place = self.place[self.element[a:b]] - start
+        here = (place >= 0) & (place < COLUMNS)
+        out = np.zeros((self.rows(tile), COLUMNS), np.float32)
+        out[self.row[a:b][here] - tile * TILE, place[here]] = 1
+        return out
+
+
+def _shared(one: _Tiles, i: int, other: _Tiles, j: int, columns: int) -> np.ndarray:
+    """How many elements the sets of two tiles share: products for what many have, meetings for the rest."""
+    width = other.rows(j)
+    out = np.zeros((one.rows(i), width), np.float32)
+    for start in range(0, columns, COLUMNS):
+        out += one.dense(i, start) @ other.dense(j, start).T
+    (row, element), (col, have) = one.sparse(i), other.sparse(j)
+    low = np.searchsorted(have, element)
+    count = np.searchsorted(have, element, side="right") - low
+    met, ends = count > 0, np.cumsum(count)
+    row, low, count, ends = row[met], low[met], count[met], ends[met]
+    start = 0
+    while start < len(row):  # some million meetings at once
+        base = ends[start] - count[start]
+        stop = max(start + 1, int(np.searchsorted(ends, base + MEETINGS)))
+        n = count[start:stop]
+        at = np.arange(n.sum()) + np.repeat(low[start:stop] - (ends[start:stop] - n - base), n)
+        out += np.bincount(np.repeat(row[start:stop], n) * width + col[at], minlength=out.size).reshape(out.shape)
+        start = stop
+    return out
+
+
+def block_pairs(rows: pa.Table, numerator: int, denominator: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, place, shared) of the pairs of rows above the bound: of one block, or of a row of side 0 and one of side 1."""
+    side, size = rows.column("side").to_numpy(), rows.column("n").to_numpy()
+    blocks = [at[np.argsort(size[at], kind="stable")] for at in (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if len(at)]
+    row, element = _elements(rows.column("near").to_pylist(), rows.column("far").to_pylist())
+    names, element = np.unique(element, return_inverse=True)
+    parts = []
+    for at in blocks:
+        place = np.full(len(size), -1, np.int64)
+        place[at] = np.arange(len(at))
+        parts.append((place[row][mine := place[row] >= 0], element[mine]))
+    often = [np.bincount(e, minlength=len(names)) for _, e in parts]
+    # what few rows have is cheaper to count where it meets
+    dense = often[0] * often[-1] * 256 >= len(blocks[0]) * len(blocks[-1])
+    tiles = [_Tiles(*part, dense, len(at)) for part, at in zip(parts, blocks, strict=True)]
+    one, other, columns = tiles[0], tiles[-1], int(dense.sum())
+    for i in range(-(-one.n // TILE)):
+        a = blocks[0][i * TILE : (i + 1) * TILE]
+        for j in range(i if one is other else 0, -(-other.n // TILE)):
+            b = blocks[-1][j * TILE : (j + 1) * TILE]
+            if denominator * min(size[a[-1]], size[b[-1]]) <= numerator * max(size[a[0]], size[b[0]]):
+                continue
+            shared = _shared(one, i, other, j, columns).astype(np.int64)
+            above = (numerator + denominator) * shared > numerator * (size[a][:, None] + size[b][None, :])
+            x, y = np.nonzero(np.triu(above, 1) if one is other and i == j else above)
+            yield a[x], b[y], shared[x, y]
+
+
+def _blocks(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``heads`` with their ``block``, and (grp, block, low, high), the sizes that a block may hold.
 
-    Sets with a similarity of t or more share t of the elements of either, so the first n - t n + 1 of
-    both in one order have an element in common. What is common only decides how many meet in vain.
+    The sets of a group are cut by size into blocks of BLOCK elements, from counts of the sizes, so that no task
+    ranks a group; equal sizes are dealt by hash. Blocks meet that hold sizes close enough.
     """
-    n = len(codes)
-    order = sorted(codes.tolist(), key=lambda c: (common.get(c, 0), c))
-    return np.array(order[: n - -(-numerator * n // denominator) + 1], np.int64)
+    weight = F.greatest("n", F.lit(LEAST))
+    cells = heads.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum(F.col("m") * weight).over(Window.partitionBy("grp").orderBy("n")) - F.col("m") * weight
+    cells = stage(cells.withColumn("before", before), "cells", free=True)
+    spot = lambda nth: F.floor((F.col("before") + nth * weight) / F.lit(BLOCK)).cast("int")
+    placed = heads.join(cells, ["grp", "n"]).withColumn("block", spot(F.pmod(F.xxhash64("key"), F.col("m"))))
+    # the blocks of a cell follow each other, so a block's sizes are known from the cells
+    sizes = cells.select("grp", "n", F.explode(F.sequence(spot(F.lit(0)), spot(F.col("m") - 1))).alias("block"))
+    return placed.select("grp", "key", "n", "near", "far", "block"), sizes.groupBy("grp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
 
 
 def similar_classes(rows: DataFrame, group: str, key: str, text: str, numerator: int = 4, denominator: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -64,39 +171,43 @@ def similar_classes(rows: DataFrame, group: str, key: str, text: str, numerator:
     with Jaccard above numerator / denominator.
 
     Rows of a group with equal sets are a class, whose head is its smallest key, so copies are compared
-    once. Heads meet under an element of their prefixes if their sizes and the places of the element
-    allow it, and the sets themselves decide, in whole numbers. Two empty sets are equal.
+    once. The heads of a group are cut by the size of their sets into blocks, and a task counts what the sets of two
+    blocks share, in whole numbers; only pairs above the bound leave it. Two empty sets are equal.
     """
     ship(rows.sparkSession)
     texts = rows.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    common = rows.sparkSession.sparkContext.broadcast(common_codes(texts.select("text")))
+    ranks = rows.sparkSession.sparkContext.broadcast({c: i for i, c in enumerate(common_codes(texts.select("text")))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [pair_codes(t) for t in batch.column("text").to_pylist()]
-            kind = pa.list_(pa.int64())
-            columns = [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
-            columns += [pa.array(sets, kind), pa.array([rare_first(s, common.value, numerator, denominator) for s in sets], kind)]
-            yield pa.record_batch([batch.column("grp"), batch.column("key"), *columns], names=["grp", "key", "digest", "n", "codes", "prefix"])
+            digest, n, near, far = _numbered(batch.column("text").to_pylist(), ranks.value)
+            columns = [pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(near, pa.binary()), pa.array(far, pa.binary())]
+            yield pa.record_batch([batch.column("grp"), batch.column("key"), *columns], names=["grp", "key", "digest", "n", "near", "far"])
 
     kinds = dict(rows.dtypes)
-    sets = stage(texts.mapInArrow(run, f"grp {kinds[group]}, key {kinds[key]}, digest binary, n long, codes array<long>, prefix array<long>"), "sets")
-    heads = sets.groupBy(F.col("grp").alias("of"), F.col("digest").alias("same")).agg(F.min("key").alias("head"))
+    sets = stage(texts.mapInArrow(run, f"grp {kinds[group]}, key {kinds[key]}, digest binary, n long, near binary, far binary"), "sets")
+    heads = stage(sets.groupBy(F.col("grp").alias("of"), F.col("digest").alias("same")).agg(F.min("key").alias("head")), "classes", free=True)
     members = sets.select("grp", "digest", "key").join(heads, F.col("grp").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same"))).select(F.col("grp").alias(group), "key", "head")
     chosen = sets.join(heads.select(F.col("of").alias("grp"), F.col("head").alias("key")), ["grp", "key"], "left_semi").dropDuplicates(["grp", "key"])
-    chosen = stage(chosen.drop("digest"), "heads")
-    index = chosen.select("grp", "key", "n", F.posexplode("prefix").alias("place", "code"))
-    left = index.select("grp", "code", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p"))
-    right = index.select("grp", "code", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("q"))
-    met = left.join(right, ["grp", "code"]).where("a < b").where(denominator * F.least("n_a", "n_b") > numerator * F.greatest("n_a", "n_b"))
-    # the first common element leaves no more than this to be shared
-    most = F.least(F.col("n_a") - F.col("p"), F.col("n_b") - F.col("q"))
-    above = lambda shared: denominator * shared > numerator * (F.col("n_a") + F.col("n_b") - shared)
-    met = met.where(above(most)).select("grp", "a", "b", "n_a", "n_b").distinct()
-    of = lambda name: chosen.select("grp", F.col("key").alias(name), F.col("codes").alias(f"s_{name}"))
-    shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    pairs = met.join(of("a"), ["grp", "a"]).join(of("b"), ["grp", "b"]).withColumn("shared", shared).where(above(F.col("shared")))
-    return members, pairs.select(F.col("grp").alias(group), "a", "b", "n_a", "n_b", "shared")
+    placed, blocks = _blocks(stage(chosen.where("n > 0").drop("digest"), "heads", free=True))
+    one, other = (blocks.select("grp", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "pq")
+    close = denominator * F.least("high_p", "high_q") > numerator * F.greatest("low_p", "low_q")
+    met = stage(one.join(other, "grp").where("p <= q").where(close).select("grp", "p", "q"), "meetings", free=True)
+    sides = met.select("grp", "p", "q", F.col("p").alias("block"), F.lit(0).alias("side")).unionByName(met.where("p < q").select("grp", "p", "q", F.col("q").alias("block"), F.lit(1).alias("side")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        grp, keys, n = (table.column(c).combine_chunks() for c in ("grp", "key", "n"))
+        for x, y, shared in block_pairs(table, numerator, denominator):
+            for start in range(0, len(x), 1 << 16):
+                a, b = (pa.array(v[start : start + (1 << 16)]) for v in (x, y))
+                columns = [grp.take(a), keys.take(a), keys.take(b), n.take(a), n.take(b), pa.array(shared[start : start + (1 << 16)])]
+                yield pa.record_batch(columns, names=["grp", "x", "y", "n_x", "n_y", "shared"])
+
+    dealt = placed.join(sides, ["grp", "block"]).select("grp", "p", "q", "side", "key", "n", "near", "far")
+    found = dealt.groupBy("grp", "p", "q").applyInArrow(compare, f"grp {kinds[group]}, x {kinds[key]}, y {kinds[key]}, n_x long, n_y long, shared long")
+    pick = lambda u, v: F.when(F.col("x") < F.col("y"), F.col(u)).otherwise(F.col(v))
+    return members, found.select(F.col("grp").alias(group), pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("n_x", "n_y").alias("n_a"), pick("n_y", "n_x").alias("n_b"), "shared")
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame, group: str) -> DataFrame:

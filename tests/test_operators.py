@@ -1,6 +1,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,45 @@ def test_near_duplicates_against_plain_models(spark, monkeypatch, sample):
     assert dedup.similar_classes(df.limit(0), "grp", "id", "text")[1].count() == 0
 
 
+@pytest.mark.parametrize("common", [1 << 14, 20, 0])
+def test_similar_pairs_in_blocks(spark, monkeypatch, common):
+    for name, value in (("COMMON", common), ("BLOCK", 700), ("LEAST", 5)):
+        monkeypatch.setattr(dedup, name, value)
+    rng = random.Random(17)
+    texts, seen = [], []
+    for i in range(12):
+        base = [rng.choice("abcdefghij \u4e00\u4e8c\U0001f600" if i % 3 else "abcdef ") for _ in range(rng.randrange(5, 90))]
+        texts += ["".join(c if rng.random() > 0.02 else rng.choice("xyz") for c in base) + "q" * rng.randrange(3) for _ in range(4)]
+    stage = dedup.stage
+    monkeypatch.setattr(dedup, "stage", lambda df, name, *level, **free: seen.append((name, out := stage(df, name, *level, **free))) or out)
+    df = spark.createDataFrame([("g", f"k{i}", t) for i, t in enumerate(texts)], "grp string, id string, text string")
+    sets = [{t[i : i + 2] for i in range(len(t) - 1)} for t in texts]
+    heads = {frozenset(s): min(f"k{j}" for j, o in enumerate(sets) if o == s) for s in sets}
+    expected = {(x, y, len(s), len(o), len(s & o)) for s, x in heads.items() for o, y in heads.items() if x < y and 5 * len(s & o) > 4 * len(s | o)}
+    got = dedup.similar_classes(df, "grp", "id", "text")[1].collect()
+    assert expected and sorted(tuple(r)[1:] for r in got) == sorted(expected)
+    tables = dict(seen)
+    assert tables["meetings"].where("p < q").count() > 0
+    # no table has a row for a pair that only might be similar
+    assert max(t.count() for name, t in seen if name != "meetings") <= len(texts)
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_tiles_count_what_sets_share(monkeypatch, sides):
+    for name, value in (("TILE", 4), ("COLUMNS", 16), ("MEETINGS", 9)):
+        monkeypatch.setattr(dedup, name, value)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcde" if i % 2 else "abcdefghijklmnop") for _ in range(rng.randrange(2, 60))) for i in range(41)]
+    texts += [t + "ab" for t in texts]
+    sets = [{t[i : i + 2] for i in range(len(t) - 1)} for t in texts]
+    digest, n, near, far = dedup._numbered(texts, {c: i for i, c in enumerate(dedup.pair_codes("abcdeabcbde").tolist())})
+    side = [i % sides for i in range(len(texts))]
+    table = pa.table({"side": side, "n": n, "near": pa.array(near, pa.binary()), "far": pa.array(far, pa.binary())})
+    got = [(*sorted((int(x), int(y))), int(s)) for xs, ys, shared in dedup.block_pairs(table, 4, 5) for x, y, s in zip(xs, ys, shared, strict=True)]
+    expected = [(i, j, len(a & b)) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) > 4 * len(a | b) and (sides == 1 or side[i] != side[j])]
+    assert expected and sorted(got) == sorted((j, i, s) for i, j, s in expected)
+
+
 def plain_edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
