@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +29,6 @@ def pair_codes(text: str | None) -> np.ndarray:
     return np.unique(codes[:-1] << 21 | codes[1:])
 
 
-def _plain(columns: dict) -> pd.DataFrame:
-    """Columns of Python objects where they aren't numbers: Arrow-backed strings may come in chunks."""
-    return pd.DataFrame({k: v if isinstance(v, np.ndarray) and v.dtype.kind in "iuf" else pd.Series(list(v), dtype=object) for k, v in columns.items()})
-
-
 def common_codes(texts: DataFrame) -> dict[int, int]:
     """How often each of the most common character pairs occurs in a sample of the texts (text)."""
 
@@ -212,11 +206,14 @@ def similar_classes(rows: DataFrame, group: str, key: str, text: str, numerator:
 
 def all_pairs(members: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
     """(group, a, b), a < b, of all rows, copies included; for the greedy removal, which looks at each pair."""
-    heads = pairs.select(group, "a", "b").unionByName(members.select(group, F.col("head").alias("a"), F.col("head").alias("b")).distinct())
+    members = members.select(group, "key", "head").distinct()
     one = members.select(group, F.col("head").alias("a"), F.col("key").alias("x"))
     two = members.select(group, F.col("head").alias("b"), F.col("key").alias("y"))
-    every = heads.join(one, [group, "a"]).join(two, [group, "b"]).where("x <> y")
-    return every.select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    cross = pairs.select(group, "a", "b").join(one, [group, "a"]).join(two, [group, "b"]).where("x <> y")
+    cross = cross.select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # classes are disjoint, so only copies are left to meet; no pair comes twice
+    own = one.join(two.withColumnRenamed("b", "a"), [group, "a"]).where("x < y").select(group, F.col("x").alias("a"), F.col("y").alias("b"))
+    return cross.unionByName(own)
 
 
 def greedy_losers(pairs: DataFrame, ranks: DataFrame, group: str) -> DataFrame:
@@ -232,25 +229,34 @@ def greedy_losers(pairs: DataFrame, ranks: DataFrame, group: str) -> DataFrame:
     full = pairs.select(group, "a", "b").join(left, [group, "a"]).join(right, [group, "b"])
     first = F.col("sa") < F.col("sb")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    ordered = full.select(
-        F.col(group).alias("grp"), pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("qa", "qb").alias("qa"), pick("qb", "qa").alias("qb"),
-        pick("da", "db").alias("da"), pick("db", "da").alias("db"), pick("sa", "sb").alias("sa"), pick("sb", "sa").alias("sb"),
-    )
+    second = F.when(pick("qa", "qb") != pick("qb", "qa"), pick("qa", "qb") > pick("qb", "qa")).otherwise(pick("da", "db") <= pick("db", "da"))
+    ordered = full.select(F.col(group).alias("grp"), pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("sa", "sb").alias("sa"), pick("sb", "sa").alias("sb"), second.alias("second"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = turn = None
         gone: set = set()
-        turn, skipped = None, False
-        for r in pdf.sort_values(["sa", "sb"]).itertuples(index=False):
-            if r.sa != turn:
-                turn, skipped = r.sa, r.a in gone
-            if skipped or r.b in gone:
-                continue
-            second = r.qa > r.qb if r.qa != r.qb else r.da <= r.db
-            gone.add(r.b if second else r.a)
-        return _plain({"grp": [pdf["grp"].iloc[0]] * len(gone), "loser": list(gone)})
+        skipped = False
+        for batch in batches:
+            lost: list[tuple] = []
+            for grp, a, b, sa, second in zip(*(batch.column(c).to_pylist() for c in ("grp", "a", "b", "sa", "second")), strict=True):
+                if grp != here:
+                    here, turn, gone = grp, None, set()
+                if sa != turn:
+                    turn, skipped = sa, a in gone
+                if skipped or b in gone:
+                    continue
+                loser = b if second else a
+                if loser not in gone:
+                    gone.add(loser)
+                    lost.append((grp, loser))
+            columns = [pa.array([x[i] for x in lost], batch.column(c).type) for i, c in enumerate(("grp", "a"))]
+            yield pa.record_batch(columns, names=["grp", "loser"])
 
     kinds = dict(pairs.dtypes)
-    return ordered.groupBy("grp").applyInPandas(run, f"grp {kinds[group]}, loser {kinds['a']}").withColumnRenamed("grp", group)
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task reads the pairs of a group in order and holds only the rows that are gone
+    dealt = ordered.repartition(n, "grp").sortWithinPartitions("grp", "sa", "sb")
+    return dealt.mapInArrow(run, f"grp {kinds[group]}, loser {kinds['a']}").withColumnRenamed("grp", group)
 
 
 def deduplicate(fragments: DataFrame, group: str = "chapter_id", threshold: tuple[int, int] = (4, 5)) -> DataFrame:

@@ -139,6 +139,20 @@ def test_tiles_count_what_sets_share(monkeypatch, sides):
     assert expected and sorted(got) == sorted((j, i, s) for i, j, s in expected)
 
 
+def test_greedy_removal_reads_pairs_in_order(spark):
+    rng = random.Random(23)
+    pairs = {g: {(i, j) for i in range(40) for j in range(i + 1, 40) if rng.random() < 0.1} for g in "gh"}
+    quality = {g: [rng.randint(1, 3) for _ in range(40)] for g in "gh"}
+    df = spark.createDataFrame([(g, i, j) for g in "gh" for i, j in pairs[g]], "grp string, a long, b long").repartition(3)
+    order = spark.createDataFrame([(g, i, quality[g][i], i, i) for g in "gh" for i in range(40)], "grp string, key long, quality int, doc long, seq long")
+    losers = dedup.greedy_losers(df, order, "grp")
+    assert "FlatMapGroups" not in losers._jdf.queryExecution().toString()
+    got = losers.collect()
+    assert len(set(got)) == len(got)
+    for g in "gh":
+        assert {r["loser"] for r in got if r["grp"] == g} == plain_greedy(40, pairs[g], quality[g], list(range(40)))
+
+
 def plain_edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
